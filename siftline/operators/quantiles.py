@@ -161,7 +161,8 @@ def _ranked(
     anywhere = reduce(lambda a, b: a | b, [t.contains() for _, t in pending])
     values = (
         df.where(anywhere)
-        .select(F.inline(F.array_compact(F.array(*hits))))
+        .select(F.inline(F.array(*hits)))
+        .where(F.col("target").isNotNull())
         .groupBy("target", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
