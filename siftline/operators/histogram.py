@@ -49,7 +49,9 @@ def _binned(df: DataFrame, series: list[_Series], bins: int) -> DataFrame:
             low, high = low - 0.5, high + 0.5
         step = (high - low) / bins
         frame.append((i, s.feature, s.label, low, high, step, total))
-        guess = F.least(F.floor((s.value - low) / (high - low) * bins), F.lit(bins - 1))
+        position = F.floor((s.value - low) / (high - low) * bins)
+        # least() skips NULL, so a missing value is kept out of the last bin by hand.
+        guess = F.when(s.value.isNotNull(), F.least(position, F.lit(bins - 1)))
         guesses += [s.value.alias(f"value{i}"), guess.cast("int").alias(f"guess{i}")]
         bins_of.append(_bin(F.col(f"value{i}"), F.col(f"guess{i}"), low, step, bins).alias(f"bin{i}"))
         hits.append(F.struct(F.lit(i).alias("series"), F.col(f"bin{i}").alias("bin")))
