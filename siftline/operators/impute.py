@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,31 @@ def moments(features: Mapping[str, Column]) -> list[Column]:
     return wanted
 
 
+STATS = ("min", "max", "mean", "std_pop")
+
+
 def fit_scales(df: DataFrame, features: Sequence[str]) -> dict[str, dict[str, float]]:
     """min, max, mean and population deviation per feature, from one pass."""
     row = df.agg(*moments({name: F.col(name).cast("double") for name in features})).first()
+    return {name: {stat: row[f"{stat}:{name}"] for stat in STATS} for name in features}
+
+
+def scale_after_filling(
+    scale: Mapping[str, float | None], present: int, missing: int, fill: float
+) -> dict[str, float]:
+    """The moments of a column once its missing values are filled, without another pass."""
+    if not missing:
+        return dict(scale)
+    if not present:
+        return {"min": fill, "max": fill, "mean": fill, "std_pop": 0.0}
+    rows = present + missing
+    mean = (present * scale["mean"] + missing * fill) / rows
+    spread = present * (scale["std_pop"] ** 2 + (scale["mean"] - mean) ** 2) + missing * (fill - mean) ** 2
     return {
-        name: {stat: row[f"{stat}:{name}"] for stat in ("min", "max", "mean", "std_pop")}
-        for name in features
+        "min": min(scale["min"], fill),
+        "max": max(scale["max"], fill),
+        "mean": mean,
+        "std_pop": math.sqrt(spread / rows),
     }
 
 

@@ -20,7 +20,6 @@ from siftline.functions.hashing import key_hash
 
 DIGITS = 3
 RANKED_ROWS = 200_000
-MAX_CLASSES = 64
 
 
 @dataclass
@@ -33,8 +32,9 @@ class _Cut:
     before: int = 0
     rows: int = 0
 
-    def holds(self) -> Column:
-        return (F.col("label") == self.label) & F.col("hash").startswith(self.prefix)
+    @property
+    def group(self) -> str:
+        return f"{self.label}{self.prefix}"
 
 
 def class_quotas(counts: Mapping[int, int], rows: int) -> dict[int, int]:
@@ -70,105 +70,93 @@ def fold_sizes(counts: Mapping[int, int], folds: int) -> dict[int, list[int]]:
 
 
 class KeyOrder:
-    """Rows of a labelled table in hash order, counted per class and hash prefix."""
+    """Rows with a 0/1 label in hash order, counted per class and hash prefix."""
 
     def __init__(self, df: DataFrame, label: str, key: Sequence[str], seed: int):
-        self.rows = df.select(F.col(label).alias("label"), key_hash(seed, key).alias("hash"))
+        rows = df.select(F.col(label).alias("label"), key_hash(seed, key).alias("hash"))
+        self.rows = rows.where(F.col("label").isin(0, 1))
         self.label, self.key, self.seed = label, tuple(key), seed
         self._prefixes = self._count(self.rows, DIGITS)
         self.counts: dict[int, int] = {}
-        for (value, _), rows in self._prefixes.items():
-            self.counts[value] = self.counts.get(value, 0) + rows
+        for group, rows_inside in self._prefixes.items():
+            value = int(group[0])
+            self.counts[value] = self.counts.get(value, 0) + rows_inside
 
     @staticmethod
-    def _count(rows: DataFrame, digits: int) -> dict[tuple[int, str], int]:
-        limit = MAX_CLASSES * 16**DIGITS
-        counted = (
-            rows.groupBy("label", F.substring("hash", 1, digits).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .limit(limit + 1)
-            .collect()
-        )
-        if len(counted) > limit:
-            raise ValueError(f"a label may have at most {MAX_CLASSES} classes")
-        return {(r["label"], r["prefix"]): r["rows"] for r in counted}
+    def _group(digits: int) -> Column:
+        return F.concat(F.col("label").cast("string"), F.substring("hash", 1, digits))
+
+    def _count(self, rows: DataFrame, digits: int) -> dict[str, int]:
+        """Rows per class and prefix: at most 2 * 16**DIGITS groups below any one prefix."""
+        counted = rows.groupBy(self._group(digits).alias("group")).agg(F.count(F.lit(1)).alias("rows"))
+        return {r["group"]: r["rows"] for r in counted.collect()}
+
+    def _inside(self, cuts: list[_Cut], digits: int) -> DataFrame:
+        return self.rows.where(self._group(digits).isin(sorted({cut.group for cut in cuts})))
 
     def cut_values(self, ranks: Mapping[int, Sequence[int]]) -> dict[int, list[str | None]]:
         """Per class and rank, the hash below which lie exactly ``rank`` rows; None: all rows."""
-        cuts = {}
-        for c, wanted in ranks.items():
-            for rank in wanted:
-                if 0 < rank < self.counts[c]:
-                    cuts[c, rank] = _Cut(c, rank)
-        counted = self._prefixes
-        wide = list(cuts.values())
-        digits = DIGITS
-        while wide:
-            for cut in wide:
-                self._enter(cut, counted)
-            wide = [cut for cut in wide if cut.rows > RANKED_ROWS and digits < 30]
-            if wide:
+        cuts = {
+            (c, rank): _Cut(c, rank)
+            for c, wanted in ranks.items()
+            for rank in wanted
+            if 0 < rank < self.counts[c]
+        }
+        values: dict[tuple[int, int], str] = {}
+        if cuts:
+            digits, counted = DIGITS, self._prefixes
+            self._enter(list(cuts.values()), counted)
+            while any(cut.rows > RANKED_ROWS for cut in cuts.values()) and digits < 30:
+                inside = self._inside(list(cuts.values()), digits)
                 digits += DIGITS
-                counted = self._count(self.rows.where(_any(wide)), digits)
-        values = self._hash_at(list(cuts.values())) if cuts else {}
+                self._enter(list(cuts.values()), self._count(inside, digits))
+            values = self._hash_at(list(cuts.values()), digits)
         return {
             c: ["" if rank <= 0 else values.get((c, rank)) for rank in wanted]
             for c, wanted in ranks.items()
         }
 
     @staticmethod
-    def _enter(cut: _Cut, counted: Mapping[tuple[int, str], int]) -> None:
-        inside = sorted(
-            (prefix, rows)
-            for (value, prefix), rows in counted.items()
-            if value == cut.label and prefix.startswith(cut.prefix)
-        )
-        for prefix, rows in inside:
-            if cut.before + rows > cut.rank:
-                cut.prefix, cut.rows = prefix, rows
-                return
-            cut.before += rows
+    def _enter(cuts: list[_Cut], counted: Mapping[str, int]) -> None:
+        """Move every cut into the counted prefix that holds its rank."""
+        ordered = sorted(counted.items())
+        for cut in cuts:
+            for group, rows in ordered:
+                if not group.startswith(cut.group):
+                    continue
+                if cut.before + rows > cut.rank:
+                    cut.prefix, cut.rows = group[1:], rows
+                    break
+                cut.before += rows
 
-    def _hash_at(self, cuts: list[_Cut]) -> dict[tuple[int, int], str]:
+    def _hash_at(self, cuts: list[_Cut], digits: int) -> dict[tuple[int, int], str]:
         """Rank the rows of the few prefixes that a cut falls into."""
-        index = reduce(
-            lambda column, pair: column.when(pair[1].holds(), pair[0]),
-            enumerate(cuts),
-            F,
-        )
-        groups: dict[tuple[int, str], int] = {}
-        for i, cut in enumerate(cuts):
-            groups.setdefault((cut.label, cut.prefix), i)
         order = Window.partitionBy("group").orderBy("hash")
         ranked = (
-            self.rows.where(_any(cuts))
-            .groupBy(index.alias("group"), "hash")
+            self._inside(cuts, digits)
+            .groupBy(self._group(digits).alias("group"), "hash")
             .agg(F.count(F.lit(1)).alias("rows"))
             .withColumn("start", F.sum("rows").over(order) - F.col("rows"))
         )
-        wanted = reduce(
-            lambda a, b: a | b,
-            [
-                (F.col("group") == groups[cut.label, cut.prefix])
-                & (F.col("start") <= cut.rank - cut.before)
-                & (F.col("start") + F.col("rows") > cut.rank - cut.before)
-                for cut in cuts
-            ],
-        )
-        picked = ranked.where(wanted).collect()
+
+        def holds(cut: _Cut) -> Column:
+            offset = cut.rank - cut.before
+            here = (F.col("start") <= offset) & (offset < F.col("start") + F.col("rows"))
+            return (F.col("group") == cut.group) & here
+
+        picked = ranked.where(reduce(lambda a, b: a | b, [holds(cut) for cut in cuts])).collect()
         values = {}
         for cut in cuts:
             offset = cut.rank - cut.before
             for row in picked:
-                if row["group"] != groups[cut.label, cut.prefix]:
+                if row["group"] != cut.group or not row["start"] <= offset < row["start"] + row["rows"]:
                     continue
-                if row["start"] == offset:
-                    values[cut.label, cut.rank] = row["hash"]
-                elif row["start"] < offset < row["start"] + row["rows"]:
+                if row["start"] < offset:
                     raise ValueError(
                         f"{row['rows']} rows share one key where the table is cut; "
                         f"{', '.join(self.key)} must identify a row"
                     )
+                values[cut.label, cut.rank] = row["hash"]
         return values
 
     def assign(
@@ -192,10 +180,6 @@ class KeyOrder:
         return with_hash.withColumn(name, choice).drop("key_hash")
 
 
-def _any(cuts: list[_Cut]) -> Column:
-    return reduce(lambda a, b: a | b, [cut.holds() for cut in cuts])
-
-
 def stratified_split(
     df: DataFrame,
     label: str,

@@ -65,6 +65,7 @@ def prepare(
 ) -> tuple[DataFrame, Preparation]:
     """(key, label, split, imputed features, scaled features) and the fitted state.
 
+    Reads the table four times beside the final use, so store it first if it is costly to make.
     ``fit_on="all"`` takes the medians from every labelled row, ``"train"`` from the training
     rows only. Scaling is always fitted on the training rows.
     """
@@ -75,21 +76,32 @@ def prepare(
     wanted = available(df, spec.features)
     values = {name: missing_as_null(F.col(name)) for name in wanted}
 
-    # One pass gives the missing shares and the sketches that the medians start from.
-    shares = [F.avg(v.isNull().cast("double")).alias(f"missing:{n}") for n, v in values.items()]
-    first = labelled.agg(*shares, *quantiles.sketch(values, (0.5,))).first()
-    features = [n for n in wanted if (first[f"missing:{n}"] or 0.0) <= max_missing]
-    kept = {n: values[n] for n in features}
-
-    table = labelled.select(*spec.key, spec.label, *[v.alias(n) for n, v in kept.items()])
+    table = labelled.select(*spec.key, spec.label, *[v.alias(n) for n, v in values.items()])
+    # The cuts of the split are found from key and label alone.
     table = stratified_split(table, spec.label, spec.key, test_size, val_size, seed, spec.split)
-    if fit_on == "all":
-        medians = {n: m[0] for n, m in quantiles.resolve(labelled, kept, (0.5,), first).items()}
-    else:
-        medians = imputing.fit_medians(table.where(F.col(spec.split) == "train"), features)
-    table = imputing.impute(table, medians)
-    scales = imputing.fit_scales(table.where(F.col(spec.split) == "train"), features)
+
+    # One pass gives the missing shares, what the medians start from, and the training moments.
+    in_train = F.col(spec.split) == "train"
+    everywhere = {n: F.col(n) for n in wanted}
+    trained = {n: F.when(in_train, F.col(n)) for n in wanted}
+    fitted = everywhere if fit_on == "all" else trained
+    first = table.agg(
+        F.count_if(in_train).alias("train_rows"),
+        *[F.avg(v.isNull().cast("double")).alias(f"missing:{n}") for n, v in everywhere.items()],
+        *[F.count(v).alias(f"present:{n}") for n, v in trained.items()],
+        *quantiles.sketch(fitted, (0.5,)),
+        *imputing.moments(trained),
+    ).first()
+    features = [n for n in wanted if (first[f"missing:{n}"] or 0.0) <= max_missing and first[f"size:{n}"]]
+    found = quantiles.resolve(table, {n: fitted[n] for n in features}, (0.5,), first)
+    medians = {n: m[0] for n, m in found.items()}
+    scales = {}
+    for n in features:
+        raw = {stat: first[f"{stat}:{n}"] for stat in imputing.STATS}
+        present = first[f"present:{n}"]
+        scales[n] = imputing.scale_after_filling(raw, present, first["train_rows"] - present, medians[n])
+
     state = Preparation(medians, scales, dict(spec.label_map), method)
-    prepared = imputing.scale(table, scales, method, SCALED)
+    prepared = imputing.scale(imputing.impute(table, medians), scales, method, SCALED)
     columns = [*spec.key, spec.label, spec.split, *features, *state.inputs]
     return prepared.select(*columns), state

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators.tables import paired
+from siftline.session import new_path
 from siftline.spec import TableSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,8 +158,6 @@ TEXT_SPEC = TableSpec(
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftline.operators.tables import paired
-
     chars = F.greatest(F.length("text"), F.lit(1)).cast("double")
     words = F.size(F.split(F.trim("text"), r"\s+")).cast("double")
     features = table(spark, sf_dir, "documents").select(
@@ -170,4 +170,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (chars / words).alias("word_length"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    return paired(features, labels, ["doc_id"])
+    # Stored, so that the texts are read once however often the features are used.
+    path = new_path(spark, "texts")
+    paired(features, labels, ["doc_id"]).write.parquet(path)
+    return spark.read.parquet(path)
