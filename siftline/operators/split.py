@@ -39,7 +39,7 @@ class _Cut:
 
 def class_quotas(counts: Mapping[int, int], rows: int) -> dict[int, int]:
     """Share ``rows`` among the classes by largest remainder; equal remainders: first class first."""
-    total = sum(counts.values())
+    total = max(1, sum(counts.values()))
     exact = {c: counts[c] * rows / total for c in sorted(counts)}
     quotas = {c: math.floor(share) for c, share in exact.items()}
     by_remainder = sorted(exact, key=lambda c: (quotas[c] - exact[c], c))
@@ -168,7 +168,8 @@ class KeyOrder:
     ) -> DataFrame:
         """``values[i]`` for the rows between cut ``i-1`` and cut ``i`` of their class."""
         hashed = F.col("key_hash")
-        choice = F
+        # Rows of another label, which an empty table has none of, get no value.
+        choice = F.when(F.lit(False), F.lit(values[0]))
         for c, limits in cuts.items():
             inside = F
             for value, limit in zip(values, limits):
