@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import class_text
+from siftline.operators.tables import require_columns
 from siftline.plans.prepare import Preparation
 from siftline.plans.training import confidence
 from siftline.sources.csv import read_features_csv, write_csv
@@ -38,14 +39,12 @@ class Scorer:
 
         A missing feature value is replaced by the stored median for scoring only.
         """
+        require_columns(df, self.preparation.features)
         # Raw values travel beside the imputed ones and are restored in the result.
         raw = {f"raw:{name}": F.col(name) for name in self.preparation.features}
         result = self.pipeline.transform(self.preparation.transform(df.withColumns(raw)))
         return result.select(
-            *[
-                F.col(f"`raw:{name}`").alias(name) if f"raw:{name}" in raw else F.col(f"`{name}`")
-                for name in df.columns
-            ],
+            *[F.col(f"`raw:{n}`").alias(n) if f"raw:{n}" in raw else F.col(f"`{n}`") for n in df.columns],
             F.col("prediction").cast("int").alias("prediction"),
             class_text("prediction", self.positive, self.negative).alias("prediction_text"),
             vector_to_array("probability")[1].alias("probability"),

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from siftline.operators.evaluate import binary_metrics
 from siftline.session import ensure_checkpointing
 
-# Baseline settings, named as the tree libraries of the Python world name them.
+# Baseline settings and search spaces, named as the tree libraries of the Python
+# world name them, without the settings that Spark's learners lack.
 BOOSTING_BASELINE = {
     "n_estimators": 100,
     "learning_rate": 0.1,
@@ -45,6 +46,23 @@ FOREST_GRID = {
     "min_samples_leaf": [1, 2, 4],
     "max_features": ["sqrt", "log2", None],
 }
+BOOSTING_SPACE = {
+    "n_estimators": [50, 100, 200, 300, 500],
+    "learning_rate": [0.01, 0.05, 0.1, 0.15, 0.2],
+    "max_depth": [3, 4, 5, 6, 7, 8, 10],
+    "min_child_samples": [5, 10, 20, 30, 40],
+    "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0],
+}
+EXTENDED_SPACE = {
+    "n_estimators": [300, 500, 700, 1000, 1500],
+    "learning_rate": [0.01, 0.03, 0.05, 0.08, 0.1, 0.15],
+    "max_depth": [3, 4, 5, 6, 7, 8, 10, 12],
+    "min_child_samples": [5, 10, 15, 20, 30, 40],
+    "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "min_split_gain": [0, 0.001, 0.01, 0.1],
+}
 ENSEMBLE_DEFAULTS = {
     "n_estimators": 500,
     "learning_rate": 0.05,
@@ -67,7 +85,7 @@ def _subset(value: str | float | None) -> str:
     return value if isinstance(value, str) else str(float(value))
 
 
-_BOOSTING = {
+BOOSTING_PARAMS = {
     "n_estimators": ("maxIter", int),
     "learning_rate": ("stepSize", float),
     "max_depth": ("maxDepth", _depth),
@@ -76,7 +94,7 @@ _BOOSTING = {
     "colsample_bytree": ("featureSubsetStrategy", _subset),
     "min_split_gain": ("minInfoGain", float),
 }
-_FOREST = {
+FOREST_PARAMS = {
     "n_estimators": ("numTrees", int),
     "max_depth": ("maxDepth", _depth),
     "min_samples_leaf": ("minInstancesPerNode", int),
@@ -106,14 +124,14 @@ def spark_params(settings: Mapping[str, object], known: Mapping[str, tuple[str,
 
 
 def boosted_trees(settings: Mapping[str, object] = BOOSTING_BASELINE, seed: int = 42, weight: str | None = None, label: str = "label") -> GBTClassifier:
-    params = spark_params(settings, _BOOSTING)
+    params = spark_params(settings, BOOSTING_PARAMS)
     if weight:
         params["weightCol"] = weight
     return GBTClassifier(labelCol=label, seed=seed, **params)
 
 
 def forest(settings: Mapping[str, object] = FOREST_BASELINE, seed: int = 42, label: str = "label") -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=label, seed=seed, **spark_params(settings, _FOREST))
+    return RandomForestClassifier(labelCol=label, seed=seed, **spark_params(settings, FOREST_PARAMS))
 
 
 def network(inputs: int, hidden: Sequence[int] = (8,), max_iter: int = 100, step_size: float = 0.03, seed: int = 42, label: str = "label") -> MultilayerPerceptronClassifier:

@@ -117,7 +117,7 @@ def grid_search_cv(spark, sf_dir):
     folded = stratified_folds(tables.train, "label", tables.key, 3)
     with training.Kept(folded) as (folded,):
         search = tuning.cross_validated(
-            training.boosted_trees(SMALL_BOOSTING, weight="class_weight"), grid, training._BOOSTING, folded
+            training.boosted_trees(SMALL_BOOSTING, weight="class_weight"), grid, training.BOOSTING_PARAMS, folded
         )
     return tuning.search_rows(search, folded).select("combination", "settings", "f1")
 
@@ -134,7 +134,7 @@ def random_search_cv(spark, sf_dir):
     drawn = tuning.drawn_combinations(space, 3, 42)
     both = stratified_folds(stacked(tables.train, tables.val), "label", tables.key, 3)
     with training.Kept(both) as (both,):
-        search = tuning.cross_validated(training.forest({}), drawn, training._FOREST, both)
+        search = tuning.cross_validated(training.forest({}), drawn, training.FOREST_PARAMS, both)
     return tuning.search_rows(search, both).select("combination", "settings", "f1")
 
 
