@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.scaling import missing_as_null
+
 
 def pearson(left: Column, right: Column) -> Column:
     """Aggregate; NULL where one side does not vary on the shared rows."""
@@ -18,7 +20,7 @@ def pearson(left: Column, right: Column) -> Column:
 
 
 def _value(name: str) -> Column:
-    return F.col(name).cast("double")
+    return missing_as_null(F.col(name))
 
 
 def correlation_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

@@ -12,13 +12,14 @@ from siftline.functions import scaling
 from siftline.operators import quantiles
 
 
-def fit_medians(df: DataFrame, features: Sequence[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """Exact medians; ``accuracy`` asks for approximate ones from a single pass instead."""
+def fit_medians(df: DataFrame, features: Sequence[str], approximate: bool = False) -> dict[str, float | None]:
+    """Exact medians, or on request approximate ones from a single pass."""
     values = {name: scaling.missing_as_null(F.col(name)) for name in features}
-    if accuracy is None:
-        return {n: m[0] for n, m in quantiles.exact_quantiles(df, values, (0.5,)).items()}
-    row = df.agg(*[F.percentile_approx(v, 0.5, accuracy).alias(n) for n, v in values.items()]).first()
-    return row.asDict()
+    if approximate:
+        found = quantiles.sketch_quantiles(df, {n: (v, (0.5,)) for n, v in values.items()})
+        return {n: points[0] if points else None for n, (_, points) in found.items()}
+    medians, _ = quantiles.exact_quantiles(df, values, (0.5,))
+    return {n: m[0] for n, m in medians.items()}
 
 
 def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.scaling import missing_as_null
 from siftline.operators import quantiles
 from siftline.operators.labeling import class_ratio, positive_share
 from siftline.operators.tables import is_missing, one_row_per
@@ -24,19 +25,19 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    values = {name: F.col(name).cast("double") for name in columns}
+    values = {name: missing_as_null(F.col(name)) for name in columns}
     stats = []
     for name, value in values.items():
         stats += [
+            F.count(value).alias(f"rows:{name}"),
             F.avg(value).alias(f"mean:{name}"),
             F.stddev_samp(value).alias(f"std:{name}"),
             F.min(value).alias(f"min:{name}"),
             F.max(value).alias(f"max:{name}"),
         ]
-    row = df.agg(*stats, *quantiles.sketch(values, QUARTILES)).first()
-    quarters = quantiles.resolve(df, values, QUARTILES, row)
+    quarters, row = quantiles.exact_quantiles(df, values, QUARTILES, stats)
     lines = [
-        (n, row[f"size:{n}"], row[f"mean:{n}"], row[f"std:{n}"], row[f"min:{n}"], *quarters[n], row[f"max:{n}"])
+        (n, row[f"rows:{n}"], row[f"mean:{n}"], row[f"std:{n}"], row[f"min:{n}"], *quarters[n], row[f"max:{n}"])
         for n in columns
     ]
     schema = (
@@ -49,13 +50,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_comparison(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Mean and exact median per class and column."""
     values = {
-        f"{value}:{name}": F.when(F.col(label) == value, F.col(name).cast("double"))
+        f"{value}:{name}": F.when(F.col(label) == value, missing_as_null(F.col(name)))
         for value in (0, 1)
         for name in columns
     }
     means = [F.avg(value).alias(f"mean:{name}") for name, value in values.items()]
-    row = df.agg(*means, *quantiles.sketch(values, (0.5,))).first()
-    medians = quantiles.resolve(df, values, (0.5,), row)
+    medians, row = quantiles.exact_quantiles(df, values, (0.5,), means)
     lines = [
         (value, name, row[f"mean:{value}:{name}"], medians[f"{value}:{name}"][0])
         for value in (0, 1)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.scaling import missing_as_null
+from siftline.operators.quantiles import balanced_edges
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -25,15 +26,13 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
     counts = rows.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    steps = [i / parts for i in range(1, parts)]
-    bounds = rows.agg(F.percentile_approx("score", steps, max(10_000, 10 * parts))).first()[0] or [0.0]
-    edges = [-math.inf, *sorted(set(bounds)), math.inf]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = [-math.inf, *(balanced_edges(rows, F.col("score"), parts) or [0.0]), math.inf]
     return Bucketizer(splits=edges, inputCol="score", outputCol="bucket").transform(counts)
 
 
 def _bucket_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per bucket (at most one per shuffle partition and group), chained from the top."""
+    """One row per bucket (at most 4096 per group), chained from the top."""
     above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     next_lower = Window.partitionBy(*by).orderBy(F.desc("bucket"))
     group = Window.partitionBy(*by)

@@ -65,7 +65,8 @@ def prepare(
 ) -> tuple[DataFrame, Preparation]:
     """(key, label, split, imputed features, scaled features) and the fitted state.
 
-    Reads the table four times beside the final use, so store it first if it is costly to make.
+    Reads the table five times beside the final use, twice for key and label alone, so store it
+    first if it is costly to make.
     ``fit_on="all"`` takes the medians from every labelled row, ``"train"`` from the training
     rows only. Scaling is always fitted on the training rows.
     """
@@ -80,21 +81,20 @@ def prepare(
     # The cuts of the split are found from key and label alone.
     table = stratified_split(table, spec.label, spec.key, test_size, val_size, seed, spec.split)
 
-    # One pass gives the missing shares, what the medians start from, and the training moments.
+    # Missing shares and training moments come from the pass that checks the medians.
     in_train = F.col(spec.split) == "train"
     everywhere = {n: F.col(n) for n in wanted}
     trained = {n: F.when(in_train, F.col(n)) for n in wanted}
-    fitted = everywhere if fit_on == "all" else trained
-    first = table.agg(
+    along = [
         F.count_if(in_train).alias("train_rows"),
         *[F.avg(v.isNull().cast("double")).alias(f"missing:{n}") for n, v in everywhere.items()],
         *[F.count(v).alias(f"present:{n}") for n, v in trained.items()],
-        *quantiles.sketch(fitted, (0.5,)),
         *imputing.moments(trained),
-    ).first()
-    features = [n for n in wanted if (first[f"missing:{n}"] or 0.0) <= max_missing and first[f"size:{n}"]]
-    found = quantiles.resolve(table, {n: fitted[n] for n in features}, (0.5,), first)
-    medians = {n: m[0] for n, m in found.items()}
+    ]
+    fitted = everywhere if fit_on == "all" else trained
+    found, first = quantiles.exact_quantiles(table, fitted, (0.5,), along)
+    features = [n for n in wanted if (first[f"missing:{n}"] or 0.0) <= max_missing and found[n][0] is not None]
+    medians = {n: found[n][0] for n in features}
     scales = {}
     for n in features:
         raw = {stat: first[f"{stat}:{n}"] for stat in imputing.STATS}

@@ -40,27 +40,22 @@ def csv_with_trailing_comments(spark, sf_dir):
 
 
 def _csv_events(spark, sf_dir, trailing):
-    """Every file: a comment, the header, then event lines with comment lines between them."""
+    """Events as CSV with a comment line before every event; NULL where the id ends in 9."""
     path = new_path(spark, "events-csv")
-    value = F.when(F.col("event_id") % 10 != 9, F.col("value").cast("string")).otherwise("")
-    text = F.concat_ws(",", F.col("event_id").cast("string"), value, F.col("event_type"))
+    kind = F.col("event_type")
     if trailing:
-        text = F.concat(text, F.when(F.col("event_id") % 2 == 0, F.lit(" # even")).otherwise(F.lit("")))
+        kind = F.concat(kind, F.when(F.col("event_id") % 2 == 0, F.lit(" # even")).otherwise(F.lit("")))
     comment = F.concat(F.lit("# user "), F.col("user_id").cast("string"))
-    events = table(spark, sf_dir, "events").select(F.concat(comment, F.lit("\n"), text).alias("value"), "event_id")
-    top = F.lit("# exported events\nevent_id,value,event_type\n")
-    starts = events.withColumn("file", F.col("event_id") % 4)
-    first = starts.groupBy("file").agg(F.min("event_id").alias("event_id"))
-    marked = starts.join(first.select("event_id", F.lit(True).alias("starts")), "event_id", "left")
-    (
-        marked.repartition("file")
-        .sortWithinPartitions("file", "event_id")
-        .select("file", F.when(F.col("starts"), F.concat(top, F.col("value"))).otherwise(F.col("value")).alias("value"))
-        .write.partitionBy("file")
-        .text(path)
+    nothing = F.lit(None).cast("string")
+    event = F.struct(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.when(F.col("event_id") % 10 != 9, F.col("value").cast("string")).alias("value"),
+        kind.alias("event_type"),
     )
+    note = F.struct(comment.alias("event_id"), nothing.alias("value"), nothing.alias("event_type"))
+    table(spark, sf_dir, "events").select(F.inline(F.array(note, event))).write.csv(path, header=True)
     types = {"event_id": "bigint", "value": "double"}
-    return read_csv(spark, f"{path}/*", types, trailing_comments=trailing)
+    return read_csv(spark, path, types, trailing_comments=trailing)
 
 
 def order_scorer(spark, sf_dir):

@@ -130,7 +130,7 @@ def test_scaling_does_not_clip_and_can_be_undone(spark):
 def test_median_is_not_the_lower_middle(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     assert imputing.fit_medians(df, ["x"]) == {"x": 2.5}
-    assert imputing.fit_medians(df, ["x"], accuracy=100) == {"x": 2.0}
+    assert imputing.fit_medians(df, ["x"], approximate=True) == {"x": 2.0}
 
 
 def test_filled_moments_match_a_second_pass(spark):
