@@ -56,7 +56,7 @@ def row_at(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def paired(features: DataFrame, labels: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Feature rows with their labels, matched on the key."""
+    """Feature rows with their labels, matched on the key, which must identify a row of both."""
     return features.join(labels, list(key), "inner")
 
 

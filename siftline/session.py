@@ -14,10 +14,10 @@ def shared_folder(spark: SparkSession) -> str:
     It is set here only where the session names none, which is allowed on a local master
     alone: a cluster must name a folder that every executor reaches.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):

@@ -16,6 +16,7 @@ from siftline.workload.preparation import prepared_orders
 from siftline.workload.registry import (
     KEPT,
     LINE_MAP,
+    LINES,
     ORDER_SPEC,
     PREPARED,
     lines,
@@ -40,20 +41,19 @@ def csv_with_trailing_comments(spark, sf_dir):
 
 
 def _csv_events(spark, sf_dir, trailing):
-    """Events as CSV with a comment line before every event; NULL where the id ends in 9."""
+    """Events as CSV with a comment line before every event; no value where the id ends in 9."""
     path = new_path(spark, "events-csv")
-    kind = F.col("event_type")
+    value = F.when(F.col("event_id") % 10 != 9, F.col("value").cast("string")).otherwise("")
+    text = F.concat_ws(",", F.col("event_id").cast("string"), value, F.col("event_type"))
     if trailing:
-        kind = F.concat(kind, F.when(F.col("event_id") % 2 == 0, F.lit(" # even")).otherwise(F.lit("")))
-    comment = F.concat(F.lit("# user "), F.col("user_id").cast("string"))
-    nothing = F.lit(None).cast("string")
-    event = F.struct(
-        F.col("event_id").cast("string").alias("event_id"),
-        F.when(F.col("event_id") % 10 != 9, F.col("value").cast("string")).alias("value"),
-        kind.alias("event_type"),
-    )
-    note = F.struct(comment.alias("event_id"), nothing.alias("value"), nothing.alias("event_type"))
-    table(spark, sf_dir, "events").select(F.inline(F.array(note, event))).write.csv(path, header=True)
+        text = F.concat(text, F.when(F.col("event_id") % 2 == 0, F.lit(" # even")).otherwise(F.lit("")))
+    text = F.concat(F.lit("# user "), F.col("user_id").cast("string"), F.lit("\n"), text)
+    # The first row of a partition starts its file: it also carries the header.
+    header = F.lit("# exported events\nevent_id,value,event_type\n")
+    starts = F.monotonically_increasing_id() % F.lit(2**33) == 0
+    table(spark, sf_dir, "events").select(
+        F.when(starts, F.concat(header, text)).otherwise(text).alias("value")
+    ).write.text(path)
     types = {"event_id": "bigint", "value": "double"}
     return read_csv(spark, path, types, trailing_comments=trailing)
 
@@ -91,6 +91,13 @@ def csv_upload_scored(spark, sf_dir):
     )
 
 
+@query()
+def typical_record_score(spark, sf_dir):
+    """One record, made of the medians of the table, is scored on its own."""
+    scorer = order_scorer(spark, sf_dir)
+    return scorer.score_record(spark, scorer.preparation.medians)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def csv_export(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -175,6 +182,17 @@ def explorer_report(spark, sf_dir):
     return _long(reports.explorer_report(df, features))
 
 
-@query()
+_CURVE = f"""WITH {LINES}, g AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM lines
+      GROUP BY score),
+    w AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS place, lead(pos) OVER (ORDER BY score DESC) AS next_pos,
+      lead(neg) OVER (ORDER BY score DESC) AS next_neg FROM g)"""
+
+
+@query(
+    f"""{_CURVE} SELECT 'metrics' AS part, 5 AS rows UNION ALL SELECT 'confusion', 1 UNION ALL SELECT 'classes', 5
+    UNION ALL SELECT 'roc', count(*) + 1 FROM w WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+    UNION ALL SELECT 'calibration', count(DISTINCT greatest(ceil(score * 10) - 1, 0)) FROM lines
+    UNION ALL SELECT 'score_histogram', 60"""
+)
 def performance_report(spark, sf_dir):
     return _long(reports.performance_report(scored_lines(spark, sf_dir)))

@@ -113,7 +113,7 @@ def rf_history(spark, sf_dir):
 @query()
 def grid_search_cv(spark, sf_dir):
     tables = text_tables(spark, sf_dir)
-    grid = tuning.combinations_of({"n_estimators": [4, 8], "max_depth": [2, 3], "learning_rate": [0.1]})
+    grid = tuning.combinations_of({"n_estimators": [3, 6], "max_depth": [2, 3], "learning_rate": [0.1]})
     folded = stratified_folds(tables.train, "label", tables.key, 3)
     with training.Kept(folded) as (folded,):
         search = tuning.cross_validated(
@@ -122,20 +122,34 @@ def grid_search_cv(spark, sf_dir):
     return tuning.search_rows(search, folded).select("combination", "settings", "f1")
 
 
+_SMALL_SPACE = {
+    "n_estimators": [4, 8, 12],
+    "max_depth": [3, 5],
+    "min_samples_leaf": [1, 2, 4],
+    "max_features": ["sqrt", "log2", None],
+}
+
+
+def _random_search(tables, draws):
+    """Drawn combinations, scored by cross-validation over training and validation rows."""
+    both = stratified_folds(stacked(tables.train, tables.val), "label", tables.key, 3)
+    drawn = tuning.drawn_combinations(_SMALL_SPACE, draws, 42)
+    with training.Kept(both) as (kept,):
+        return tuning.cross_validated(training.forest({}), drawn, training.FOREST_PARAMS, kept)
+
+
 @query()
 def random_search_cv(spark, sf_dir):
     tables = text_tables(spark, sf_dir)
-    space = {
-        "n_estimators": [5, 10, 20],
-        "max_depth": [3, 5, None],
-        "min_samples_leaf": [1, 2, 4],
-        "max_features": ["sqrt", "log2", None],
-    }
-    drawn = tuning.drawn_combinations(space, 3, 42)
-    both = stratified_folds(stacked(tables.train, tables.val), "label", tables.key, 3)
-    with training.Kept(both) as (both,):
-        search = tuning.cross_validated(training.forest({}), drawn, training.FOREST_PARAMS, both)
-    return tuning.search_rows(search, both).select("combination", "settings", "f1")
+    return tuning.search_rows(_random_search(tables, 3), tables.train)
+
+
+@query()
+def refit_on_train(spark, sf_dir):
+    tables = text_tables(spark, sf_dir)
+    search = _random_search(tables, 2)
+    best = tuning.refit_best(search, training.forest({}), training.FOREST_PARAMS, tables.train)
+    return _metric_rows("forest", "tuned", best, tables)
 
 
 @query()

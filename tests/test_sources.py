@@ -165,3 +165,16 @@ def test_display(spark):
         with_unit(F.lit(10.0), 2, "days"), with_unit(F.lit(500.25), 1, "ppm"), percent(F.lit(0.8316))
     ).first()
     assert tuple(row) == ("10.00 days", "500.3 ppm", "83.16%")
+
+
+def test_shared_folder_comes_from_the_session(spark, tmp_path):
+    from siftline.session import new_path, shared_folder
+
+    assert shared_folder(spark) == shared_folder(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert shared_folder(spark) == str(tmp_path)
+        first, second = new_path(spark, "x"), new_path(spark, "x")
+        assert first != second and first.startswith(str(tmp_path))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
