@@ -31,6 +31,7 @@ class _Cut:
     prefix: str = ""
     before: int = 0
     rows: int = 0
+    hot: bool = False
 
     @property
     def group(self) -> str:
@@ -106,7 +107,7 @@ class KeyOrder:
         if cuts:
             digits, counted = DIGITS, self._prefixes
             self._enter(list(cuts.values()), counted)
-            while any(cut.rows > RANKED_ROWS for cut in cuts.values()) and digits < 30:
+            while any(cut.rows > RANKED_ROWS and not cut.hot for cut in cuts.values()) and digits < 30:
                 inside = self._inside(list(cuts.values()), digits)
                 digits += DIGITS
                 self._enter(list(cuts.values()), self._count(inside, digits))
@@ -125,6 +126,8 @@ class KeyOrder:
                 if not group.startswith(cut.group):
                     continue
                 if cut.before + rows > cut.rank:
+                    # A longer prefix that keeps most rows holds one key: ranking counts it once.
+                    cut.hot = 0 < cut.rows < 2 * rows
                     cut.prefix, cut.rows = group[1:], rows
                     break
                 cut.before += rows
