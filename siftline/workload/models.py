@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from siftline.functions.hashing import POISSON_ONE_CDF
 from siftline.functions.labels import thresholded
 from siftline.operators import evaluate
 from siftline.operators.labeling import with_class_weight
@@ -241,11 +242,7 @@ def oob_score(spark, sf_dir):
         )
 
 
-_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999999885745217,
-)
-_DRAWN = " + ".join(f"(u >= {limit}::DOUBLE)::INT" for limit in _CDF)
+_DRAWN = " + ".join(f"(u >= {limit}::DOUBLE)::INT" for limit in POISSON_ONE_CDF)
 
 
 @query(
