@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +45,18 @@ def read_csv(
         lines = spark.read.text(path).select(
             F.rtrim(F.regexp_replace("value", "#.*$", "")).alias("line")
         )
-        header = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"})
-        rows = lines.where(F.col("line") != "").select(header.alias("row"))
-        is_header = F.lit(True)
-        for name in names:
-            is_header = is_header & F.trim(F.col("row")[name]).eqNullSafe(F.lit(name))
-        df = rows.where(~is_header).select("row.*")
+        ddl = ", ".join(f"`{name}` string" for name in names)
+        rows = lines.where(F.col("line") != "").select(F.from_csv("line", ddl).alias("row"))
+        same = [F.trim(F.col("row").getField(name)).eqNullSafe(F.lit(name)) for name in names]
+        df = rows.where(~reduce(lambda a, b: a & b, same)).select("row.*")
     elif types is None:
         return spark.read.csv(path, header=True, comment="#", inferSchema=True)
     else:
         df = spark.read.csv(path, schema=schema, header=True, comment="#", enforceSchema=False)
     types = types or {}
+    columns = {name: F.col(f"`{name}`") for name in names}
     return df.select(
-        *[F.trim(F.col(n)).try_cast(types[n]).alias(n) if n in types else F.col(n) for n in names]
+        *[F.trim(c).try_cast(types[n]).alias(n) if n in types else c for n, c in columns.items()]
     )
 
 

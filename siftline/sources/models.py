@@ -6,7 +6,6 @@ import warnings
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
 
 
 def save_pipeline(model: PipelineModel, path: str, overwrite: bool = False) -> None:
@@ -16,7 +15,6 @@ def save_pipeline(model: PipelineModel, path: str, overwrite: bool = False) -> N
 
 def load_pipelines(paths: Mapping[str, str]) -> dict[str, PipelineModel]:
     """Models that can be read; a missing one is reported and skipped, none at all is an error."""
-    SparkSession.getActiveSession()
     models = {}
     for name, path in paths.items():
         try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions.hashing import POISSON_ONE_CDF
 from siftline.functions.labels import thresholded
 from siftline.operators import evaluate
-from siftline.operators.labeling import with_class_weight
+from siftline.operators.labeling import class_ratio, with_class_weight
 from siftline.operators.split import stratified_folds
 from siftline.operators.tables import stacked
 from siftline.plans import ensemble, importance, training, tuning
@@ -44,8 +45,6 @@ class Tables:
 
     @staticmethod
     def _ratio(stored):
-        from siftline.operators.labeling import class_ratio
-
         return stored.where(F.col("split") == "train").agg(class_ratio("label")).first()[0]
 
     @contextmanager
@@ -283,8 +282,6 @@ def saved_model_agreement(spark, sf_dir):
 
 @query("SELECT 'there' AS model")
 def missing_model_is_skipped(spark, sf_dir):
-    import warnings
-
     tables = text_tables(spark, sf_dir)
     model = training.fit(training.forest({**SMALL_FOREST, "n_estimators": 2}), tables.train).model
     path = new_path(spark, "scorer")

@@ -9,13 +9,12 @@ from siftline.operators import impute as imputing
 from siftline.operators.labeling import label_distribution as label_rows
 from siftline.operators.labeling import with_label
 from siftline.operators.split import stratified_folds, stratified_split
-from siftline.operators.tables import stacked
+from siftline.operators.tables import paired, stacked
 from siftline.plans.prepare import Preparation, prepare
 from siftline.session import new_path
 from siftline.sources.prepared import preparation_summary, read_prepared, write_prepared
 from siftline.workload.registry import (
     KEPT,
-    LINE_FEATURES,
     LINES,
     ORDER_SPEC,
     ORDERS,
@@ -284,8 +283,6 @@ def fitted_parameters(spark, sf_dir):
     """SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
 )
 def features_with_labels(spark, sf_dir):
-    from siftline.operators.tables import paired
-
     features = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return paired(features, labels, ["doc_id"])

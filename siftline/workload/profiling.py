@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftline.functions import labels
 from siftline.functions.display import KOI_DISPLAY, percent, with_unit
-from siftline.functions.labels import membership_flag
 from siftline.operators import correlation, labeling, profile
 from siftline.operators.histogram import histogram, histogram_by_class
+from siftline.operators.impute import fit_medians, impute
 from siftline.operators.tables import available, first_rows, numeric_columns, row_at
 from siftline.workload.registry import (
-    KEPT,
     LINE_FEATURES,
     LINE_GAP_FEATURES,
     LINE_MAP,
@@ -50,9 +50,8 @@ def label_distribution(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS label FROM orders")
 def mapped_label(spark, sf_dir):
-    from siftline.functions.labels import mapped_label as mapped
-
-    return table(spark, sf_dir, "orders").select("o_orderkey", mapped("o_orderstatus", {"F": 0, "O": 1}).alias("label"))
+    label = labels.mapped_label("o_orderstatus", {"F": 0, "O": 1})
+    return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
 
 
 @query("SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
@@ -77,7 +76,7 @@ def membership_flags(spark, sf_dir):
     gaps = table(spark, sf_dir, "orders").withColumn(
         "status", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus"))
     )
-    return gaps.select("o_orderkey", membership_flag("status", ["O", "P"]).alias("is_open"))
+    return gaps.select("o_orderkey", labels.membership_flag("status", ["O", "P"]).alias("is_open"))
 
 
 @query(
@@ -161,8 +160,6 @@ def missing_totals(spark, sf_dir):
     LIMIT 1"""
 )
 def missing_totals_after_imputing(spark, sf_dir):
-    from siftline.operators.impute import fit_medians, impute
-
     df = lines(spark, sf_dir).select(*LINE_GAP_FEATURES)
     return profile.missing_totals(impute(df, fit_medians(df, LINE_GAP_FEATURES)))
 

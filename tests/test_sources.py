@@ -54,6 +54,15 @@ def test_columns_are_matched_by_name(spark, tmp_path):
         csv_files.read_features_csv(spark, str(path), ["a", "c"])
 
 
+def test_unusual_column_names(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("# c\na.b,two words\n1,x # note\n2,y\n")
+    for trailing in (False, True):
+        rows = csv_files.read_csv(spark, str(path), {"a.b": "int"}, trailing_comments=trailing).collect()
+        assert [r["a.b"] for r in rows] == [1, 2]
+    assert [r["two words"] for r in rows] == ["x", "y"]
+
+
 def test_empty_file(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("# nothing\n")
