@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from contextlib import suppress
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -79,3 +81,23 @@ def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` has returned and nothing reads any more."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         discard(df.sparkSession, path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for an application.
+
+    They import it by name, but only the driver is known to have it on its path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(package.rglob("*.py")):
+            packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))  # Spark hands it out from the driver
+    _SHIPPED.add(context.applicationId)
