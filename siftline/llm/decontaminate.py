@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.columns import renamed
 from siftline.session import stored
 
 #: Rows of the items' tables up to which they are sent to every executor; beyond, Spark shuffles both sides.
@@ -154,7 +155,10 @@ def contained_items(
     )
 
 
-def decontaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminated(
+    documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
     """The rows of ``documents``, all columns, that hold none of the ``items``. Rows that share an id go together."""
-    found = contained_items(documents, items, id_col, **options).select(F.col(id_col).alias("_found")).distinct()
-    return documents.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+    rows, (id_at, text_at) = renamed(documents, id_col, text_col)
+    found = contained_items(rows, items, id_at, text_at, **options).select(F.col(id_at).alias("found")).distinct()
+    return rows.join(found, F.col(id_at).eqNullSafe(F.col("found")), "left_anti").toDF(*documents.columns)

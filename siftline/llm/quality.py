@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.llm.columns import renamed
 from siftline.llm.slices import list_array, text_slices
 
 #: Rows of the table of word vectors (words share rows by a hash, so the table doesn't grow), their
@@ -216,12 +217,11 @@ def fit(
     return fit_network(np.array([row.features for row in rows]), answers, vectors)
 
 
-def _scorer(model) -> Callable:
+def _scorer(model, text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "_scored_text"):
-            kept = [name for name in batch.schema.names if name != "_scored_text"]
+        for batch, texts in text_slices(batches, text):
             score = pa.array(model.value.scores(texts), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), score], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
     return run
 
@@ -234,8 +234,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     df = df.drop("score")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    return df.withColumn("_scored_text", F.col(text_col)).mapInArrow(_scorer(sent), schema)
+    return df.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(model), text_col), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -256,8 +255,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``documents``, all columns, with a score of at least ``threshold``."""
-    columns = documents.columns
     model = fit(documents, labels.where(~held_out()))
-    renamed = documents.toDF(*(f"c{k}" for k in range(len(columns))))
-    scored = score(renamed, model, f"c{columns.index('text')}")
-    return scored.where(F.col("score") >= threshold).drop("score").toDF(*columns)
+    rows, (text_at,) = renamed(documents, "text")
+    return score(rows, model, text_at).where(F.col("score") >= threshold).drop("score").toDF(*documents.columns)

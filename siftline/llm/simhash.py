@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.columns import renamed
 from siftline.llm.components import components, merge
 from siftline.session import stored
 
@@ -206,13 +207,13 @@ def one_of_each(
     Rows that share id and text are one document. Between rows that share only the id, a hash of
     the text decides; null ids come last.
     """
-    classes = _classes(df, id_col, text_col, shingle, max_bits)
+    rows, (id_at, text_at) = renamed(df, id_col, text_col)
+    classes = _classes(rows, id_at, text_at, shingle, max_bits)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
     kept = classes.groupBy("root").agg(first).select("first.id", "first.text_hash")
-    chosen = df.withColumn("_text_hash", F.xxhash64(text_col)).join(
-        kept, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text_hash") == F.col("text_hash")), "left_semi"
-    )
-    repeated = classes.groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash")
+    same = F.col(id_at).eqNullSafe(F.col("id")) & (F.xxhash64(text_at) == F.col("text_hash"))
+    chosen = rows.join(kept, same, "left_semi")
+    repeated = classes.groupBy("id", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates([id_col, "_text_hash"])
-    return chosen.drop("_text_hash")
+        chosen = chosen.withColumn("_hash", F.xxhash64(text_at)).dropDuplicates([id_at, "_hash"]).drop("_hash")
+    return chosen.toDF(*df.columns)
