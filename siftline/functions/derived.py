@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
+
 
 @dataclass(frozen=True)
 class DerivedFeatures:
@@ -43,27 +45,30 @@ KOI_DERIVED = DerivedFeatures(
 
 def ratio(numerator: str, denominator: str) -> Column:
     """``a / (b + 1)``; NULL where the denominator is 0."""
-    return F.try_divide(F.col(numerator), F.col(denominator) + F.lit(1.0))
+    return F.try_divide(col(numerator), col(denominator) + F.lit(1.0))
 
 
 def product(left: str, right: str) -> Column:
-    return F.col(left) * F.col(right)
+    return col(left) * col(right)
 
 
 def log_plus_one(name: str) -> Column:
     """NULL at and below -1."""
-    return F.log1p(F.col(name))
+    return F.log1p(col(name))
 
 
 def square(name: str) -> Column:
-    return F.col(name) * F.col(name)
+    return col(name) * col(name)
+
 
+def with_derived(df: DataFrame, derived: DerivedFeatures, suffix: str = "") -> DataFrame:
+    """All derived features in one projection, made of the columns whose names end in ``suffix``.
 
-def with_derived(df: DataFrame, derived: DerivedFeatures) -> DataFrame:
-    """All derived features in one projection. Logs of absent columns are left out."""
+    Logs of absent columns are left out.
+    """
     columns: dict[str, Column] = {}
-    columns.update({name: ratio(*pair) for name, pair in derived.ratios.items()})
-    columns.update({name: product(*pair) for name, pair in derived.products.items()})
-    columns.update({f"{n}_log": log_plus_one(n) for n in derived.logs if n in df.columns})
-    columns.update({f"{name}_squared": square(name) for name in derived.squares})
+    columns.update({name: ratio(*(f"{part}{suffix}" for part in pair)) for name, pair in derived.ratios.items()})
+    columns.update({name: product(*(f"{part}{suffix}" for part in pair)) for name, pair in derived.products.items()})
+    columns.update({f"{n}_log": log_plus_one(n + suffix) for n in derived.logs if n + suffix in df.columns})
+    columns.update({f"{name}_squared": square(name + suffix) for name in derived.squares})
     return df.withColumns(columns)

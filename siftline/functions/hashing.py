@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
+
 # P(N <= k) of a Poisson(1) count, k = 0..9.
 POISSON_ONE_CDF = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
@@ -16,8 +18,13 @@ POISSON_ONE_CDF = (
 
 
 def key_hash(seed: int, key: Sequence[str]) -> Column:
-    """32 hexadecimal digits from ``seed:key1:key2...``; a NULL key part counts as empty."""
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in key]
+    """32 hexadecimal digits from ``seed:key``, or ``seed:length:key1:length:key2...`` for several parts.
+
+    The lengths, in characters, keep ("a:", "b") and ("a", ":b") apart. A NULL part counts as empty.
+    """
+    parts = [F.coalesce(col(name).cast("string"), F.lit("")) for name in key]
+    if len(parts) > 1:
+        parts = [piece for part in parts for piece in (F.length(part).cast("string"), part)]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 
 
@@ -20,7 +22,7 @@ def pearson(left: Column, right: Column) -> Column:
 
 
 def _value(name: str) -> Column:
-    return missing_as_null(F.col(name))
+    return missing_as_null(col(name))
 
 
 def correlation_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -32,17 +34,67 @@ def correlation_with_target(df: DataFrame, columns: Sequence[str], target: str)
     return df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs")).orderBy(F.desc_nulls_last("r"), "feature")
 
 
+#: Aggregates of one pass of ``correlation_matrix``; more would not compile to one method of fair size.
+AT_ONCE = 40
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every ordered pair as (feature_x, feature_y, r), from one pass over the table."""
-    cells = []
-    for name in columns:
-        own = F.when(F.var_pop(_value(name)) > 0, F.lit(1.0))
-        cells.append(_cell(name, name, own))
-    for x, y in combinations(columns, 2):
-        r = pearson(_value(x), _value(y))
-        cells += [_cell(x, y, r), _cell(y, x, r)]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-
-
-def _cell(x: str, y: str, r: Column) -> Column:
-    return F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"), r.alias("r"))
+    """Every ordered pair as (feature_x, feature_y, r).
+
+    One pass finds means, deviations and counts. Around the means all else is plain sums: one for
+    each pair, and, only for pairs of which a side has gaps, five more over the rows that both
+    have. They are taken in groups that still compile, each a pass that reads its columns alone.
+    """
+    names = list(columns)
+    first = _moments(df, names)
+    centred = {n: _value(n) - F.lit(first[n]["mean"] or 0.0) for n in names}
+    whole = {n for n in names if first[n]["count"] == first["rows"]}
+    sums: dict[str, Column] = {}
+    for x, y in combinations(names, 2):
+        both = centred[x] * centred[y]
+        sums[f"{x}|{y}|xy"] = F.sum(both)
+        if not {x, y} <= whole:
+            there = both.isNotNull()
+            for part, value in (("x", centred[x]), ("y", centred[y])):
+                sums[f"{x}|{y}|{part}"] = F.sum(F.when(there, value))
+                sums[f"{x}|{y}|{part}{part}"] = F.sum(F.when(there, value * value))
+            sums[f"{x}|{y}|n"] = F.count(both)
+    found: dict[str, float | None] = {}
+    listed = list(sums.items())
+    for k in range(0, len(listed), AT_ONCE):
+        some = listed[k : k + AT_ONCE]
+        row = df.agg(*(value.alias(str(i)) for i, (_, value) in enumerate(some))).first()
+        found |= {name: row[i] for i, (name, _) in enumerate(some)}
+    rows = [(n, n, 1.0 if (first[n]["square"] or 0.0) > 0 else None) for n in names]
+    for x, y in combinations(names, 2):
+        if {x, y} <= whole:
+            r = _r(first["rows"], 0.0, 0.0, first[x]["square"], first[y]["square"], found[f"{x}|{y}|xy"])
+        else:
+            r = _r(*(found[f"{x}|{y}|{part}"] for part in ("n", "x", "y", "xx", "yy", "xy")))
+        rows += [(x, y, r), (y, x, r)]
+    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, r double")
+
+
+def _moments(df: DataFrame, names: Sequence[str]) -> dict:
+    """Rows of the table, and per column the count, the mean and the sum of squares around it."""
+    out: dict = {}
+    for k in range(0, len(names), AT_ONCE // 3):
+        some = names[k : k + AT_ONCE // 3]
+        cells = [a for n in some for a in (F.count(_value(n)), F.avg(_value(n)), F.var_pop(_value(n)))]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *(c.alias(str(i)) for i, c in enumerate(cells))).first()
+        out["rows"] = row["rows"]
+        for i, n in enumerate(some):
+            count, mean, variance = row[3 * i + 1 : 3 * i + 4]
+            out[n] = {"count": count, "mean": mean, "square": None if variance is None else variance * count}
+    return out
+
+
+def _r(n, x, y, xx, yy, xy) -> float | None:
+    """From sums around any two centres; None where a side does not vary."""
+    if not n or xy is None:
+        return None
+    own_x, own_y = xx - x * x / n, yy - y * y / n
+    # What is left of equal values is rounding of the squares that were added up.
+    if own_x <= 1e-13 * xx or own_y <= 1e-13 * yy or own_x <= 0 or own_y <= 0:
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(own_x) / math.sqrt(own_y)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import mapped_label
@@ -21,13 +21,12 @@ def unmapped_values(df: DataFrame, category: str, label_map: Mapping[str, int])
 
 
 def category_counts(df: DataFrame, category: str) -> DataFrame:
-    """Rows per category, and percent of all rows including those without a category."""
-    total = df.select(F.count(F.lit(1))).scalar()
+    """Rows per category, and percent of all rows including those without a category. One scan."""
+    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("rows"))
+    total = F.sum("rows").over(Window.partitionBy())  # one row for each category
     return (
-        df.where(F.col(category).isNotNull())
-        .groupBy(category)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("percent", F.col("rows") / total * 100)
+        counts.withColumn("percent", F.col("rows") / total * 100)
+        .where(F.col(category).isNotNull())
         .orderBy(F.desc("rows"), F.asc(category))
     )
 

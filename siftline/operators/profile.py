@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 from siftline.operators import quantiles
 from siftline.operators.labeling import class_ratio, positive_share
@@ -123,18 +124,19 @@ def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.least(*lows).alias("low"), F.greatest(*highs).alias("high"))
 
 
-def with_range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]], name: str = "violations") -> DataFrame:
-    """Names of the columns whose value lies outside its allowed range."""
-    checks = [
-        F.when(~F.col(column).between(low, high), F.lit(column)) for column, (low, high) in ranges.items()
-    ]
+def with_range_violations(df: DataFrame, ranges: Mapping[str, Sequence[float]], name: str = "violations") -> DataFrame:
+    """Names of the columns whose value lies outside its allowed range.
+
+    A range starts with the smallest and the largest value; more, as a spec's default, is ignored.
+    """
+    checks = [F.when(~col(column).between(*span[:2]), F.lit(column)) for column, span in ranges.items()]
     return df.withColumn(name, F.array_compact(F.array(*checks)))
 
 
-def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+def range_violations(df: DataFrame, ranges: Mapping[str, Sequence[float]]) -> DataFrame:
     """Rows outside the allowed range, per column, from one pass."""
     counts = [
-        F.count_if(~F.col(column).between(low, high)).alias(f"violations:{column}")
-        for column, (low, high) in ranges.items()
+        F.count_if(~col(column).between(*span[:2])).alias(f"violations:{column}")
+        for column, span in ranges.items()
     ]
     return one_row_per(df.agg(*counts), "feature", list(ranges), ["violations"])

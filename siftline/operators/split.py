@@ -71,15 +71,16 @@ def fold_sizes(counts: Mapping[int, int], folds: int) -> dict[int, list[int]]:
 
 
 class KeyOrder:
-    """Rows with a 0/1 label in hash order, counted per class and hash prefix."""
+    """Rows in hash order, counted per class and hash prefix. A label other than 0 and 1 is an error."""
 
     def __init__(self, df: DataFrame, label: str, key: Sequence[str], seed: int):
-        rows = df.select(F.col(label).alias("label"), key_hash(seed, key).alias("hash"))
-        self.rows = rows.where(F.col("label").isin(0, 1))
+        self.rows = df.select(F.col(label).cast("string").alias("label"), key_hash(seed, key).alias("hash"))
         self.label, self.key, self.seed = label, tuple(key), seed
         self._prefixes = self._count(self.rows, DIGITS)
         self.counts: dict[int, int] = {}
         for group, rows_inside in self._prefixes.items():
+            if group is None or group[0] not in "01" or len(group) > 1 + DIGITS:
+                raise ValueError(f"{rows_inside} rows or more have another label than 0 and 1 in {label}")
             value = int(group[0])
             self.counts[value] = self.counts.get(value, 0) + rows_inside
 

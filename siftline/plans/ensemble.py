@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 
 from siftline.functions.hashing import key_fraction, poisson_count
 from siftline.functions.labels import mean_probability, thresholded
-from siftline.plans.training import ENSEMBLE_DEFAULTS, Fitted, boosted_trees, fit, fit_early_stopped, validation_f1
+from siftline.plans.training import (
+    ENSEMBLE_DEFAULTS,
+    FOREST_BASELINE,
+    FOREST_PARAMS,
+    Fitted,
+    boosted_trees,
+    fit,
+    fit_early_stopped,
+    spark_params,
+    validation_f1,
+)
 from siftline.plans.tuning import first_best
 
 
@@ -42,16 +52,21 @@ def fit_seed_ensemble(
     patience: int = 30,
     weight: str | None = None,
     label: str = "label",
+    metrics: Sequence[str] = ("logloss",),
+    threads: int = 2,
 ) -> SeedEnsemble:
-    fitted = [
-        fit_early_stopped(boosted_trees(settings, seed + i, weight, label), train, val, patience)
-        for i in range(members)
-    ]
+    def one(i: int) -> Fitted:
+        return fit_early_stopped(boosted_trees(settings, seed + i, weight, label), train, val, patience, metrics)
+
+    with ThreadPoolExecutor(threads) as pool:
+        fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(members)))
     return SeedEnsemble(fitted, [validation_f1(f.model, val, label) for f in fitted])
 
 
-def with_member_scores(models: Sequence[Model], df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Class-1 probability of every model in its own column; no shuffle."""
+def with_member_scores(
+    models: Sequence[Model], df: DataFrame, predictions: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """Class-1 probability of every model in its own column; no shuffle. ``predictions``: keep those as well."""
     names = []
     for i, model in enumerate(models):
         renamed = {
@@ -59,11 +74,12 @@ def with_member_scores(models: Sequence[Model], df: DataFrame) -> tuple[DataFram
             model.rawPredictionCol: f"raw_{i}",
             model.probabilityCol: f"probability_{i}",
         }
+        extra = [name for name in renamed.values() if not (predictions and name.startswith("prediction"))]
         df = (
             model.copy(renamed)
             .transform(df)
             .withColumn(f"score_{i}", vector_to_array(f"probability_{i}")[1])
-            .drop(*renamed.values())
+            .drop(*extra)
         )
         names.append(f"score_{i}")
     return df, names
@@ -87,18 +103,23 @@ def bag_count(key: Sequence[str], bag: int, seed: int) -> Column:
 def fit_bags(
     train: DataFrame,
     key: Sequence[str],
+    settings: Mapping[str, object] = FOREST_BASELINE,
     bags: int = 25,
     seed: int = 42,
     label: str = "label",
-    threads: int = 2,
-    **tree_params,
+    threads: int = 4,
 ) -> list[Model]:
-    """One tree per bag, rows weighted by their count."""
+    """One tree per bag with the settings of a forest, rows weighted by their count.
+
+    The number of trees is that of the bags. The subset of features is the forest's: Spark's own
+    choice for a single tree would be all of them.
+    """
+    params = spark_params({k: v for k, v in settings.items() if k != "n_estimators"}, FOREST_PARAMS)
 
     def one(bag: int) -> Model:
         rows = train.withColumn("bag_weight", bag_count(key, bag, seed).cast("double"))
         tree = RandomForestClassifier(
-            labelCol=label, weightCol="bag_weight", numTrees=1, bootstrap=False, seed=seed + bag, **tree_params
+            labelCol=label, weightCol="bag_weight", numTrees=1, bootstrap=False, seed=seed + bag, **params
         )
         return fit(tree, rows.where(F.col("bag_weight") > 0)).model
 

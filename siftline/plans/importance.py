@@ -8,7 +8,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import new_path
+from siftline.plans.trees import saved
 
 
 def gain_importance(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
@@ -20,11 +20,11 @@ def gain_importance(spark: SparkSession, model: Model, features: Sequence[str])
 
 def split_importance(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
     """How many splits use each feature, counted over the nodes of the saved model."""
-    path = new_path(spark, "model")
-    model.save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.split.featureIndex").where("featureIndex >= 0")
+    with saved(spark, model) as path:
+        nodes = spark.read.parquet(f"{path}/data").select("nodeData.split.featureIndex").where("featureIndex >= 0")
+        counts = nodes.groupBy("featureIndex").agg(F.count(F.lit(1)).alias("splits")).collect()  # one row a feature
     names = spark.createDataFrame(list(enumerate(features)), "featureIndex int, feature string")
-    used = nodes.groupBy("featureIndex").agg(F.count(F.lit(1)).alias("splits"))
+    used = spark.createDataFrame(counts, "featureIndex int, splits bigint")
     return (
         names.join(used, "featureIndex", "left")
         .select("feature", F.coalesce("splits", F.lit(0)).alias("importance"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 from siftline.operators import impute as imputing
 from siftline.operators import quantiles
@@ -28,6 +29,8 @@ class Preparation:
     scales: Mapping[str, Mapping[str, float]]
     label_map: Mapping[str, int]
     method: str = "minmax"
+    positive: str = "Positive"
+    negative: str = "Negative"
 
     @property
     def features(self) -> list[str]:
@@ -46,11 +49,14 @@ class Preparation:
         return parameter_table(spark, self.medians, self.scales)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        write_parameters(self.parameters(spark), self.label_map, path)
+        parameters = self.parameters(spark)
+        write_parameters(parameters, self.label_map, path, self.method, self.positive, self.negative)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, method: str = "minmax") -> Preparation:
-        return Preparation(*read_parameters(spark, path), method=method)
+    def load(spark: SparkSession, path: str) -> Preparation:
+        """With the scaling and the class texts that it was saved with."""
+        medians, scales, label_map, settings = read_parameters(spark, path)
+        return Preparation(medians, scales, label_map, **settings)
 
 
 def prepare(
@@ -75,16 +81,16 @@ def prepare(
     require_columns(df, [*spec.key, spec.category])
     labelled = with_label(df, spec.category, spec.label_map, spec.label)
     wanted = available(df, spec.features)
-    values = {name: missing_as_null(F.col(name)) for name in wanted}
+    values = {name: missing_as_null(col(name)) for name in wanted}
 
-    table = labelled.select(*spec.key, spec.label, *[v.alias(n) for n, v in values.items()])
+    table = labelled.select(*map(col, spec.key), spec.label, *[v.alias(n) for n, v in values.items()])
     # The cuts of the split are found from key and label alone.
     table = stratified_split(table, spec.label, spec.key, test_size, val_size, seed, spec.split)
 
     # Missing shares and training moments come from the pass that checks the medians.
     in_train = F.col(spec.split) == "train"
-    everywhere = {n: F.col(n) for n in wanted}
-    trained = {n: F.when(in_train, F.col(n)) for n in wanted}
+    everywhere = {n: col(n) for n in wanted}
+    trained = {n: F.when(in_train, col(n)) for n in wanted}
     along = [
         F.count_if(in_train).alias("train_rows"),
         *[F.avg(v.isNull().cast("double")).alias(f"missing:{n}") for n, v in everywhere.items()],
@@ -101,7 +107,7 @@ def prepare(
         present = first[f"present:{n}"]
         scales[n] = imputing.scale_after_filling(raw, present, first["train_rows"] - present, medians[n])
 
-    state = Preparation(medians, scales, dict(spec.label_map), method)
+    state = Preparation(medians, scales, dict(spec.label_map), method, spec.positive_text, spec.negative_text)
     prepared = imputing.scale(imputing.impute(table, medians), scales, method, SCALED)
     columns = [*spec.key, spec.label, spec.split, *features, *state.inputs]
-    return prepared.select(*columns), state
+    return prepared.select(*map(col, columns)), state

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.evaluate import binary_metrics
+from siftline.operators.ranking import roc_auc
+from siftline.plans.trees import first_trees, staged_scores
 from siftline.session import ensure_checkpointing
 
 # Baseline settings and search spaces, named as the tree libraries of the Python
@@ -134,10 +136,22 @@ def forest(settings: Mapping[str, object] = FOREST_BASELINE, seed: int = 42, lab
     return RandomForestClassifier(labelCol=label, seed=seed, **spark_params(settings, FOREST_PARAMS))
 
 
-def network(inputs: int, hidden: Sequence[int] = (8,), max_iter: int = 100, step_size: float = 0.03, seed: int = 42, label: str = "label") -> MultilayerPerceptronClassifier:
-    """A feed-forward network; a different model from an attention network over features."""
+def network(
+    inputs: int,
+    hidden: Sequence[int] = (8,),
+    max_iter: int = 100,
+    step_size: float | None = None,
+    seed: int = 42,
+    label: str = "label",
+) -> MultilayerPerceptronClassifier:
+    """A feed-forward network; a different model from an attention network over features.
+
+    A step size belongs to gradient descent and chooses it; without one the quasi-Newton solver
+    finds its own steps.
+    """
+    chosen = {} if step_size is None else {"solver": "gd", "stepSize": step_size}
     return MultilayerPerceptronClassifier(
-        labelCol=label, layers=[inputs, *hidden, 2], maxIter=max_iter, stepSize=step_size, seed=seed
+        labelCol=label, layers=[inputs, *hidden, 2], maxIter=max_iter, seed=seed, **chosen
     )
 
 
@@ -198,29 +212,64 @@ def fit(estimator: Estimator, train: DataFrame) -> Fitted:
 
 def rounds_to_keep(losses: Sequence[float], patience: int) -> int:
     """Rounds up to the best one before ``patience`` rounds passed without a gain."""
+    best, _ = _stop(losses, patience)
+    return best + 1
+
+
+def _stop(losses: Sequence[float], patience: int) -> tuple[int, int]:
+    """(best round, round at which the rule stops) from 0; the number of rounds where it doesn't stop."""
     best = 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
             best = i
         elif i - best >= patience:
-            break
-    return best + 1
+            return best, i
+    return best, len(losses)
 
 
-def fit_early_stopped(estimator: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = 20) -> Fitted:
-    """Fit, look up the best round on validation log-loss, and refit with that many rounds.
+def rounds_by_metrics(losses: Mapping[str, Sequence[float]], patience: int) -> int:
+    """Rounds kept by the metric that stops first, the first one on a tie; smaller is better for all."""
+    best, _ = min((_stop(values, patience) for values in losses.values()), key=lambda stop: stop[1])
+    return best + 1
+
 
-    The first k trees of a longer fit are the trees of a k-round fit, so the refit is the
-    truncated model. It is left out where every round was useful.
+def validation_losses(
+    model: Model, val: DataFrame, metrics: Sequence[str] = ("logloss",), label: str = "label"
+) -> dict[str, list[float]]:
+    """Per metric its loss after every round: log-loss, or 1 - AUC."""
+    spark, losses = val.sparkSession, {}
+    for metric in metrics:
+        if metric == "logloss":
+            losses[metric] = [float(x) for x in model.evaluateEachIteration(val)]
+        elif metric == "auc":
+            rows = staged_scores(spark, model, val.select(label, "features")).select(label, "round", "score")
+            found = {r["round"]: r["roc_auc"] for r in roc_auc(rows, label, "score", ["round"]).collect()}
+            losses[metric] = [1 - (0.5 if found[k + 1] is None else found[k + 1]) for k in range(len(found))]
+        else:
+            raise ValueError(f"early stopping knows logloss and auc, not {metric!r}")
+    return losses
+
+
+def fit_early_stopped(
+    estimator: GBTClassifier,
+    train: DataFrame,
+    val: DataFrame,
+    patience: int = 20,
+    metrics: Sequence[str] = ("logloss",),
+) -> Fitted:
+    """Fit, look up the best round on validation, and keep the trees up to it.
+
+    With several metrics the one that stops first decides. The trees behind the best round are
+    cut off the fitted model; nothing is fitted twice.
     """
     full = fit(estimator, train)
-    losses = full.model.evaluateEachIteration(val)
-    keep = rounds_to_keep(losses, patience)
-    notes = {"rounds": keep, "losses": list(losses)}
-    if keep == len(losses):
+    losses = validation_losses(full.model, val, metrics, estimator.getLabelCol())
+    rounds = len(next(iter(losses.values())))
+    keep = rounds_by_metrics(losses, patience) if rounds else 0
+    notes = {"rounds": keep, "losses": next(iter(losses.values())), "all_losses": losses}
+    if keep in (0, rounds):
         return Fitted(full.model, full.seconds, notes)
-    short = fit(estimator.copy({estimator.maxIter: keep}), train)
-    return Fitted(short.model, full.seconds + short.seconds, notes)
+    return Fitted(first_trees(train.sparkSession, full.model, keep), full.seconds, notes)
 
 
 def history(model_name: str, stage: str, fitted: Fitted, table: DataFrame, label: str = "label", split: str = "split") -> DataFrame:

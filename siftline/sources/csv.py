@@ -7,25 +7,62 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 from siftline.operators.tables import require_columns
 
+#: A line up to the first ``#`` outside double quotes.
+_BEFORE_COMMENT = r'^((?:[^"#]++|"(?:[^"]++|"")*+")*+)#.*$'
+#: Splits no line and quotes nothing, so that the reader gives whole lines.
+_WHOLE_LINES = {"sep": "\u0001", "quote": "", "comment": "#", "header": True}
+_EXTRA, _CORRUPT = "_extra_cell", "_corrupt_line"
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first line that is not a comment."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    first = lines.head()
-    if first is None:
+
+def _headers(spark: SparkSession, path: str, trailing_comments: bool) -> dict[tuple[str, ...], list[str]]:
+    """The files below each distinct header line, which is a file's first line that is no comment."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
+    )
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    if trailing_comments:
+        firsts = firsts.withColumn("header", F.rtrim(F.regexp_replace("header", _BEFORE_COMMENT, "$1")))
+    files = firsts.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    if not files:
         raise ValueError(f"no header line in {path}")
-    return [name.strip() for name in next(csv.reader([_without_comment(first["value"])]))]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(files, key=lambda r: r["files"][0]):
+        names = tuple(name.strip() for name in next(csv.reader([row["header"]])))
+        found[names] = found.get(names, []) + row["files"]
+    return found
+
+
+def header_names(spark: SparkSession, path: str, trailing_comments: bool = False) -> list[str]:
+    """Column names of the first line that is not a comment, of the first file."""
+    return list(next(iter(_headers(spark, path, trailing_comments))))
 
 
-def _without_comment(line: str) -> str:
-    return line.split("#", 1)[0].rstrip()
+def _parsed(
+    spark: SparkSession, files: str | list[str], names: Sequence[str], trailing_comments: bool
+) -> DataFrame:
+    """Every data line as texts, with the line in ``_CORRUPT`` where it has more cells than the header."""
+    lines = spark.read.options(**_WHOLE_LINES).schema("line string").csv(files)
+    if trailing_comments:
+        cut = F.rtrim(F.regexp_replace("line", _BEFORE_COMMENT, "$1"))
+        lines = lines.select(cut.alias("line")).where("line <> ''")
+    # A null text that no cell holds, so that an empty cell beyond the last column is seen.
+    fields = [T.StructField(name, T.StringType()) for name in [*names, _EXTRA]]
+    cells = F.from_csv("line", T.StructType(fields).toDDL(), {"nullValue": "\u0001", "emptyValue": ""})
+    rows = lines.select("line", cells.alias("cells"))
+    values = [F.nullif(F.col("cells").getField(name), F.lit("")).alias(name) for name in names]
+    over = F.col("cells").getField(_EXTRA).isNotNull()
+    return rows.select(*values, F.when(over, F.col("line")).alias(_CORRUPT))
 
 
 def read_csv(
@@ -33,45 +70,50 @@ def read_csv(
     path: str,
     types: Mapping[str, str] | None = None,
     trailing_comments: bool = False,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """All columns of the file, those in ``types`` cast, unreadable values as NULL.
+    """All columns of the files, those in ``types`` cast, unreadable values as NULL.
+
+    Lines that start with ``#`` are skipped. With ``trailing_comments`` the rest of a line after a
+    ``#`` outside double quotes is cut as well. Without ``types`` they are inferred.
 
-    Spark skips lines that start with ``#``. With ``trailing_comments`` the rest of a line
-    after ``#`` is cut as well, wherever it starts. Without ``types`` they are inferred.
+    The first line of each file that is no comment is its header; a data row that equals it stays.
+    Files may have their columns in different orders, and columns that others lack. A row with
+    fewer cells than its header is filled up with NULL. One with more is an error, or, if
+    ``corrupt`` names a column for it, kept there as a whole line (NULL for other rows).
     """
-    names = header_names(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    if trailing_comments:
-        lines = spark.read.text(path).select(
-            F.rtrim(F.regexp_replace("value", "#.*$", "")).alias("line")
-        )
-        ddl = ", ".join(f"`{name}` string" for name in names)
-        rows = lines.where(F.col("line") != "").select(F.from_csv("line", ddl).alias("row"))
-        same = [F.trim(F.col("row").getField(name)).eqNullSafe(F.lit(name)) for name in names]
-        df = rows.where(~reduce(lambda a, b: a & b, same)).select("row.*")
-    elif types is None:
-        return spark.read.csv(path, header=True, comment="#", inferSchema=True)
-    else:
-        df = spark.read.csv(path, schema=schema, header=True, comment="#", enforceSchema=False)
-    types = types or {}
-    columns = {name: F.col(f"`{name}`") for name in names}
-    return df.select(
-        *[F.trim(c).try_cast(types[n]).alias(n) if n in types else c for n, c in columns.items()]
-    )
+    groups = _headers(spark, path, trailing_comments)
+    whole = len(groups) == 1
+    parts = [
+        _parsed(spark, path if whole else files, names, trailing_comments) for names, files in groups.items()
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = list(dict.fromkeys(name for header in groups for name in header))
+    if types is None:
+        types = {} if trailing_comments else dict(spark.read.csv(path, header=True, comment="#", inferSchema=True).dtypes)
+    message = F.concat(F.lit("more cells than the header has: "), F.col(_CORRUPT))
+    fine = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.lit(True))
+    checked = rows if corrupt else rows.where(fine)
+    columns = [_typed(name, types.get(name)) for name in names]
+    return checked.select(*columns, *([F.col(_CORRUPT).alias(corrupt)] if corrupt else []))
+
+
+def _typed(name: str, kind: str | None) -> Column:
+    return F.trim(col(name)).try_cast(kind).alias(name) if kind and kind != "string" else col(name)
 
 
 def read_features_csv(spark: SparkSession, path: str, features: Sequence[str]) -> DataFrame:
     """A user's file for scoring: every feature must be there, other columns are kept."""
     df = require_columns(read_csv(spark, path, {name: "double" for name in features}), features)
-    return df.withColumns({name: missing_as_null(F.col(name)) for name in features})
+    return df.withColumns({name: missing_as_null(col(name)) for name in features})
 
 
 def normalise_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    return df.withColumns({name: missing_as_null(F.col(name)) for name in columns})
+    return df.withColumns({name: missing_as_null(col(name)) for name in columns})
 
 
 def stamped(folder: str, name: str, at: datetime | None = None) -> str:
-    return f"{folder.rstrip('/')}/{name}_{(at or datetime.now()).strftime('%Y%m%d_%H%M%S')}"
+    return f"{folder.rstrip('/')}/{name}_{(at or datetime.now()).strftime('%Y%m%d_%H%M%S_%f')}"
 
 
 def write_csv(df: DataFrame, folder: str, name: str, at: datetime | None = None) -> str:

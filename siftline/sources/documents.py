@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,13 @@ def write_document(metrics: DataFrame, path: str, model_type: str | None = None)
     body.withColumn("timestamp", stamp).coalesce(1).write.json(path)
 
 
+def write_training_document(spark: SparkSession, document: Mapping[str, object], path: str) -> None:
+    """Metrics, settings, history, importances and parameters of one training job, with the time of writing."""
+    stamped = dict(document) | {"timestamp": datetime.now().isoformat(timespec="microseconds")}
+    line = spark.createDataFrame([(json.dumps(stamped),)], "value string")
+    line.coalesce(1).write.text(path)
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 

@@ -34,21 +34,31 @@ def parameter_table(
     return spark.createDataFrame(rows, PARAMETER_SCHEMA)
 
 
-def write_parameters(parameters: DataFrame, label_map: Mapping[str, int], path: str) -> None:
-    """One row per feature, and one per category."""
+SETTINGS_SCHEMA = "method string, positive string, negative string"
+
+
+def write_parameters(
+    parameters: DataFrame, label_map: Mapping[str, int], path: str, method: str, positive: str, negative: str
+) -> None:
+    """One row per feature, one per category, and one of settings."""
     spark = parameters.sparkSession
     parameters.coalesce(1).write.parquet(f"{path}/features")
     categories = spark.createDataFrame(list(label_map.items()), "category string, label int")
     categories.coalesce(1).write.parquet(f"{path}/categories")
+    settings = spark.createDataFrame([(method, positive, negative)], SETTINGS_SCHEMA)
+    settings.coalesce(1).write.parquet(f"{path}/settings")
 
 
-def read_parameters(spark: SparkSession, path: str) -> tuple[dict, dict, dict]:
-    """(medians, scales, label map) in feature order."""
+def read_parameters(spark: SparkSession, path: str) -> tuple[dict, dict, dict, dict]:
+    """(medians, scales, label map, settings) in feature order. A folder without settings is an error."""
+    settings = spark.read.parquet(f"{path}/settings").collect()
+    if len(settings) != 1 or settings[0]["method"] is None:
+        raise ValueError(f"{path} does not say how its features are scaled")
     rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()
     medians = {r["feature"]: r["median"] for r in rows}
     scales = {r["feature"]: {s: r[s] for s in ("min", "max", "mean", "std_pop")} for r in rows}
     categories = spark.read.parquet(f"{path}/categories").collect()
-    return medians, scales, {r["category"]: r["label"] for r in categories}
+    return medians, scales, {r["category"]: r["label"] for r in categories}, settings[0].asDict()
 
 
 def preparation_summary(df: DataFrame, features: Sequence[str], label: str = "label", split: str = "split") -> DataFrame:
@@ -59,3 +69,13 @@ def preparation_summary(df: DataFrame, features: Sequence[str], label: str = "la
         F.count(F.lit(1)).alias("rows"),
         (F.avg((F.col(label) == 1).cast("double")) * 100).alias("positive_percent"),
     )
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The rows of ``preparation_summary`` as lines of JSON, one for each split."""
+    summary.coalesce(1).write.json(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    schema = "split string, n_features int, features string, rows bigint, positive_percent double"
+    return spark.read.schema(schema).json(path)

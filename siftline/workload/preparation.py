@@ -129,22 +129,28 @@ def stratified_split_members(spark, sf_dir):
     return df.select("o_orderkey", "label", "split")
 
 
+# Five columns identify a line. Each part of a hashed key has its length before it.
+_FOLD_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship_day"]
+_KEY_TEXT = " || ':' || ".join(f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" for c in _FOLD_KEY)
+
+
 @query(
     f"""WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
-        md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS place FROM lines),
+        md5('7:' || {_KEY_TEXT})) AS place
+        FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS ship_day FROM lines)),
     c AS (SELECT label, count(*) AS rows FROM lines GROUP BY label),
     w AS (SELECT label, coalesce(sum(rows) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
         AS start, rows FROM c),
     f AS (SELECT label, fold, (SELECT count(*) FROM range(5) r(x) WHERE x = fold) * (
         floor((start + rows - 1 - fold) / 5.0) - floor((start - 1 - fold) / 5.0)) AS size FROM w, range(5) t(fold)),
     e AS (SELECT label, fold, sum(size) OVER (PARTITION BY label ORDER BY fold) AS stop, size FROM f)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, k.label, e.fold::INT AS fold
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ship_day, k.label, e.fold::INT AS fold
     FROM k JOIN e ON k.label = e.label AND k.place <= e.stop AND k.place > e.stop - e.size"""
 )
 def fold_assignment(spark, sf_dir):
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    df = with_label(table(spark, sf_dir, "lineitem"), "l_returnflag", {"N": 0, "A": 1, "R": 1})
-    return stratified_folds(df, "label", key, 5, seed=7).select(*key, "label", "fold")
+    df = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    df = with_label(df, "l_returnflag", {"N": 0, "A": 1, "R": 1})
+    return stratified_folds(df, "label", _FOLD_KEY, 5, seed=7).select(*_FOLD_KEY, "label", "fold")
 
 
 _LINE_DERIVED = derived.DerivedFeatures(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.tables import paired
-from siftline.session import new_path
+from siftline.session import stored
 from siftline.spec import TableSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,10 +103,19 @@ raw AS (
   FROM orders)
 """
 
-# Exact stratified split: quotas by largest remainder, members by hash order of the key.
-SPLIT = (
-    ORDERS
-    + """,
+# documents with quality labels, as SQL; the key of a hash is the id alone.
+TEXT_LABELS = """
+raw AS (
+  SELECT d.doc_id, l.quality AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+  WHERE l.quality IN (0, 1))
+"""
+
+
+def split_sql(raw: str, key: str) -> str:
+    """Exact stratified split: quotas by largest remainder, members by hash order of the key."""
+    return (
+        raw
+        + f""",
 classes AS (SELECT label, count(*) AS rows, sum(count(*)) OVER () AS total FROM raw GROUP BY label),
 rest1 AS (SELECT *, total - CAST(ceil(0.2::DOUBLE * total) AS BIGINT) AS rest FROM classes),
 rest2 AS (SELECT *, rows * rest / total::DOUBLE AS share FROM rest1),
@@ -117,13 +126,17 @@ train2 AS (SELECT *, rest_rows * train / rest::DOUBLE AS train_share FROM train1
 train3 AS (SELECT *, floor(train_share)
             + CASE WHEN row_number() OVER (ORDER BY train_share - floor(train_share) DESC, label)
               <= train - sum(floor(train_share)) OVER () THEN 1 ELSE 0 END AS train_rows FROM train2),
-ranked AS (SELECT raw.*, row_number() OVER (PARTITION BY raw.label ORDER BY md5('42:' || o_orderkey)) AS place,
+ranked AS (SELECT raw.*, row_number() OVER (PARTITION BY raw.label ORDER BY md5('42:' || {key})) AS place,
              c.rows - c.rest_rows AS test_stop, c.rows - c.train_rows AS val_stop
            FROM raw JOIN train3 c ON c.label = raw.label),
 members AS (SELECT *, CASE WHEN place <= test_stop THEN 'test'
                            WHEN place <= val_stop THEN 'val' ELSE 'train' END AS split FROM ranked)
 """
-)
+    )
+
+
+SPLIT = split_sql(ORDERS, "o_orderkey")
+TEXT_SPLIT = split_sql(TEXT_LABELS, "doc_id")
 
 # The prepared table: medians over all rows, scales over the training rows.
 PREPARED = (
@@ -157,7 +170,8 @@ TEXT_SPEC = TableSpec(
 )
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every document, stored, so that the texts are read once however often they are used."""
     chars = F.greatest(F.length("text"), F.lit(1)).cast("double")
     words = F.size(F.split(F.trim("text"), r"\s+")).cast("double")
     features = table(spark, sf_dir, "documents").select(
@@ -169,8 +183,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("double").alias("n_lines"),
         (chars / words).alias("word_length"),
     )
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    # Stored, so that the texts are read once however often the features are used.
-    path = new_path(spark, "texts")
-    paired(features, labels, ["doc_id"]).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(features, "text-features")
+
+
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the labelled documents, which is what a fit and its metrics are about."""
+    return stored(paired(text_features(spark, sf_dir), text_labels(spark, sf_dir), ["doc_id"]), "texts")

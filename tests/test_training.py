@@ -227,7 +227,7 @@ def test_missing_feature_fails_before_any_job(catalogue, scorer):
 
 def test_scorer_survives_saving_and_csv(spark, catalogue, scorer, tmp_path):
     scorer.save(spark, str(tmp_path / "s"))
-    loaded = Scorer.load(spark, str(tmp_path / "s"), "Planet", "False Positive")
+    loaded = Scorer.load(spark, str(tmp_path / "s"))
     catalogue.write.csv(str(tmp_path / "in"), header=True)
     result, path = loaded.score_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert result.count() == 1500 and "predictions_" in path
@@ -238,7 +238,7 @@ def test_scorer_survives_saving_and_csv(spark, catalogue, scorer, tmp_path):
 def test_missing_models_are_skipped_and_none_is_an_error(spark, scorer, tmp_path):
     scorer.save(spark, str(tmp_path / "s"))
     with pytest.warns(UserWarning, match="could not load gone"):
-        found = load_pipelines({"gone": str(tmp_path / "gone"), "here": str(tmp_path / "s/pipeline")})
+        found = load_pipelines({"gone": str(tmp_path / "gone"), "here": str(tmp_path / "s/members/0")})
     assert list(found) == ["here"]
     with pytest.warns(UserWarning), pytest.raises(FileNotFoundError):
         load_pipelines({"gone": str(tmp_path / "gone")})
