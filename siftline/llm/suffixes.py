@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.slices import text_slices
+from siftline.llm.columns import renamed
+from siftline.llm.slices import list_array, text_slices
 from siftline.llm.wordseq import Sequence, minimisers, word_hashes
-from siftline.session import drop_stored, stored
+from siftline.session import stored
 
 #: Words of a suffix's opening, by which suffixes are selected, sorted and compared.
 OPENING = 8
 #: White space between words, as in ``bytes.split``.
-_BLANK = "[ \\t\\n\\x0b\\f\\r]"
+_BLANK = " \t\n\x0b\f\r"
 #: Suffixes that a task sorts.
 SORTED_ROWS = 1_000_000
 
@@ -36,17 +37,24 @@ def _openings(words: list[bytes], passage: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _retain(passage: int) -> Callable:
-    """The distinct openings of the suffixes that each text retains."""
+    """Of each text that is long enough: its words, where they begin and end, the distinct openings it retains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text"):
-            kept = []
-            for text in texts:
-                _, values, chosen = _openings(text.encode().split(), passage)
-                kept.append(np.unique(values[np.unique(chosen)]).view(np.int64))
-            rows = pa.array(np.repeat(np.arange(len(kept)), [len(x) for x in kept]), pa.int64())
-            openings = pa.array(np.concatenate(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(rows), openings], ["text_hash", "opening"])
+            rows, kept = [], []
+            for k, text in enumerate(texts):
+                words = text.encode().split()
+                if len(words) >= passage:
+                    _, values, chosen = _openings(words, passage)
+                    kept.append(np.unique(values[np.unique(chosen)]).view(np.int64))
+                    rows.append((k, len(text) - len(text.lstrip(_BLANK)), len(text.rstrip(_BLANK)), len(words)))
+            row = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(row), batch.column("text_hash").take(row)]
+                + [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+                + [list_array(np.concatenate([*kept, np.zeros(0, np.int64)]), [len(x) for x in kept], pa.int64())],
+                ["id", "text_hash", "start", "end", "n_words", "openings"],
+            )
 
     return run
 
@@ -178,13 +186,13 @@ def _repeated(passages: DataFrame) -> DataFrame:
     order = ["key", "check", F.col("id").isNull(), "id", "text_hash"]
     sorted_parts = passages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = stored(sorted_parts.mapInArrow(_first_texts, f"kind int, {_PASSAGE}, first_id long"), "repeated")
-    columns = ["id", "text_hash", "at", "start", "end", "first_id"]
-    # Two rows for each sorted part at most.
+    # Two rows for each sorted part at most: a group that goes on in a next part has its first text there.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
     firsts = found.where(F.col("kind") == _FIRST).groupBy("key", "check").agg(first)
-    edges = found.where(F.col("kind") == _EDGE).drop("first_id").join(firsts, ["key", "check"])
-    edges = edges.where("text_hash <> first.text_hash").withColumn("first_id", F.col("first.id"))
-    return found.where(F.col("kind") == _REPEATED).select(columns).unionByName(edges.select(columns))
+    rows = found.where(F.col("kind") != _FIRST).join(F.broadcast(firsts), ["key", "check"], "left")
+    repeated = (F.col("kind") == _REPEATED) | (F.col("text_hash") != F.col("first.text_hash"))
+    first_id = F.when(F.col("kind") == _REPEATED, F.col("first_id")).otherwise(F.col("first.id"))
+    return rows.where(repeated).withColumn("first_id", first_id).select("id", "text_hash", "at", "start", "end", "first_id")
 
 
 def _stretches(passage: int) -> Callable:
@@ -227,17 +235,16 @@ def _stretches_by_text(df: DataFrame, id_col: str, text_col: str, passage: int)
     texts = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
     )
-    inner = F.regexp_replace("text", f"^{_BLANK}+", "")
-    light = texts.select(
-        "id",
-        "text_hash",
-        (F.length("text") - F.length(inner)).cast("long").alias("start"),
-        F.length(F.regexp_replace("text", f"{_BLANK}+$", "")).cast("long").alias("end"),
-        F.regexp_count("text", F.lit(f"{_BLANK[:1]}^{_BLANK[1:]}+")).cast("long").alias("n_words"),
+    light = stored(
+        texts.mapInArrow(
+            _retain(passage),
+            "id long, text_hash long, start long, end long, n_words long, openings array<long>",
+        ),
+        "texts",
     )
-    light = stored(light.where(F.col("n_words") >= passage), "texts")
-    retained = stored(texts.select("text", "text_hash").mapInArrow(_retain(passage), "text_hash long, opening long"), "suffixes")
-    parts = max(1, -(-retained.count() // SORTED_ROWS))
+    retained = light.select("text_hash", F.explode("openings").alias("opening"))
+    count = light.agg(F.sum(F.size("openings"))).first()[0] or 0
+    parts = max(1, -(-count // SORTED_ROWS))
     # A hot opening is dealt by its texts, and one of copies of a text by the salt.
     alike = (
         retained.withColumn("salt", F.monotonically_increasing_id())
@@ -251,7 +258,7 @@ def _stretches_by_text(df: DataFrame, id_col: str, text_col: str, passage: int)
     by_text = stored(openings.join(firsts, "text_hash"), "survivors")  # one row of each text goes on
     size = by_text.agg(F.count("*").alias("texts"), F.sum(F.size("openings")).alias("suffixes")).first()
     small = size.texts <= BROADCAST_TEXTS and (size.suffixes or 0) <= BROADCAST_SUFFIXES
-    drop_stored(retained)
+    light = light.drop("openings")
     passages = stored(
         _of_texts(texts, by_text, small)
         .select("id", "text_hash", "text", "openings")
@@ -301,28 +308,29 @@ def without_repeats(
     All columns and rows stay, other texts untouched; ``chars_col``, where there is such a column,
     becomes the length of a changed text.
     """
-    spans = _stretches_by_text(df, id_col, text_col, passage)
-    lists = spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    lists = lists.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    joined = df.join(stored(lists, "spans"), here, "left")
+    rows, (id_at, text_at) = renamed(df, id_col, text_col)
+    spans = _stretches_by_text(rows, id_at, text_at, passage)
+    spans = spans.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    here = F.col(id_at).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text_at) == F.col("text_hash"))
+    joined = rows.join(stored(spans, "spans"), here, "left")
     cut = F.aggregate(
-        F.array_sort("spans"),
-        F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("upto")),
+        "spans",
+        F.struct(F.lit("").alias("kept"), F.lit(0).alias("upto")),
         lambda held, span: F.struct(
-            F.concat(
-                held["kept"],
-                F.substring(F.col(text_col), held["upto"].cast("int") + 1, (span["start"] - held["upto"]).cast("int")),
-            ).alias("kept"),
-            span["end"].alias("upto"),
-        ),
-        lambda held: F.concat(
-            held["kept"],
-            F.substring(F.col(text_col), held["upto"].cast("int") + 1, F.length(text_col)),
+            F.concat(held["kept"], _between(text_at, held["upto"], span["start"])).alias("kept"),
+            span["end"].cast("int").alias("upto"),
         ),
+        lambda held: F.concat(held["kept"], _between(text_at, held["upto"], F.length(text_at))),
     )
-    changed = joined.withColumn(text_col, F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(text_col)))
+    changed = F.col("spans").isNotNull()
+    columns = {text_at: F.when(changed, cut).otherwise(F.col(text_at))}
+    out = joined.withColumns(columns)
     if chars_col in df.columns:
-        length = F.length(text_col).cast(df.schema[chars_col].dataType)
-        changed = changed.withColumn(chars_col, F.when(F.col("spans").isNotNull(), length).otherwise(F.col(chars_col)))
-    return changed.select(*df.columns)
+        chars_at = f"c{df.columns.index(chars_col)}"
+        length = F.length(text_at).cast(df.schema[chars_col].dataType)
+        out = out.withColumn(chars_at, F.when(changed, length).otherwise(F.col(chars_at)))
+    return out.select(*rows.columns).toDF(*df.columns)
+
+
+def _between(text: str, start: Column, end: Column) -> Column:
+    return F.substring(F.col(text), start + 1, (end - start).cast("int"))
