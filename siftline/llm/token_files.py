@@ -12,7 +12,7 @@ A file is a sequence of blocks. A block is, all numbers little-endian:
     ceil(n/4) control bytes: two bits for each id, low bits first, its data bytes less one
     b data bytes: each id's frequency rank in its one to four low bytes
 
-``ranks-*`` in the same folder holds the token id of each rank as uint32, most frequent first.
+``ranks-*`` in the same folder holds, after b"SLT1", the token id of each rank as uint32, most frequent first.
 The table ``manifest`` names the files, in the order of the documents.
 """
 
@@ -230,7 +230,7 @@ def write_token_files(
 
 def _write_ranks(folder: str, ranked: np.ndarray) -> None:
     with new_file(folder, "ranks") as (_, stream):
-        stream.write(ranked.astype("<u4").tobytes())
+        stream.write(MAGIC + ranked.astype("<u4").tobytes())
 
 
 def _read(folder: str, ranked: np.ndarray) -> Callable:
@@ -275,7 +275,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, folder: str) -> np.ndarray:
     found = spark.read.format("binaryFile").load(f"{folder}/ranks-*").select("content").collect()
-    return np.frombuffer(bytes(found[0].content), "<u4")
+    return np.frombuffer(bytes(found[0].content), "<u4", offset=len(MAGIC))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
