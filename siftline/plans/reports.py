@@ -18,6 +18,7 @@ from siftline.operators.histogram import histogram, histogram_by_class
 from siftline.operators.labeling import label_distribution
 from siftline.operators.profile import describe
 from siftline.operators.ranking import roc_curve
+from siftline.session import stored
 
 
 def explorer_report(df: DataFrame, features: Sequence[str], shown: int = 4, label: str = "label") -> dict[str, DataFrame]:
@@ -39,7 +40,8 @@ def performance_report(
     score: str = "score",
     class_names: tuple[str, str] = ("0", "1"),
 ) -> dict[str, DataFrame]:
-    """Everything that is drawn about a model, as tables."""
+    """Everything that is drawn about a model, as tables. The scored rows are stored once: the model is applied once."""
+    scored = stored(scored.select(label, prediction, score), "scored")
     report = {
         "metrics": metrics_long(full_metrics(scored, label, prediction, score)),
         "confusion": confusion_matrix(scored, label, prediction),

@@ -19,7 +19,7 @@ from siftline.operators.tables import require_columns
 _BEFORE_COMMENT = r'^((?:[^"#]++|"(?:[^"]++|"")*+")*+)#.*$'
 #: Splits no line and quotes nothing, so that the reader gives whole lines.
 _WHOLE_LINES = {"sep": "\u0001", "quote": "", "comment": "#", "header": True}
-_EXTRA, _CORRUPT = "_extra_cell", "_corrupt_line"
+_MARK, _END, _CORRUPT = "\u0002", "_end_of_line", "_corrupt_line"
 
 
 def _headers(spark: SparkSession, path: str, trailing_comments: bool) -> dict[tuple[str, ...], list[str]]:
@@ -56,13 +56,14 @@ def _parsed(
     if trailing_comments:
         cut = F.rtrim(F.regexp_replace("line", _BEFORE_COMMENT, "$1"))
         lines = lines.select(cut.alias("line")).where("line <> ''")
-    # A null text that no cell holds, so that an empty cell beyond the last column is seen.
-    fields = [T.StructField(name, T.StringType()) for name in [*names, _EXTRA]]
-    cells = F.from_csv("line", T.StructType(fields).toDDL(), {"nullValue": "\u0001", "emptyValue": ""})
+    # A cell of its own behind the last one shows where a line ends; an empty last cell alone would be lost.
+    fields = [T.StructField(name, T.StringType()) for name in [*names, _END]]
+    cells = F.from_csv(F.concat("line", F.lit(f",{_MARK}")), T.StructType(fields).toDDL())
     rows = lines.select("line", cells.alias("cells"))
-    values = [F.nullif(F.col("cells").getField(name), F.lit("")).alias(name) for name in names]
-    over = F.col("cells").getField(_EXTRA).isNotNull()
-    return rows.select(*values, F.when(over, F.col("line")).alias(_CORRUPT))
+    found = {name: F.col("cells").getField(name) for name in [*names, _END]}
+    ended = reduce(lambda a, b: a | b, [value.eqNullSafe(F.lit(_MARK)) for value in found.values()])
+    values = [F.nullif(found[name], F.lit(_MARK)).alias(name) for name in names]
+    return rows.select(*values, F.when(~ended, F.col("line")).alias(_CORRUPT))
 
 
 def read_csv(

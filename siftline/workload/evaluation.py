@@ -11,7 +11,7 @@ from siftline.operators.labeling import with_label
 from siftline.plans.tuning import best_of_two
 from siftline.session import new_path
 from siftline.sources.documents import evaluation_rows, model_comparison, read_document, write_document
-from siftline.workload.profiling import _histogram_sql
+from siftline.workload.profiling import histogram_sql
 from siftline.workload.registry import LINE_MAP, LINES, lines, query, rounded, table
 
 METRICS = ("accuracy", "precision", "recall", "f1_score")
@@ -128,7 +128,7 @@ def calibration_curve(spark, sf_dir):
     return rounded(df, "mean_predicted", "fraction_positive")
 
 
-@query(f"WITH {LINES} {_histogram_sql(('score',), 30, True)}")
+@query(f"WITH {LINES} {histogram_sql(('score',), 30, True)}")
 def probability_histogram(spark, sf_dir):
     df = histogram_by_class(scored_lines(spark, sf_dir), ["score"], "label", 30)
     return rounded(rounded(df, "bin_low", "bin_high"), "density", digits=9)

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftline.functions.derived import DerivedFeatures
 from siftline.operators.labeling import with_label
-from siftline.plans import reports, training
+from siftline.plans import ensemble, reports, training
+from siftline.plans.engineer import engineer
 from siftline.plans.scoring import Scorer
 from siftline.session import new_path
 from siftline.sources.csv import read_csv, read_features_csv, write_csv
+from siftline.sources.prepared import preparation_summary, read_summary, write_summary
 from siftline.streaming.scoring import arriving_files, run_available
 from siftline.workload.evaluation import scored_lines
 from siftline.workload.models import SMALL_BOOSTING, order_tables
 from siftline.workload.preparation import prepared_orders
+from siftline.workload.profiling import DESCRIBE, histogram_sql, matrix_sql, per_feature
 from siftline.workload.registry import (
     KEPT,
     LINE_MAP,
     LINES,
+    ORACLES,
     ORDER_SPEC,
     PREPARED,
+    SPLIT,
     lines,
     orders,
     query,
@@ -58,6 +64,48 @@ def _csv_events(spark, sf_dir, trailing):
     return read_csv(spark, path, types, trailing_comments=trailing)
 
 
+def _written_lines(spark, df, line, header):
+    """Lines as CSV files, the first one of each file with the header before it."""
+    path = new_path(spark, "lines-csv")
+    starts = F.monotonically_increasing_id() % F.lit(2**33) == 0
+    df.select(F.when(starts, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT event_id, event_type || ' # no comment' AS event_type FROM events")
+def csv_quoted_comment_sign(spark, sf_dir):
+    """A # in quotes is text; the header and every line end in a comment."""
+    id_text = F.col("event_id").cast("string")
+    line = F.concat(id_text, F.lit(',"'), F.col("event_type"), F.lit(' # no comment" # a "comment"'))
+    path = _written_lines(spark, table(spark, sf_dir, "events"), line, "event_id,event_type # the header")
+    return read_csv(spark, path, {"event_id": "bigint"}, trailing_comments=True)
+
+
+@query(
+    """SELECT event_id, event_type, CASE WHEN event_id % 10 <> 1 THEN user_id END AS user_id,
+      CASE WHEN event_id % 10 = 0 THEN event_id || ',' || event_type || ',' || user_id || ',' END AS whole_line
+    FROM events"""
+)
+def csv_ragged_rows_reported(spark, sf_dir):
+    """A missing cell is NULL; a line with one too many, an empty one, is kept whole beside its cells."""
+    cells = F.concat_ws(",", F.col("event_id").cast("string"), "event_type")
+    user, last = F.concat(F.lit(","), F.col("user_id").cast("string")), F.col("event_id") % 10
+    line = F.concat(cells, F.when(last == 1, "").when(last == 0, F.concat(user, F.lit(","))).otherwise(user))
+    path = _written_lines(spark, table(spark, sf_dir, "events"), line, "event_id,event_type,user_id")
+    return read_csv(spark, path, {"event_id": "bigint", "user_id": "bigint"}, corrupt="whole_line")
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id FROM events")
+def csv_files_of_different_column_order(spark, sf_dir):
+    """Columns go by name, file by file; one kind of file lacks a column."""
+    events, path = table(spark, sf_dir, "events"), new_path(spark, "events-csv")
+    for part, names in enumerate((["event_id", "event_type", "user_id"], ["event_type", "event_id"])):
+        some = events.where(F.col("event_id") % 2 == part).select(*names)
+        some.write.mode("append").csv(path, header=True)
+    types = {"event_id": "bigint", "user_id": "bigint"}
+    return read_csv(spark, path, types).select("event_id", "event_type", "user_id")
+
+
 def order_scorer(spark, sf_dir):
     tables = order_tables(spark, sf_dir)
     with tables.kept() as (train, _):
@@ -65,11 +113,26 @@ def order_scorer(spark, sf_dir):
     return Scorer.of(tables.state, model, ORDER_SPEC.positive_text, ORDER_SPEC.negative_text)
 
 
-@query()
+def _valid(scored, *more):
+    """What is certain about scored rows: every key once, a probability, the label and the text that follow."""
+    p, one = F.col("probability"), F.col("prediction") == 1
+    return scored.select(
+        "o_orderkey",
+        p.between(0, 1).alias("probability_valid"),
+        F.when(p == 0.5, True).otherwise(one == (p > 0.5)).alias("prediction_valid"),
+        (F.col("prediction_text") == F.when(one, "Open").otherwise("Finished")).alias("text_valid"),
+        *more,
+    )
+
+
+_VALID = """SELECT o_orderkey, true AS probability_valid, true AS prediction_valid, true AS text_valid"""
+
+
+@query(f"{_VALID}, true AS confidence_valid FROM orders")
 def batch_score(spark, sf_dir):
-    scorer = order_scorer(spark, sf_dir)
-    scored = scorer.transform(orders(spark, sf_dir))
-    return scored.select("o_orderkey", "prediction", "prediction_text", "probability", "confidence")
+    scored = order_scorer(spark, sf_dir).transform(orders(spark, sf_dir))
+    larger = F.greatest(F.col("probability"), 1 - F.col("probability"))
+    return _valid(scored, (F.abs(F.col("confidence") - larger) < 1e-9).alias("confidence_valid"))
 
 
 @query(
@@ -91,11 +154,17 @@ def csv_upload_scored(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""WITH {PREPARED} SELECT round(price, 6) AS price, round(customer, 6) AS customer, round(priority, 6) AS priority,
+      true AS score_is_the_row_of_medians FROM medians"""
+)
 def typical_record_score(spark, sf_dir):
-    """One record, made of the medians of the table, is scored on its own."""
+    """One record, made of the medians of the table, scored on its own and as a row without any value."""
     scorer = order_scorer(spark, sf_dir)
-    return scorer.score_record(spark, scorer.preparation.medians)
+    alone = scorer.score_record(spark, scorer.preparation.medians)
+    empty = scorer.score_record(spark, {}).first()["probability"]
+    same = (F.abs(F.col("probability") - F.lit(empty)) < 1e-12).alias("score_is_the_row_of_medians")
+    return rounded(alone.select(*KEPT, same), *KEPT)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders")
@@ -152,7 +221,7 @@ def stream_score_agreement(spark, sf_dir):
     )
 
 
-@query()
+@query(f"{_VALID} FROM orders")
 def stream_score_csv(spark, sf_dir):
     scorer = order_scorer(spark, sf_dir)
     raw = orders(spark, sf_dir)
@@ -160,39 +229,159 @@ def stream_score_csv(spark, sf_dir):
     raw.write.csv(inbox, header=True)
     stream = arriving_files(spark, inbox, raw.schema, "csv")
     run_available(stream, scorer.transform, out, new_path(spark, "progress"))
-    return spark.read.parquet(out).select("o_orderkey", "prediction_text", "probability")
+    return _valid(spark.read.parquet(out))
+
+
+WIDTH = 8
 
 
-def _long(report):
-    """Row counts of the tables of a report."""
+def _long(report, shape):
+    """The rows of all tables of a report: part, name, and up to eight numbers."""
     rows = None
-    for name, df in report.items():
-        one = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"))
+    for part, (name, values) in shape.items():
+        cells = [F.round(F.col(v).cast("double"), 6) for v in values]
+        cells += [F.lit(None).cast("double")] * (WIDTH - len(cells))
+        one = report[part].select(
+            F.lit(part).alias("part"),
+            (F.concat_ws("|", *name) if name else F.lit("")).alias("name"),
+            *(cell.alias(f"v{k}") for k, cell in enumerate(cells)),
+        )
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
+def _long_sql(shape, sources):
+    parts = []
+    for part, (name, values) in shape.items():
+        cells = [f"round({v}::DOUBLE, 6) AS v{k}" for k, v in enumerate(values)]
+        cells += [f"NULL::DOUBLE AS v{k}" for k in range(len(values), WIDTH)]
+        named = "concat_ws('|', " + ", ".join(name) + ")" if name else "''"
+        parts.append(f"SELECT '{part}' AS part, {named} AS name, {', '.join(cells)} FROM ({sources[part]}) {part}")
+    return " UNION ALL ".join(parts)
+
+
+_EXPLORED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_EXPLORER = {
+    "balance": ([], ["rows", "positives", "negatives", "positive_percent"]),
+    "histograms": (["feature", "bin"], ["bin_low", "bin_high", "rows"]),
+    "correlations": (["feature_x", "feature_y"], ["r"]),
+    "statistics": (["feature"], ["rows", "mean", "std", "min", "p25", "p50", "p75", "max"]),
+}
+
+
 @query(
-    """SELECT * FROM (VALUES ('balance', 1), ('histograms', 200), ('correlations', 16), ('statistics', 4))
-    t(part, rows) WHERE EXISTS (SELECT 1 FROM lineitem)"""
+    _long_sql(
+        _EXPLORER,
+        {
+            "balance": f"""WITH {LINES} SELECT count(*) AS rows, count_if(label = 1) AS positives,
+              count_if(label = 0) AS negatives, count_if(label = 1) * 100.0 / count(*) AS positive_percent FROM lines""",
+            "histograms": f"WITH {LINES} {histogram_sql(_EXPLORED, 50, False)}",
+            "correlations": f"WITH {LINES} {matrix_sql(_EXPLORED)}",
+            "statistics": f"WITH {LINES} {per_feature(_EXPLORED, DESCRIBE)}",
+        },
+    )
 )
 def explorer_report(spark, sf_dir):
     df = with_label(lines(spark, sf_dir), "l_returnflag", LINE_MAP)
-    features = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return _long(reports.explorer_report(df, features))
+    return _long(reports.explorer_report(df, _EXPLORED), _EXPLORER)
 
 
-_CURVE = f"""WITH {LINES}, g AS (SELECT score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM lines
-      GROUP BY score),
-    w AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS place, lead(pos) OVER (ORDER BY score DESC) AS next_pos,
-      lead(neg) OVER (ORDER BY score DESC) AS next_neg FROM g)"""
+_PERFORMANCE = {
+    "metrics": (["metric"], ["score"]),
+    "confusion": ([], ["tn", "fp", "fn", "tp"]),
+    "classes": (["class"], ["precision", "recall", "f1_score", "support"]),
+    "roc": ([], ["threshold", "fpr", "tpr"]),
+    "calibration": (["bin"], ["mean_predicted", "fraction_positive", "rows"]),
+    "score_histogram": (["label", "bin"], ["bin_low", "bin_high", "rows", "density"]),
+}
 
 
 @query(
-    f"""{_CURVE} SELECT 'metrics' AS part, 5 AS rows UNION ALL SELECT 'confusion', 1 UNION ALL SELECT 'classes', 5
-    UNION ALL SELECT 'roc', count(*) + 1 FROM w WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
-    UNION ALL SELECT 'calibration', count(DISTINCT greatest(ceil(score * 10) - 1, 0)) FROM lines
-    UNION ALL SELECT 'score_histogram', 60"""
+    _long_sql(
+        _PERFORMANCE,
+        {
+            "metrics": ORACLES["all_metrics"],
+            "confusion": ORACLES["confusion_matrix"],
+            "classes": ORACLES["classification_report"],
+            "roc": ORACLES["roc_curve"],
+            "calibration": ORACLES["calibration_curve"],
+            "score_histogram": ORACLES["probability_histogram"],
+        },
+    )
 )
 def performance_report(spark, sf_dir):
-    return _long(reports.performance_report(scored_lines(spark, sf_dir)))
+    names = ("Non-Planet", "Planet")
+    return _long(reports.performance_report(scored_lines(spark, sf_dir), class_names=names), _PERFORMANCE)
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS differing, 0::BIGINT AS other_texts FROM orders")
+def standard_scorer_reloaded(spark, sf_dir):
+    """A scorer with standard scaling comes back with that scaling and its class texts."""
+    prepared, state = prepared_orders(spark, sf_dir, method="standard")
+    rows = training.assembled(prepared, state.inputs, ["o_orderkey", "label", "split"])
+    model = training.fit(training.forest({"n_estimators": 4, "max_depth": 4}), rows.where("split = 'train'")).model
+    return _agreement(spark, Scorer.of(state, model), orders(spark, sf_dir))
+
+
+_ORDER_DERIVED = DerivedFeatures(
+    ratios={"price_per_customer": ("price", "customer")},
+    products={"price_priority": ("price", "priority")},
+    logs=("price", "not_there"),
+    squares=("customer",),
+)
+
+
+def _engineered_scorer(spark, sf_dir, members):
+    tables = order_tables(spark, sf_dir)
+    ready, engineering = engineer(tables.stored, tables.state, _ORDER_DERIVED)
+    inputs = [*tables.state.inputs, *engineering.inputs]
+    rows = training.assembled(ready, inputs, ["o_orderkey", "label", "split"])
+    train, val = (rows.where(F.col("split") == split) for split in ("train", "val"))
+    settings = {**SMALL_BOOSTING, "n_estimators": 3}
+    with training.Kept(train, val) as (train, val):
+        found = ensemble.fit_seed_ensemble(train, val, settings, members=members, patience=2)
+    return Scorer.of(tables.state, found.models, engineering=engineering)
+
+
+def _agreement(spark, scorer, raw):
+    """Rows whose score by the reloaded scorer, in a batch or over a stream, isn't that of the fitted one."""
+    path, inbox, out = (new_path(spark, n) for n in ("scorer", "inbox", "stream-out"))
+    scorer.save(spark, path)
+    loaded = Scorer.load(spark, path)
+    raw.write.parquet(inbox)
+    run_available(arriving_files(spark, inbox, raw.schema), loaded.transform, out, new_path(spark, "progress"))
+    first = scorer.transform(raw).select("o_orderkey", "probability", "prediction_text")
+    rows = first
+    for k, again in enumerate((loaded.transform(raw), spark.read.parquet(out))):
+        again = again.select("o_orderkey", F.col("probability").alias(f"p{k}"), F.col("prediction_text").alias(f"t{k}"))
+        rows = rows.join(again, "o_orderkey", "left")
+    p, t = F.col("probability"), F.col("prediction_text")
+    far = [F.coalesce(F.abs(p - F.col(f"p{k}")) > 1e-12, F.lit(True)) for k in (0, 1)]
+    return rows.agg(
+        F.count("*").alias("rows"),
+        F.count_if(far[0] | far[1]).alias("differing"),
+        F.count_if((t != F.col("t0")) | (t != F.col("t1")) | ~t.isin("Open", "Finished")).alias("other_texts"),
+    )
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS differing, 0::BIGINT AS other_texts FROM orders")
+def engineered_scorer_agreement(spark, sf_dir):
+    """One model on derived features: as fitted, reloaded, and over a stream."""
+    return _agreement(spark, _engineered_scorer(spark, sf_dir, 1), orders(spark, sf_dir))
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS differing, 0::BIGINT AS other_texts FROM orders")
+def ensemble_scorer_agreement(spark, sf_dir):
+    """Three models on derived features: as fitted, reloaded, and over a stream."""
+    return _agreement(spark, _engineered_scorer(spark, sf_dir, 3), orders(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SPLIT} SELECT split, 3 AS n_features, '{", ".join(KEPT)}' AS features, count(*) AS rows,
+      round(count_if(label = 1) * 100.0 / count(*), 6) AS positive_percent FROM members GROUP BY split"""
+)
+def written_summary(spark, sf_dir):
+    prepared, state = prepared_orders(spark, sf_dir)
+    path = new_path(spark, "summary")
+    write_summary(preparation_summary(prepared, state.features), path)
+    return rounded(read_summary(spark, path), "positive_percent")

@@ -10,6 +10,7 @@ from siftline.operators import correlation, labeling, profile
 from siftline.operators.histogram import histogram, histogram_by_class
 from siftline.operators.impute import fit_medians, impute
 from siftline.operators.tables import available, first_rows, numeric_columns, row_at
+from siftline.spec import KOI
 from siftline.workload.registry import (
     LINE_FEATURES,
     LINE_GAP_FEATURES,
@@ -29,7 +30,7 @@ def labelled_lines(spark, sf_dir):
     return labeling.with_label(lines(spark, sf_dir), "l_returnflag", LINE_MAP)
 
 
-def _per_feature(names, expression):
+def per_feature(names, expression):
     return " UNION ALL ".join(expression.format(c=name) for name in names)
 
 
@@ -111,12 +112,12 @@ def class_weight_column(spark, sf_dir):
     return rounded(df, "class_weight", digits=9)
 
 
-_DESCRIBE = """SELECT '{c}' AS feature, count({c}) AS rows, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+DESCRIBE = """SELECT '{c}' AS feature, count({c}) AS rows, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
   round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
   round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lines"""
 
 
-@query(f"WITH {LINES} {_per_feature(LINE_GAP_FEATURES, _DESCRIBE)}")
+@query(f"WITH {LINES} {per_feature(LINE_GAP_FEATURES, DESCRIBE)}")
 def describe_features(spark, sf_dir):
     df = profile.describe(lines(spark, sf_dir), LINE_GAP_FEATURES)
     return rounded(df, "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -137,7 +138,7 @@ _MISSING = """SELECT '{c}' AS feature, count_if({c} IS NULL) AS missing,
   round(count_if({c} IS NULL) * 100.0 / count(*), 6) AS percent FROM lines"""
 
 
-@query(f"WITH {LINES} SELECT * FROM ({_per_feature(LINE_GAP_FEATURES, _MISSING)}) WHERE missing > 0")
+@query(f"WITH {LINES} SELECT * FROM ({per_feature(LINE_GAP_FEATURES, _MISSING)}) WHERE missing > 0")
 def missing_by_column(spark, sf_dir):
     return rounded(profile.missing_by_column(lines(spark, sf_dir).select(*LINE_GAP_FEATURES)), "percent")
 
@@ -181,7 +182,7 @@ def numeric_column_selection(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES} {_per_feature(LINE_FEATURES, "SELECT label, '{c}' AS feature, round(avg({c}), 6) AS mean, "
+    f"""WITH {LINES} {per_feature(LINE_FEATURES, "SELECT label, '{c}' AS feature, round(avg({c}), 6) AS mean, "
     "round(median({c}), 6) AS median FROM lines GROUP BY label")}"""
 )
 def mean_median_by_class(spark, sf_dir):
@@ -202,7 +203,7 @@ _CORRELATED = (*LINE_GAP_FEATURES, "constant")
 
 
 @query(
-    f"""WITH {LINES} {_per_feature(LINE_GAP_FEATURES, "SELECT '{c}' AS feature, "
+    f"""WITH {LINES} {per_feature(LINE_GAP_FEATURES, "SELECT '{c}' AS feature, "
     "round(corr({c}, label), 6) AS r FROM lines")}
     UNION ALL SELECT 'constant', NULL UNION ALL SELECT 'label', 1.0"""
 )
@@ -211,21 +212,22 @@ def correlation_with_target(spark, sf_dir):
     return rounded(correlation.correlation_with_target(df, [*_CORRELATED, "label"], "label"), "r")
 
 
-def _matrix_sql():
+def matrix_sql(names=LINE_GAP_FEATURES, constants=()):
     cells = []
-    for x in LINE_GAP_FEATURES:
-        for y in LINE_GAP_FEATURES:
+    for x in names:
+        for y in names:
             r = "1.0" if x == y else f"round(corr({x}, {y}), 6)"
+            r = "NULL" if {x, y} & {*constants} else r
             cells.append(f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, {r} AS r FROM lines")
     return " UNION ".join(cells)
 
 
-@query(f"WITH {LINES} {_matrix_sql()}")
+@query(f"WITH {LINES} {matrix_sql()}")
 def correlation_matrix(spark, sf_dir):
     return rounded(correlation.correlation_matrix(lines(spark, sf_dir), LINE_GAP_FEATURES), "r")
 
 
-def _histogram_sql(names, bins, by_class):
+def histogram_sql(names, bins, by_class):
     parts = []
     for c in names:
         for label in (0, 1) if by_class else (None,):
@@ -250,12 +252,12 @@ def _histogram_sql(names, bins, by_class):
     return " UNION ALL ".join(parts)
 
 
-@query(f"WITH {LINES} {_histogram_sql(LINE_GAP_FEATURES, 50, False)}")
+@query(f"WITH {LINES} {histogram_sql(LINE_GAP_FEATURES, 50, False)}")
 def histogram_50(spark, sf_dir):
     return rounded(histogram(lines(spark, sf_dir), LINE_GAP_FEATURES, 50), "bin_low", "bin_high")
 
 
-@query(f"WITH {LINES} {_histogram_sql(('l_extendedprice', 'quantity_gaps'), 30, True)}")
+@query(f"WITH {LINES} {histogram_sql(('l_extendedprice', 'quantity_gaps'), 30, True)}")
 def histogram_by_class_30(spark, sf_dir):
     df = histogram_by_class(labelled_lines(spark, sf_dir), ("l_extendedprice", "quantity_gaps"), "label", 30)
     return rounded(rounded(df, "bin_low", "bin_high"), "density", digits=9)
@@ -319,16 +321,74 @@ def single_row(spark, sf_dir):
     return row_at(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 42)
 
 
+_WIDE = {
+    **{name: name for name in (*LINE_GAP_FEATURES, "l_quantity", "l_discount")},
+    "price_gaps": "CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END",
+    "tax_gaps": "CASE WHEN l_suppkey % 2 = 0 THEN l_tax END",
+    "part": "l_partkey::DOUBLE",
+    "supplier": "l_suppkey::DOUBLE",
+    "line": "l_linenumber::DOUBLE",
+    "constant": "CASE WHEN l_partkey % 5 <> 0 THEN 7.25::DOUBLE END",
+}
+_WIDE_SQL = ", ".join(f"{value} AS {name}" for name, value in _WIDE.items())
+
+
+@query(
+    f"""WITH {LINES}, wide AS (SELECT {_WIDE_SQL} FROM lines)
+    {matrix_sql(tuple(_WIDE), ("constant",)).replace("FROM lines", "FROM wide")}"""
+)
+def correlation_matrix_wide(spark, sf_dir):
+    """Twelve columns, some of them with gaps, one constant where it isn't missing."""
+    spellings = {name: value.replace("::DOUBLE", "") for name, value in _WIDE.items()}
+    columns = [F.expr(value).cast("double").alias(name) for name, value in spellings.items()]
+    wide = lines(spark, sf_dir).select(*columns)
+    return rounded(correlation.correlation_matrix(wide, list(_WIDE)), "r")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS feature, count_if(l_extendedprice * {k + 1} / 100 < {low}
+          OR l_extendedprice * {k + 1} / 100 > {high}) AS violations FROM lineitem"""
+        for k, (name, (low, high, _)) in enumerate(KOI.ranges.items())
+    )
+)
+def range_violations_of_preset(spark, sf_dir):
+    """The preset's ranges as they are, with their default values."""
+    df = table(spark, sf_dir, "lineitem")
+    values = {name: F.col("l_extendedprice") * (k + 1) / 100 for k, name in enumerate(KOI.ranges)}
+    return profile.range_violations(df.withColumns(values), KOI.ranges)
+
+
+_KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp"}
+
+
+@query(
+    "SELECT column_name, CASE column_type "
+    + " ".join(f"WHEN '{theirs}' THEN '{ours}'" for theirs, ours in _KINDS.items())
+    + " END AS column_type FROM (DESCRIBE SELECT * FROM lineitem)"
+)
+def column_types(spark, sf_dir):
+    kinds = [(name, kind.removesuffix("_ntz")) for name, kind in profile.column_types(table(spark, sf_dir, "lineitem"))]
+    return spark.createDataFrame(kinds, "column_name string, column_type string")
+
+
+def _even_text(value, decimals):
+    """Text of a multiple of 1/8 with ties to the even digit."""
+    return f"printf('%.{decimals}f', round_even(({value})::DECIMAL(20, 3), {decimals})::DOUBLE)"
+
+
 @query(
-    """SELECT event_id, printf('%.1f ppm', floor(value * 2) / 2) AS with_unit, printf('%.0f K', floor(value)) AS whole,
-      printf('%.2f%%', floor(value) / 4 ) AS percent_text FROM events"""
+    f"""WITH e AS (SELECT event_id, floor(value * 8) / 8 AS v, floor(value) * 25 / 8 AS p FROM events)
+    SELECT event_id, {_even_text('v', 1)} || ' ppm' AS with_unit, {_even_text('v', 0)} || ' K' AS whole,
+      {_even_text('p', 2)} || '%' AS percent_text FROM e"""
 )
 def display_formats(spark, sf_dir):
+    """Eighths, of which many are ties at one place or another: ties go to the even digit."""
     decimals, unit = KOI_DISPLAY["koi_teq"]
-    halves = F.floor(F.col("value") * 2).cast("double") / 2
+    eighths = F.floor(F.col("value") * 8).cast("double") / 8
     return table(spark, sf_dir, "events").select(
         "event_id",
-        with_unit(halves, 1, "ppm").alias("with_unit"),
-        with_unit(F.floor("value").cast("double"), decimals, unit).alias("whole"),
-        percent(F.floor("value").cast("double") / 400).alias("percent_text"),
+        with_unit(eighths, 1, "ppm").alias("with_unit"),
+        with_unit(eighths, decimals, unit).alias("whole"),
+        percent(F.floor("value") / 32).alias("percent_text"),
     )
