@@ -69,9 +69,8 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     """Columns with missing values, most missing first."""
     counts = [F.count_if(is_missing(df, name)).alias(f"missing:{name}") for name in df.columns]
     wide = df.agg(F.count(F.lit(1)).alias("total"), *counts)
-    for name in df.columns:
-        percent = F.try_divide(F.col(f"`missing:{name}`") * 100.0, F.col("total"))
-        wide = wide.withColumn(f"percent:{name}", percent)
+    shares = {f"percent:{n}": F.try_divide(col(f"missing:{n}") * 100.0, F.col("total")) for n in df.columns}
+    wide = wide.withColumns(shares)
     return (
         one_row_per(wide, "feature", df.columns, ["missing", "percent"])
         .where(F.col("missing") > 0)

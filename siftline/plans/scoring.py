@@ -17,7 +17,7 @@ from siftline.operators.tables import require_columns
 from siftline.plans.engineer import Engineering
 from siftline.plans.ensemble import with_member_scores
 from siftline.plans.prepare import Preparation
-from siftline.sources.csv import read_features_csv, write_csv
+from siftline.sources.csv import DIALECT, read_features_csv, write_csv
 from siftline.sources.models import load_pipelines, save_pipeline
 
 MANIFEST = "members int, inputs array<string>, engineered boolean"
@@ -93,7 +93,7 @@ class Scorer:
         """Score a CSV file and export the result under a time-stamped name."""
         result = self.transform(read_features_csv(spark, path, self.preparation.features))
         written = write_csv(result, out, "predictions", at)
-        return spark.read.csv(written, header=True, schema=result.schema), written
+        return spark.read.options(**DIALECT).csv(written, header=True, schema=result.schema), written
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.preparation.save(spark, f"{path}/preparation")

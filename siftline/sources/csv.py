@@ -19,6 +19,8 @@ from siftline.operators.tables import require_columns
 _BEFORE_COMMENT = r'^((?:[^"#]++|"(?:[^"]++|"")*+")*+)#.*$'
 #: Splits no line and quotes nothing, so that the reader gives whole lines.
 _WHOLE_LINES = {"sep": "\u0001", "quote": "", "comment": "#", "header": True}
+#: A quote in a quoted cell is written twice.
+DIALECT = {"escape": '"'}
 _MARK, _END, _CORRUPT = "\u0002", "_end_of_line", "_corrupt_line"
 
 
@@ -58,7 +60,7 @@ def _parsed(
         lines = lines.select(cut.alias("line")).where("line <> ''")
     # A cell of its own behind the last one shows where a line ends; an empty last cell alone would be lost.
     fields = [T.StructField(name, T.StringType()) for name in [*names, _END]]
-    cells = F.from_csv(F.concat("line", F.lit(f",{_MARK}")), T.StructType(fields).toDDL())
+    cells = F.from_csv(F.concat("line", F.lit(f",{_MARK}")), T.StructType(fields).toDDL(), DIALECT)
     rows = lines.select("line", cells.alias("cells"))
     found = {name: F.col("cells").getField(name) for name in [*names, _END]}
     ended = reduce(lambda a, b: a | b, [value.eqNullSafe(F.lit(_MARK)) for value in found.values()])
@@ -91,7 +93,7 @@ def read_csv(
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = list(dict.fromkeys(name for header in groups for name in header))
     if types is None:
-        types = {} if trailing_comments else dict(spark.read.csv(path, header=True, comment="#", inferSchema=True).dtypes)
+        types = {} if trailing_comments else _inferred(spark, path)
     message = F.concat(F.lit("more cells than the header has: "), F.col(_CORRUPT))
     fine = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.lit(True))
     checked = rows if corrupt else rows.where(fine)
@@ -99,6 +101,10 @@ def read_csv(
     return checked.select(*columns, *([F.col(_CORRUPT).alias(corrupt)] if corrupt else []))
 
 
+def _inferred(spark: SparkSession, path: str) -> dict[str, str]:
+    return dict(spark.read.options(**DIALECT).csv(path, header=True, comment="#", inferSchema=True).dtypes)
+
+
 def _typed(name: str, kind: str | None) -> Column:
     return F.trim(col(name)).try_cast(kind).alias(name) if kind and kind != "string" else col(name)
 
@@ -114,11 +120,13 @@ def normalise_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def stamped(folder: str, name: str, at: datetime | None = None) -> str:
-    return f"{folder.rstrip('/')}/{name}_{(at or datetime.now()).strftime('%Y%m%d_%H%M%S_%f')}"
+    """``name`` with a given second, or with the present moment to the microsecond, so that two exports don't meet."""
+    text = at.strftime("%Y%m%d_%H%M%S") if at else datetime.now().strftime("%Y%m%d_%H%M%S_%f")
+    return f"{folder.rstrip('/')}/{name}_{text}"
 
 
 def write_csv(df: DataFrame, folder: str, name: str, at: datetime | None = None) -> str:
     """Write below a time-stamped name and return the path."""
     path = stamped(folder, name, at)
-    df.write.csv(path, header=True)
+    df.write.options(**DIALECT).csv(path, header=True)
     return path

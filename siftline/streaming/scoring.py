@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from siftline.sources.csv import DIALECT
+
 
 def arriving_files(
     spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None
@@ -15,7 +17,8 @@ def arriving_files(
     """A stream of the rows of new files. A schema is required, as for any file stream."""
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("comment", "#").option("enforceSchema", False)
+        # A file whose header names other columns, or in another order, is an error.
+        reader = reader.options(header=True, comment="#", enforceSchema=False, **DIALECT)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder)

@@ -46,7 +46,7 @@ def test_repeated_narrowing_and_failed_intervals(spark, monkeypatch, error):
     monkeypatch.setattr(quantiles, "rank_error", lambda: error)
     checked = []
     check = quantiles._check
-    monkeypatch.setattr(quantiles, "_check", lambda df, p, a: (checked.append(len(p)), check(df, p, a))[1])
+    monkeypatch.setattr(quantiles, "_check", lambda df, p, a, **o: (checked.append(len(p)), check(df, p, a, **o))[1])
     df = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("x"))
     found, _ = quantiles.exact_quantiles(df, {"x": F.col("x")}, (0.05, 0.5, 0.95))
     expected = df.toPandas()["x"].quantile([0.05, 0.5, 0.95]).tolist()

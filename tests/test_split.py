@@ -81,6 +81,13 @@ def test_a_key_shared_at_the_cut_is_reported(spark):
         assert order.cut_values({1: [start]})[1] == list(first)
 
 
+def test_rows_of_another_label_are_an_error(spark):
+    for other in (F.lit(2), F.lit(12), F.lit(-1), F.lit(None).cast("int")):
+        df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, other).otherwise(F.col("id") % 2).alias("label"))
+        with pytest.raises(ValueError, match="another label than 0 and 1"):
+            split.stratified_split(df, "label", ["id"])
+
+
 def test_small_and_single_class_tables(spark):
     df = spark.range(7).select("id", F.lit(1).alias("label"))
     found = counted(split.stratified_split(df, "label", ["id"]), "split")

@@ -35,6 +35,7 @@ def tables(catalogue):
     vectors = training.assembled(df, state.inputs, ["record_id", "label", "split"]).persist()
     return {
         "state": state,
+        "prepared": df,
         "all": vectors,
         **{s: vectors.where(F.col("split") == s) for s in ("train", "val", "test")},
     }
@@ -72,7 +73,7 @@ def test_patience_rule(losses, patience, kept):
 
 
 def test_early_stop_keeps_the_first_trees(tables, monkeypatch):
-    monkeypatch.setattr(training, "rounds_to_keep", lambda losses, patience: 3)
+    monkeypatch.setattr(training, "rounds_by_metrics", lambda losses, patience: 3)
     short = training.fit_early_stopped(training.boosted_trees(SMALL), tables["train"], tables["val"], 2)
     full = training.fit(training.boosted_trees(SMALL), tables["train"])
     assert len(short.notes["losses"]) == 6 and short.model.getNumTrees == 3
@@ -157,7 +158,8 @@ def test_seed_ensemble(tables):
 
 
 def test_out_of_bag(tables):
-    bags = ensemble.fit_bags(tables["train"], ["record_id"], bags=4, maxDepth=5)
+    bags = ensemble.fit_bags(tables["train"], ["record_id"], {"max_depth": 5, "max_features": "sqrt"}, bags=4)
+    assert {b.getOrDefault("featureSubsetStrategy") for b in bags} == {"sqrt"}
     scored = ensemble.out_of_bag_scored(bags, tables["train"], ["record_id"]).persist()
     row = ensemble.out_of_bag_accuracy(scored).first()
     assert row["rows"] == tables["train"].count() and 0.7 < row["oob_accuracy"] <= 1
@@ -177,6 +179,32 @@ def test_network(tables):
     assert training.validation_f1(fitted.model, tables["val"]) > 0.7
 
 
+def test_step_size_chooses_the_solver_that_uses_it():
+    assert training.network(3).getSolver() == "l-bfgs"
+    stepped = training.network(3, step_size=0.5)
+    assert stepped.getSolver() == "gd" and stepped.getStepSize() == 0.5
+
+
+@pytest.mark.parametrize(
+    "losses,patience,kept",
+    [({"a": [3, 1, 2, 2, 0], "b": [5, 4, 3, 2, 1]}, 2, 2), ({"a": [5, 4, 3, 2, 1], "b": [1, 2, 3, 4, 5]}, 3, 1), ({"a": [3, 2, 1]}, 5, 3)],
+)
+def test_the_metric_that_stops_first_decides(losses, patience, kept):
+    assert training.rounds_by_metrics(losses, patience) == kept
+
+
+def test_staged_scores_are_those_of_cut_models(spark, boosted, tables):
+    from siftline.plans.trees import first_trees, staged_scores
+
+    staged = staged_scores(spark, boosted.model, tables["val"].select("record_id", "features"))
+    assert staged.select("round").distinct().count() == boosted.model.getNumTrees
+    for rounds in (1, boosted.model.getNumTrees):
+        cut = first_trees(spark, boosted.model, rounds)
+        alone = training.scored(cut, tables["val"]).select("record_id", F.col("score").alias("own"))
+        far = staged.where(F.col("round") == rounds).join(alone, "record_id").where(F.abs(F.col("score") - F.col("own")) > 1e-12)
+        assert cut.getNumTrees == rounds and far.count() == 0
+
+
 def test_class_weight_column(tables):
     weighted = with_class_weight(tables["train"], "label")
     row = weighted.groupBy().agg(F.sum(F.when(F.col("label") == 1, F.col("class_weight"))), F.sum((F.col("label") == 0).cast("int"))).first()
@@ -235,6 +263,38 @@ def test_scorer_survives_saving_and_csv(spark, catalogue, scorer, tmp_path):
     assert result.join(expected, "record_id").where(F.abs(F.col("p") - F.col("probability")) > 1e-9).count() == 0
 
 
+def test_engineered_ensemble_survives_saving_and_undefined_features(spark, catalogue, tables, boosted, tmp_path):
+    from siftline.functions.derived import KOI_DERIVED
+    from siftline.plans.engineer import engineer
+
+    ready, engineering = engineer(tables["prepared"], tables["state"], KOI_DERIVED)
+    assert len(engineering.inputs) == 12
+    inputs = [*tables["state"].inputs, *engineering.inputs]
+    rows = training.assembled(ready, inputs, ["record_id", "label", "split"]).where("split = 'train'")
+    models = [training.fit(training.boosted_trees({"n_estimators": 2, "max_depth": 3}, seed), rows).model for seed in (1, 2)]
+    scorer = Scorer.of(tables["state"], models, engineering=engineering)
+    scorer.save(spark, str(tmp_path / "s"))
+    loaded = Scorer.load(spark, str(tmp_path / "s"))
+    assert (loaded.positive, loaded.negative) == ("Planet", "False Positive") and len(loaded.models) == 2
+    # Values far below the training range: logarithms of -1 and less, and a division by zero.
+    strange = catalogue.withColumn("koi_depth", F.lit(-1e9)).withColumn("koi_period", F.lit(-1e9))
+    one, two = (s.transform(strange).select("record_id", "probability") for s in (scorer, loaded))
+    assert one.exceptAll(two).count() == 0 and one.where("probability IS NULL").count() == 0
+    alone = Scorer.of(tables["state"], boosted.model).transform(catalogue)
+    assert alone.where("prediction <> CAST(probability > 0.5 AS INT) AND probability <> 0.5").count() == 0
+
+
+def test_a_folder_without_scaling_or_inputs_is_refused(spark, scorer, tmp_path):
+    import shutil
+
+    for part in ("preparation/settings", "scorer", "members/0"):
+        folder = tmp_path / part.replace("/", "-")
+        scorer.save(spark, str(folder))
+        shutil.move(str(folder / part), str(tmp_path / f"away-{part.replace('/', '-')}"))
+        with pytest.raises(Exception):
+            Scorer.load(spark, str(folder))
+
+
 def test_missing_models_are_skipped_and_none_is_an_error(spark, scorer, tmp_path):
     scorer.save(spark, str(tmp_path / "s"))
     with pytest.warns(UserWarning, match="could not load gone"):
