@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,16 @@ def normalised(sentence: Column) -> Column:
     return F.trim(plain, F.lit(" ."))
 
 
-def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _plain(sentence: str) -> str:
+    """``normalised`` of a sentence in the driver's memory."""
+    lower = sentence.translate(str.maketrans(UPPER, LOWER))
+    return re.sub(BLANK, " ", lower).strip(" .")
+
+
+def _may_be_known(part: str, known: Iterable[str]) -> Column:
+    """A quick test that every known sentence passes: that it starts with the first word of one."""
+    words = sorted({re.split(r"[ .]", sentence)[0] for sentence in known})
+    return F.col(part).rlike(rf"^[^A-Za-z0-9+-]*(?i:{'|'.join(map(re.escape, words))})")
 
 
 def found_licences(
@@ -105,11 +114,10 @@ def found_licences(
     tables go to every executor: they are arguments from the driver's memory.
     """
     spark = df.sparkSession
-    known = _table(spark, [(name, text) for name, text in sentences.items()], "name string, text string")
-    known = F.broadcast(known.select("name", normalised(F.col("text")).alias("sentence")).dropDuplicates(["sentence"]))
+    plain = {_plain(text): name for name, text in reversed(list(sentences.items())) if _plain(text)}
+    known = F.broadcast(spark.createDataFrame(list(plain.items()), "sentence string, name string"))
     longest = max((len(steps) for _, steps in rules.values()), default=1)
-    wanted = _table(
-        spark,
+    wanted = spark.createDataFrame(
         [(name, licence, list(steps), len(steps), steps[0]) for name, (licence, steps) in rules.items()],
         T.StructType.fromDDL("rule string, licence string, steps array<string>, size int, name string"),
     )
@@ -118,6 +126,7 @@ def found_licences(
         F.xxhash64(text_col).alias("text_hash"),
         F.posexplode(F.split(F.col(text_col), BREAK, -1)).alias("at", "part"),
     )
+    parts = parts.where(_may_be_known("part", plain))
     hits = parts.withColumn("sentence", normalised(F.col("part"))).join(known, "sentence")
     hits = hits.select("id", "text_hash", "at", "name").distinct()
     text = Window.partitionBy("id", "text_hash").orderBy("at")
