@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
+
 # Decimals and unit per displayed feature.
 KOI_DISPLAY = {
     "koi_period": (2, "days"),
@@ -52,6 +54,6 @@ def percent(value: Column, decimals: int = 2) -> Column:
 
 def display_columns(formats: Mapping[str, tuple[int, str]]) -> list[Column]:
     return [
-        with_unit(F.col(name), decimals, unit).alias(name)
+        with_unit(col(name), decimals, unit).alias(name)
         for name, (decimals, unit) in formats.items()
     ]

@@ -7,24 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
+
 
 def mapped_label(category: str, label_map: Mapping[str, int]) -> Column:
     """0/1 by lookup; an unknown or missing category gives NULL."""
     pairs = [F.lit(part) for item in label_map.items() for part in item]
-    return F.create_map(*pairs)[F.col(category)].cast("int")
+    return F.create_map(*pairs)[col(category)].cast("int")
 
 
 def membership_flag(category: str, members: Sequence[str]) -> Column:
     """1 for a listed category, else 0; a missing category counts as not listed."""
-    return F.coalesce(F.col(category).isin(list(members)), F.lit(False)).cast("int")
+    return F.coalesce(col(category).isin(list(members)), F.lit(False)).cast("int")
 
 
 def class_text(prediction: str, positive: str, negative: str) -> Column:
-    return F.when(F.col(prediction) == 1, F.lit(positive)).otherwise(F.lit(negative))
+    return F.when(col(prediction) == 1, F.lit(positive)).otherwise(F.lit(negative))
 
 
 def correct_flag(prediction: str, label: str) -> Column:
-    return F.col(prediction) == F.col(label)
+    return col(prediction) == col(label)
 
 
 def thresholded(score: Column, threshold: float = 0.5) -> Column:
@@ -43,5 +45,5 @@ def target_level(f1: Column, target: float = 0.95, close: float = 0.90) -> Colum
 def mean_probability(probabilities: Sequence[str]) -> Column:
     total = F.col(probabilities[0])
     for name in probabilities[1:]:
-        total = total + F.col(name)
+        total = total + col(name)
     return total / len(probabilities)

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.operators.ranking import roc_auc
 
 METRICS = ("accuracy", "precision", "recall", "f1_score")
 
 
 def confusion_cells(label: str, prediction: str) -> list[Column]:
-    truth, guess = F.col(label), F.col(prediction)
+    truth, guess = col(label), col(prediction)
     return [
         F.count_if((truth == 0) & (guess == 0)).alias("tn"),
         F.count_if((truth == 0) & (guess == 1)).alias("fp"),
@@ -103,20 +104,20 @@ def classification_report(
 
 def calibration_curve(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """Mean score and share of positives per right-closed bin; empty bins are absent."""
-    position = F.least(F.greatest(F.ceil(F.col(score) * bins) - 1, F.lit(0)), F.lit(bins - 1))
+    position = F.least(F.greatest(F.ceil(col(score) * bins) - 1, F.lit(0)), F.lit(bins - 1))
     return (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        df.where(col(score).isNotNull() & col(label).isNotNull())
         .groupBy(position.cast("int").alias("bin"))
         .agg(
             F.avg(score).alias("mean_predicted"),
-            F.avg(F.col(label).cast("double")).alias("fraction_positive"),
+            F.avg(col(label).cast("double")).alias("fraction_positive"),
             F.count(F.lit(1)).alias("rows"),
         )
     )
 
 
 def prediction_totals(df: DataFrame, prediction: str) -> DataFrame:
-    return df.agg(F.sum(F.col(prediction).cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("rows"))
+    return df.agg(F.sum(col(prediction).cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("rows"))
 
 
 def importance_rows(df: DataFrame, features: str, importances: str) -> DataFrame:

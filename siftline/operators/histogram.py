@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 
 
@@ -20,14 +21,14 @@ class _Series:
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
     """(feature, bin, bin_low, bin_high, rows), empty bins included."""
-    series = [_Series(name, None, missing_as_null(F.col(name))) for name in columns]
+    series = [_Series(name, None, missing_as_null(col(name))) for name in columns]
     return _binned(df, series, bins).select("feature", "bin", "bin_low", "bin_high", "rows")
 
 
 def histogram_by_class(df: DataFrame, columns: Sequence[str], label: str, bins: int = 30) -> DataFrame:
     """Each class is binned over its own range; ``density`` integrates to 1 per class."""
     series = [
-        _Series(name, value, F.when(F.col(label) == value, missing_as_null(F.col(name))))
+        _Series(name, value, F.when(col(label) == value, missing_as_null(col(name))))
         for name in columns
         for value in (0, 1)
     ]

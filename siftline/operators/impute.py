@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import scaling
+from siftline.functions.naming import col
 from siftline.operators import quantiles
 
 
 def fit_medians(df: DataFrame, features: Sequence[str], approximate: bool = False) -> dict[str, float | None]:
     """Exact medians, or on request approximate ones from a single pass."""
-    values = {name: scaling.missing_as_null(F.col(name)) for name in features}
+    values = {name: scaling.missing_as_null(col(name)) for name in features}
     if approximate:
         found = quantiles.sketch_quantiles(df, {n: (v, (0.5,)) for n, v in values.items()})
         return {n: points[0] if points else None for n, (_, points) in found.items()}
@@ -24,7 +25,7 @@ def fit_medians(df: DataFrame, features: Sequence[str], approximate: bool = Fals
 
 def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
     return df.withColumns(
-        {name: scaling.filled(scaling.missing_as_null(F.col(name)), value) for name, value in medians.items()}
+        {name: scaling.filled(scaling.missing_as_null(col(name)), value) for name, value in medians.items()}
     )
 
 
@@ -46,7 +47,7 @@ STATS = ("min", "max", "mean", "std_pop")
 
 def fit_scales(df: DataFrame, features: Sequence[str]) -> dict[str, dict[str, float]]:
     """min, max, mean and population deviation per feature, from one pass."""
-    row = df.agg(*moments({name: F.col(name).cast("double") for name in features})).first()
+    row = df.agg(*moments({name: col(name).cast("double") for name in features})).first()
     return {name: {stat: row[f"{stat}:{name}"] for stat in STATS} for name in features}
 
 
@@ -71,9 +72,9 @@ def scale_after_filling(
 
 def _scaled(name: str, scale: Mapping[str, float], method: str) -> Column:
     if method == "minmax":
-        return scaling.min_max(F.col(name), scale["min"], scale["max"])
+        return scaling.min_max(col(name), scale["min"], scale["max"])
     if method == "standard":
-        return scaling.standard(F.col(name), scale["mean"], scale["std_pop"])
+        return scaling.standard(col(name), scale["mean"], scale["std_pop"])
     raise ValueError(f"unknown scaling method: {method}")
 
 

@@ -26,7 +26,7 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    values = {name: missing_as_null(F.col(name)) for name in columns}
+    values = {name: missing_as_null(col(name)) for name in columns}
     stats = []
     for name, value in values.items():
         stats += [
@@ -51,7 +51,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_comparison(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Mean and exact median per class and column."""
     values = {
-        f"{value}:{name}": F.when(F.col(label) == value, missing_as_null(F.col(name)))
+        f"{value}:{name}": F.when(col(label) == value, missing_as_null(col(name)))
         for value in (0, 1)
         for name in columns
     }
@@ -116,8 +116,8 @@ def dense_features(df: DataFrame, columns: Sequence[str], threshold: float = 0.5
 
 def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest and largest value over all the columns together."""
-    lows = [F.min(F.col(name)) for name in columns]
-    highs = [F.max(F.col(name)) for name in columns]
+    lows = [F.min(col(name)) for name in columns]
+    highs = [F.max(col(name)) for name in columns]
     if len(columns) == 1:
         return df.agg(lows[0].alias("low"), highs[0].alias("high"))
     return df.agg(F.least(*lows).alias("low"), F.greatest(*highs).alias("high"))

@@ -14,13 +14,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.functions.scaling import missing_as_null
 from siftline.operators.quantiles import balanced_edges
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, score, pos, neg) per distinct score, with the bucket of the score."""
-    rows = df.select(*by, F.col(label).alias("label"), missing_as_null(F.col(score)).alias("score")).where(
+    rows = df.select(*by, col(label).alias("label"), missing_as_null(col(score)).alias("score")).where(
         F.col("score").isNotNull() & F.col("label").isNotNull()
     )
     counts = rows.groupBy(*by, "score").agg(

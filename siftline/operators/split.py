@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.hashing import key_hash
+from siftline.functions.naming import col
 
 DIGITS = 3
 RANKED_ROWS = 200_000
@@ -74,7 +75,7 @@ class KeyOrder:
     """Rows in hash order, counted per class and hash prefix. A label other than 0 and 1 is an error."""
 
     def __init__(self, df: DataFrame, label: str, key: Sequence[str], seed: int):
-        self.rows = df.select(F.col(label).cast("string").alias("label"), key_hash(seed, key).alias("hash"))
+        self.rows = df.select(col(label).cast("string").alias("label"), key_hash(seed, key).alias("hash"))
         self.label, self.key, self.seed = label, tuple(key), seed
         self._prefixes = self._count(self.rows, DIGITS)
         self.counts: dict[int, int] = {}

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from siftline.operators.tables import require_columns
 from siftline.plans.engineer import Engineering
 from siftline.plans.ensemble import with_member_scores
 from siftline.plans.prepare import Preparation
+from siftline.plans.training import with_vector
 from siftline.sources.csv import DIALECT, read_features_csv, write_csv
 from siftline.sources.models import load_pipelines, save_pipeline
 
@@ -67,8 +67,7 @@ class Scorer:
         ready = self.preparation.transform(df.withColumns(raw))
         if self.engineering:
             ready = self.engineering.transform(ready)
-        assembler = VectorAssembler(inputCols=self.inputs, outputCol="features", handleInvalid="error")
-        scored, names = with_member_scores(self.models, assembler.transform(ready), predictions=True)
+        scored, names = with_member_scores(self.models, with_vector(ready, self.inputs), predictions=True)
         p = mean_probability(names)
         predicted = F.col("prediction_0").cast("int") if len(names) == 1 else thresholded(p)
         scored = scored.withColumns({"probability": p, "prediction": predicted})
@@ -81,7 +80,7 @@ class Scorer:
         )
 
     def report_columns(self, scored: DataFrame, features: int = 4) -> DataFrame:
-        return scored.select("prediction_text", "probability", *self.preparation.features[:features])
+        return scored.select("prediction_text", "probability", *map(col, self.preparation.features[:features]))
 
     def score_record(self, spark: SparkSession, record: Mapping[str, float]) -> DataFrame:
         names = self.preparation.features

@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.naming import col
 from siftline.operators.evaluate import binary_metrics
 from siftline.operators.ranking import roc_auc
 from siftline.plans.trees import first_trees, staged_scores
@@ -155,10 +156,19 @@ def network(
     )
 
 
+def with_vector(df: DataFrame, inputs: Sequence[str], output: str = "features") -> DataFrame:
+    """A dense vector of the columns in the given order; a missing value is an error.
+
+    The assembler can't read a name with a dot, so it gets columns under names of their own.
+    """
+    places = {f"_input_{k}": col(name) for k, name in enumerate(inputs)}
+    assembler = VectorAssembler(inputCols=list(places), outputCol=output, handleInvalid="error")
+    return assembler.transform(df.withColumns(places)).drop(*places)
+
+
 def assembled(df: DataFrame, inputs: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """A dense vector in the given order beside the kept columns; a missing value is an error."""
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="error")
-    return assembler.transform(df).select(*keep, "features")
+    """The vector beside the kept columns."""
+    return with_vector(df, inputs).select(*map(col, keep), "features")
 
 
 def scored(model: Model, df: DataFrame, score: str = "score") -> DataFrame:

@@ -52,11 +52,11 @@ def staged_scores(spark: SparkSession, model: GBTClassificationModel, df: DataFr
     """``df`` with ``round`` and ``score``: each row's class-1 probability after every round."""
     values = leaf_values(spark, model)
     starts = np.cumsum([0, *map(len, values)])[:-1].tolist()
-    flat = F.array(*(F.lit(float(x)) for v in values for x in v))
+    flat = F.lit(np.concatenate(values))  # one literal, however many leaves
     leaves = vector_to_array("_leaves").cast("array<int>")
     staged = model.copy({model.leafCol: "_leaves"}).transform(df).drop("rawPrediction", "probability", "prediction")
     staged = staged.withColumn("_leaves", leaves)
-    terms = F.zip_with("_leaves", F.array(*map(F.lit, starts)), lambda leaf, start: F.get(flat, leaf + start))
+    terms = F.zip_with("_leaves", F.lit(np.array(starts, np.int32)), lambda leaf, start: F.get(flat, leaf + start))
     margins = F.aggregate(
         terms,
         F.array().cast("array<double>"),

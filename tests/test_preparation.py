@@ -169,3 +169,26 @@ def test_spec_defaults():
     assert KOI.positives() == ("CANDIDATE", "CONFIRMED")
     assert len(KOI.features) == 12 and set(KOI.ranges) == set(KOI.features)
     assert TableSpec((), (), "c", {}, positive_categories=("x",)).positives() == ("x",)
+
+
+def test_feature_names_with_dots(spark):
+    from siftline.operators import histogram, profile
+    from siftline.operators.correlation import correlation_matrix
+    from siftline.plans import training
+    from siftline.plans.scoring import Scorer
+    from siftline.spec import TableSpec
+
+    rows = [(i, "p" if i % 3 else "n", float(i % 7) if i % 5 else None, float(i % 11), 1.0 * i) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, kind string, `a.b` double, `a` double, `c.d` double")
+    spec = TableSpec(key=("id",), features=("a.b", "a", "c.d"), category="kind", label_map={"n": 0, "p": 1})
+    table, state = prepare(df, spec)
+    assert state.features == ["a.b", "a", "c.d"] and "a.b_scaled" in table.columns
+    rows = training.assembled(table, state.inputs, ["id", "label", "split"])
+    model = training.fit(training.forest({"n_estimators": 2, "max_depth": 2}), rows.where("split = 'train'")).model
+    scored = Scorer.of(state, model).transform(df)
+    assert scored.columns[:5] == df.columns and scored.where("probability IS NULL").count() == 0
+    names = ["a.b", "a", "c.d"]
+    assert {r["feature"] for r in profile.describe(df, names).collect()} == set(names)
+    assert {r["feature"] for r in profile.missing_by_column(df).collect()} == {"a.b"}
+    assert correlation_matrix(df, names).count() == 9
+    assert histogram.histogram(df, names, 4).count() == 12
