@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from siftline.llm import (
     decontaminate, licences, near_vectors, pieces, quality, shards, simhash, suffixes, token_files, warc,
 )
-from siftline.session import new_path, ship_package
+from siftline.llm.slices import ready
+from siftline.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,7 +58,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer, folder, end_id=1)
-    return token_files.digests(token_files.read_token_files(spark, folder))
+    return token_files.read_digests(spark, folder)
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

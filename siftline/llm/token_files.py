@@ -18,15 +18,15 @@ The table ``manifest`` names the files, in the order of the documents.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +34,15 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from siftline.llm.files import new_file, opened
-from siftline.llm.slices import list_array, text_slices
+from siftline.llm.slices import Table, gathered, held, list_array, text_slices
 from siftline.session import drop_stored, stored
 
 HEAD = struct.Struct("<4sIQQ")
 MAGIC = b"SLT1"
 #: Ids that a block is closed at, and that a file is planned for.
 BLOCK_IDS, FILE_IDS = 1 << 20, 16_000_000
-#: Distinct chunks that the table of one Python worker holds; a full table is emptied, which changes no result.
-TABLE_CHUNKS = 600_000
+#: Distinct words that the table of one Python worker holds.
+TABLE_WORDS = 1_500_000
 
 # Data bytes of the four ids of each control byte, and the bits that so many bytes can hold.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -71,76 +71,110 @@ def unpacked(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 # --- tokenising ---------------------------------------------------------------------------------
 
-_SPACE = re.compile(r"[^ \t\n\v\f\r]+")
-# A word that ends in a letter or digit, before ASCII marks that end at white space: the tokenizer cuts there too.
-_WORD = re.compile(r"[^ \t\n\v\f\r]*?[^\W_](?=[.,;:!?|*$%&#]+(?:[ \t\n\v\f\r]|$))|[^ \t\n\v\f\r]+")
+# A word that ends in a letter or digit, before ASCII marks that end the chunk: the tokenizer cuts there too.
+_MARKED = "(?s)^(?P<word>.*[A-Za-z0-9à-öø-ÿ])(?P<marks>[.,;:!?|*$%&#]+)$"
+# A word that is one piece before the merges, whatever its text: small letters that nothing changes.
+_ONE_PIECE = "^[a-zà-öø-ÿ]+$"
 
 
-def _lowered(text: str) -> str | None:
-    """The text with A-Z lower-cased, or None where that could change ids: special tokens, parts that NFC would join."""
-    if "<|" in text:
-        return None
+def _lowered(text: str) -> str:
+    """The text with A-Z lower-cased, but where that could change ids: special tokens, parts that NFC would join."""
     low = text.encode().lower().decode()
-    whole = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))
-    return low if whole else None
+    if "<|" in text:
+        return text
+    if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        return low
+    return text
 
 
 class ChunkTable:
-    """Ids of distinct chunks of text, each tokenised once by the library."""
+    """Ids of distinct words and marks between white space, each tokenised once by the library."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = words_stand_alone(self.tokenizer)
-        self.ids: dict[str, bytes] = {}
-
-    def add(self, chunks: set[str]) -> None:
-        new = [chunk for chunk in chunks if chunk not in self.ids]
-        if len(self.ids) + len(new) > TABLE_CHUNKS:
-            self.ids.clear()
-            new = list(chunks)
-        for first in range(0, len(new), 50_000):
-            some = new[first : first + 50_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.ids.update((c, np.array(x.ids, self.wide).tobytes()) for c, x in zip(some, found, strict=True))
-
-    def chunks(self, text: str) -> list[str]:
-        if not self.words:
-            return [text] if text else []
-        low = _lowered(text)
-        return _SPACE.findall(text) if low is None else _WORD.findall(low)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of ``wide``, exactly the library's without special tokens."""
-        chunks = [self.chunks(text) for text in texts]
-        self.add(set().union(*chunks))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, row)) for row in chunks]
+        self.words_alone = words_stand_alone(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.table = Table(self._encode, self.wide, TABLE_WORDS)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+        return np.array([i for ids in found for i in ids], self.wide), np.array([len(ids) for ids in found], np.int64)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are one piece each as one text: an id that ends a word is the last one of its piece."""
+        [found] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, self.wide)
+        stops = np.nonzero(self.ends[ids])[0] + 1
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self._alone(words)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        one_piece = compute.match_substring_regex(words, _ONE_PIECE).to_numpy(zero_copy_only=False)
+        order = np.argsort(~one_piece, kind="stable")
+        listed, plain = words.take(pa.array(order)).to_pylist(), int(one_piece.sum())
+        parts = [self._together(listed[k : min(k + 2_000, plain)]) for k in range(0, plain, 2_000)]
+        parts.append(self._alone(listed[plain:]))
+        ids, sizes = (np.concatenate(column) for column in zip(*parts, strict=True))
+        return gathered(ids, sizes, np.argsort(order))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, exactly the library's without special tokens, and the number of each text's.
+
+        The texts are cut at ASCII white space, distinct chunks into a word and the marks behind it;
+        distinct words are looked up, and their ids put back in the words' places.
+        """
+        if not self.words_alone:
+            return self._alone(texts)
+        lists = compute.ascii_split_whitespace(pa.array([_lowered(text) for text in texts], pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        cut = compute.extract_regex(chunks.dictionary, _MARKED)
+        words = compute.coalesce(compute.struct_field(cut, "word"), chunks.dictionary).dictionary_encode()
+        marks = compute.fill_null(compute.struct_field(cut, "marks"), "").dictionary_encode()
+        distinct = pa.concat_arrays([words.dictionary, marks.dictionary]).dictionary_encode()
+        place = self.table.places(distinct.dictionary)[distinct.indices.to_numpy()]
+        two = np.stack([place[words.indices.to_numpy()], place[len(words.dictionary) + marks.indices.to_numpy()]], axis=1)
+        which = two[chunks.indices.to_numpy()].ravel()
+        ids, each = gathered(self.table.ids, self.table.sizes, which)
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return ids, np.diff(upto[2 * lists.offsets.to_numpy()])
 
 
 def words_stand_alone(tokenizer: Tokenizer) -> bool:
-    """Whether the tokenizer lower-cases NFC text, drops white space, and cuts letters from ASCII marks."""
-    probes = {"Ab, cd.  e\tf\n": ["ab", ",", "cd", ".", "e", "f"], "x9!? É|": ["x", "9", "!?", "é", "|"]}
-    for text, parts in probes.items():
-        whole = tokenizer.encode(text, add_special_tokens=False).ids
-        if whole != [i for part in parts for i in tokenizer.encode(part, add_special_tokens=False).ids]:
-            return False
-    return True
+    """Whether texts may be cut at ASCII white space, and before ASCII marks at the end of a word.
 
-
-@cache
-def _table(path: str) -> ChunkTable:
-    return ChunkTable(path)
+    So it is for a tokenizer that lower-cases NFC text character by character, drops white space,
+    and takes runs of letters, single digits and runs of other characters apart. Whole texts go to
+    any other.
+    """
+    spec = json.loads(tokenizer.to_str())
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [part["type"] for part in normalizer.get("normalizers", [])]
+    splits = [part for part in splitter.get("pretokenizers", []) if part["type"] == "Split"]
+    if kinds != ["NFC", "Replace", "Lowercase"] or len(splits) != 1 or not splits[0]["invert"]:
+        return False
+    pattern = splits[0]["pattern"].get("Regex", "")
+    if splits[0]["behavior"] != "Removed" or not pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        return False
+    # What comes before that in the pattern begins with an apostrophe, at which no text is cut.
+    return all(part[:1] == "'" for part in pattern.split("|")[:-3])
 
 
 def _tokenise(path: str, end_id: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
-        end = b"" if end_id is None else np.array([end_id], table.wide).tobytes()
         for batch, texts in text_slices(batches, "text"):
-            ids = pa.array([x + end for x in table.encode_all(texts)], pa.binary())
-            wide = pa.array(np.full(len(texts), table.wide.itemsize, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), wide, ids], ["id", "wide", "ids"])
+            table = held(f"chunks of {path}", lambda: ChunkTable(path))
+            ids, sizes = table.encode_all(texts)
+            if end_id is not None:
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            width = table.wide.itemsize
+            offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int32)
+            column = pa.Array.from_buffers(
+                pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]
+            )
+            wide = pa.array(np.full(len(texts), width, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), wide, column], ["id", "wide", "ids"])
 
     return run
 
@@ -233,11 +267,12 @@ def _write_ranks(folder: str, ranked: np.ndarray) -> None:
         stream.write(MAGIC + ranked.astype("<u4").tobytes())
 
 
-def _read(folder: str, ranked: np.ndarray) -> Callable:
+def _read(folder: str, ranked: np.ndarray, finish: Callable = lambda batch: batch) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _blocks(f"{folder}/{row['file']}", row["start"], ranked)
+                for block in _blocks(f"{folder}/{row['file']}", row["start"], ranked):
+                    yield finish(block)
 
     return run
 
@@ -261,16 +296,27 @@ def _blocks(uri: str, start: int, ranked: np.ndarray) -> Iterator[pa.RecordBatch
             )
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, start)``, dealt to a task each; starts come from the manifest alone."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).where("docs > 0")
+    return files.select("file", "start").repartition(max(1, manifest.count()))
+
+
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, ids array<int>)`` of every document: its ids, and the number of ids before it.
 
-    Files are read apart, block by block; starts of files come from the manifest alone.
+    Files are read apart, block by block.
     """
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    files = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).where("docs > 0")
-    files = files.select("file", "start").repartition(max(1, manifest.count()))
-    return files.mapInArrow(_read(folder, _ranks(spark, folder)), "doc_id long, start long, ids array<int>")
+    run = _read(folder, _ranks(spark, folder))
+    return _files(spark, folder).mapInArrow(run, "doc_id long, start long, ids array<int>")
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of ``read_token_files``, ids as little-endian uint32, in one pass."""
+    run = _read(folder, _ranks(spark, folder), _digest)
+    return _files(spark, folder).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _ranks(spark: SparkSession, folder: str) -> np.ndarray:
@@ -278,18 +324,12 @@ def _ranks(spark: SparkSession, folder: str) -> np.ndarray:
     return np.frombuffer(bytes(found[0].content), "<u4", offset=len(MAGIC))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [value.values.to_numpy().astype("<u4").tobytes() for value in batch.column("ids")]
-        columns = [
-            batch.column("doc_id"),
-            batch.column("start"),
-            pa.array([len(x) // 4 for x in ids], pa.int64()),
-            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of what ``read_token_files`` gives, ids as little-endian uint32."""
-    return rows.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = [value.values.to_numpy().astype("<u4").tobytes() for value in batch.column("ids")]
+    columns = [
+        batch.column("doc_id"),
+        batch.column("start"),
+        pa.array([len(x) // 4 for x in ids], pa.int64()),
+        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
