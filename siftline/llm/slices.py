@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,10 @@ from pyspark.sql import SparkSession
 from siftline.session import ship_package
 
 #: Characters of text that are worked on at once inside a task.
-CHARS = 3_000_000
-
-
+CHARS = 1_500_000
 #: Rows that are sent to a Python worker at once, unless the session says otherwise; texts can be long.
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ROWS_SENT = "2000"
+ROWS_SENT = "1500"
 
 
 def ready(spark: SparkSession) -> None:
@@ -30,7 +30,10 @@ def ready(spark: SparkSession) -> None:
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str, chars: int = CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut batches into slices of about ``chars`` characters, one row at least; null texts come as empty ones."""
+    """Cut batches into slices of about ``chars`` characters, one row at least; null texts come as empty ones.
+
+    At the end of a task the worker, which waits for other tasks, gives free memory back.
+    """
     for batch in batches:
         first, held, size = 0, [], 0
         for k, value in enumerate(batch.column(text)):
@@ -41,6 +44,9 @@ def text_slices(
                 first, held, size = k + 1, [], 0
         if held:
             yield batch.slice(first), held
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def list_array(values, sizes, kind: pa.DataType) -> pa.ListArray:

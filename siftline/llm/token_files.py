@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from siftline.llm.files import new_file, opened
 from siftline.llm.slices import Table, gathered, held, list_array, text_slices
@@ -41,8 +41,8 @@ HEAD = struct.Struct("<4sIQQ")
 MAGIC = b"SLT1"
 #: Ids that a block is closed at, and that a file is planned for.
 BLOCK_IDS, FILE_IDS = 1 << 20, 16_000_000
-#: Distinct words that the table of one Python worker holds.
-TABLE_WORDS = 1_500_000
+#: Distinct words that the table of one Python worker holds; characters that are tokenised at once.
+TABLE_WORDS, CHARS = 1_500_000, 6_000_000
 
 # Data bytes of the four ids of each control byte, and the bits that so many bytes can hold.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -98,6 +98,11 @@ class ChunkTable:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.table = Table(self._encode, self.wide, TABLE_WORDS)
+        # For words that are one piece: the same merges, without the normalising that leaves them as they are.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
@@ -105,7 +110,7 @@ class ChunkTable:
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words that are one piece each as one text: an id that ends a word is the last one of its piece."""
-        [found] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        [found] = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.array(found.ids, self.wide)
         stops = np.nonzero(self.ends[ids])[0] + 1
         return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self._alone(words)
@@ -114,7 +119,7 @@ class ChunkTable:
         one_piece = compute.match_substring_regex(words, _ONE_PIECE).to_numpy(zero_copy_only=False)
         order = np.argsort(~one_piece, kind="stable")
         listed, plain = words.take(pa.array(order)).to_pylist(), int(one_piece.sum())
-        parts = [self._together(listed[k : min(k + 2_000, plain)]) for k in range(0, plain, 2_000)]
+        parts = [self._together(listed[k : min(k + 300, plain)]) for k in range(0, plain, 300)]
         parts.append(self._alone(listed[plain:]))
         ids, sizes = (np.concatenate(column) for column in zip(*parts, strict=True))
         return gathered(ids, sizes, np.argsort(order))
@@ -163,7 +168,7 @@ def words_stand_alone(tokenizer: Tokenizer) -> bool:
 
 def _tokenise(path: str, end_id: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(batches, "text", CHARS):
             table = held(f"chunks of {path}", lambda: ChunkTable(path))
             ids, sizes = table.encode_all(texts)
             if end_id is not None:
