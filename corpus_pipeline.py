@@ -7,24 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, pieces, quality, simhash, suffixes
-from siftline.session import ship_package, stored
+from siftline.llm.slices import ready
+from siftline.session import stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.3 or more; the classifier is fitted on ``docs`` and their labels."""
-    ship_package(spark)
+    ready(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id; three words, two bits."""
-    ship_package(spark)
+    ready(spark)
     return simhash.one_of_each(docs, shingle=3, max_bits=2)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 50 words or more that an earlier document holds."""
-    ship_package(spark)
+    ready(spark)
     return suffixes.without_repeats(docs, passage=50)
 
 
@@ -35,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
-    ship_package(spark)
+    ready(spark)
     rows = pieces.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select(
         "doc_id",

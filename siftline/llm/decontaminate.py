@@ -11,12 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.columns import renamed
+from siftline.llm.columns import renamed, sent
 from siftline.session import stored
 
-#: Rows of the items' tables up to which they are sent to every executor; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
-
 
 def _words(text: str) -> Column:
     """Lower-case runs of letters and digits."""
@@ -71,10 +68,6 @@ def shingles(df: DataFrame, text: str, size: int) -> DataFrame:
     )
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def sketches(items: DataFrame, size: int, threshold: float) -> DataFrame:
     """``(item, hash)``: the smallest hashes of each item's shingles.
 
@@ -123,7 +116,7 @@ def contained_items(
     small = stored(sketches(questions, size, threshold), "sketches")
     probes = shingle_hashes(texts, "text", size).select("id", "text_hash", F.explode("hashes").alias("hash"))
     candidates = stored(
-        probes.join(_sent(small, small.count()), "hash").select("id", "text_hash", "item").distinct(), "candidates"
+        probes.join(sent(small), "hash").select("id", "text_hash", "item").distinct(), "candidates"
     )
 
     parts = shingles(questions, "text", size).select(
@@ -131,9 +124,10 @@ def contained_items(
     )
     parts = stored(parts, "item-shingles")
     wanted = candidates.groupBy("id", "text_hash").agg(F.collect_set("item").alias("wanted"))
+    wanted = stored(wanted.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), "wanted")
     chosen = (
         texts.join(
-            wanted.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}),
+            sent(wanted),
             F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")),
         )
         .drop("_id", "_hash")
@@ -141,7 +135,7 @@ def contained_items(
     )
     held = shingles(chosen, "text", size).select("id", "text_hash", "wanted", F.explode("shingles").alias("shingle"))
     shared = (
-        held.join(_sent(parts, parts.count()), "shingle")
+        held.join(sent(parts), "shingle")
         .where(F.array_contains("wanted", F.col("item")))
         .groupBy("id", "text_hash", "item_id", "item", "n")
         .agg(F.count("*").alias("n_shared"))
@@ -161,4 +155,4 @@ def decontaminated(
     """The rows of ``documents``, all columns, that hold none of the ``items``. Rows that share an id go together."""
     rows, (id_at, text_at) = renamed(documents, id_col, text_col)
     found = contained_items(rows, items, id_at, text_at, **options).select(F.col(id_at).alias("found")).distinct()
-    return rows.join(found, F.col(id_at).eqNullSafe(F.col("found")), "left_anti").toDF(*documents.columns)
+    return rows.join(sent(stored(found, "found")), F.col(id_at).eqNullSafe(F.col("found")), "left_anti").toDF(*documents.columns)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from siftline.llm.components import components, merge
 from siftline.session import stored
 
-#: Vectors of a tile; a task holds two tiles and one block of their products.
-TILE = 8192
+#: Vectors of a tile at most; a task holds two tiles and one block of their products. Few vectors are
+#: still cut into a few tiles, of SMALL_TILE or more, so that several tasks share them.
+TILE, SMALL_TILE, FEW_TILES = 8192, 1024, 6
 #: Rows of a block of products, and pairs that are compared in full precision at once.
 BLOCK, PAIRS = 512, 1 << 18
 
@@ -132,7 +133,7 @@ def near_vectors(
         "vectors",
     )
     count = distinct.count()
-    tiles = max(1, -(-count // TILE))
+    tiles = max(1, -(-count // TILE), min(FEW_TILES, count // SMALL_TILE))
     dealt = distinct.select(
         F.size("vector").alias("dim"),
         F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"),

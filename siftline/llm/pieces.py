@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.slices import list_array, text_slices
+from siftline.llm.slices import Table, gathered, held, list_array, text_slices
 
 #: The whitespace marker of the library.
 MARK = "▁"
-#: Words that the table of one Python worker holds; a full table is emptied, which changes no result.
-TABLE_WORDS = 400_000
+#: Distinct words that the table of one Python worker holds.
+TABLE_WORDS = 1_500_000
 #: What a model must leave as it is for marked words to be found before its normalisation.
 PROBE = "aA éé ﬁＡ　 \tb  c ​ \r\nzßİ "
 
@@ -55,62 +55,72 @@ def marked_words(text: str) -> list[str]:
     return [chunk[1:] for chunk in _CHUNK.findall(" " + text)]
 
 
-class WordTable:
+def _word_table(path: str) -> Table:
     """Ids of distinct marked words, each segmented once by the library."""
+    model = load(path)
+    skip = len(model.encode("x"))
 
-    def __init__(self, path: str):
-        self.model, self.ids = load(path), {}
-        self.before = self.model.encode("x")
-
-    def add(self, words: set[str]) -> None:
-        new = [word for word in words if word not in self.ids]
-        if len(self.ids) + len(new) > TABLE_WORDS:
-            self.ids.clear()
-            new = list(words)
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # Behind another word, so that the library's marker before a text isn't the word's own.
-        found = self.model.encode([f"x {word}" for word in new], num_threads=1)
-        skip = len(self.before)
-        self.ids.update((w, np.array(ids[skip:], np.int32).tobytes()) for w, ids in zip(new, found, strict=True))
+        found = model.encode([f"x {word}" for word in words.to_pylist()], num_threads=1)
+        ids = np.array([i for ids in found for i in ids[skip:]], np.int32)
+        return ids, np.array([len(ids) - skip for ids in found], np.int64)
 
-
-@cache
-def _table(path: str) -> WordTable:
-    return WordTable(path)
+    return Table(encode, np.dtype(np.int32), TABLE_WORDS)
 
 
-def encode_all(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as the library gives them without begin and end ids."""
+def encode_all(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, as the library gives them without begin and end ids, and the number of each text's."""
     if not words_stand_alone(path):
-        return [np.array(ids, np.int32) for ids in load(path).encode(texts, num_threads=1)]
-    table, words = _table(path), [marked_words(text) for text in texts]
-    table.add(set().union(*words))
-    get = table.ids.__getitem__
-    return [np.frombuffer(b"".join(map(get, row)), np.int32) for row in words]
+        found = load(path).encode(texts, num_threads=1)
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+    table = held(f"words of {path}", lambda: _word_table(path))
+    rows = [marked_words(text) for text in texts]
+    counts = [len(row) for row in rows]
+    words = pa.array([word for row in rows for word in row], pa.large_string()).dictionary_encode()
+    del rows
+    which = table.places(words.dictionary)[words.indices.to_numpy()]
+    ids, each = gathered(table.ids, table.sizes, which)
+    upto = np.concatenate([[0], np.cumsum(each)])
+    return ids, np.diff(upto[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])])
+
+
+def _decoded(ids: Iterable[np.ndarray], path: str) -> pa.Array:
+    model = load(path)
+    return pa.array([model.decode(x.tolist()) if len(x) else "" for x in ids], pa.string())
+
 
+def _encoder(path: str, text_col: str, decode: bool) -> Callable:
+    """Adds the ids, and if asked for the text that these ids decode to."""
 
-def _encoder(path: str, text_col: str) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, text_col):
-            ids = encode_all(texts, path)
-            column = list_array(np.concatenate([*ids, np.zeros(0, np.int32)]), [len(x) for x in ids], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "ids"])
+            ids, sizes = encode_all(texts, path)
+            added = [list_array(ids, sizes, pa.int32())]
+            if decode:
+                added.append(_decoded(np.split(ids, np.cumsum(sizes)[:-1]), path))
+            names = ["ids", "decoded"][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     return encode
 
 
 def _decoder(path: str, ids_col: str) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
         for batch in batches:
-            rows = (value.values.to_numpy().tolist() if value.is_valid else [] for value in batch.column(ids_col))
-            texts = pa.array([model.decode(ids) if ids else "" for ids in rows], pa.string())
+            ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(ids_col)]
+            texts = _decoded(ids, path)
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return decode
 
 
-def _with(df: DataFrame, field: T.StructField) -> T.StructType:
-    return T.StructType([*df.schema.fields, field])
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*df.schema.fields, *fields])
 
 
 def encode_texts(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -123,18 +133,19 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text") -> DataFrame
     every executor can open.
     """
     df = df.drop("ids")
-    return df.mapInArrow(_encoder(model, text_col), _with(df, T.StructField("ids", T.ArrayType(T.IntegerType()))))
+    return df.mapInArrow(_encoder(model, text_col, False), _with(df, IDS))
 
 
 def decode_ids(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded string``: the library's ``decode`` of each row's ids; null or no ids give an empty text."""
     df = df.drop("decoded")
-    return df.mapInArrow(_decoder(model, ids_col), _with(df, T.StructField("decoded", T.StringType())))
+    return df.mapInArrow(_decoder(model, ids_col), _with(df, DECODED))
 
 
 def round_trip(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and, from them alone, ``decoded``."""
-    return decode_ids(encode_texts(df, model, text_col), model)
+    """``encode_texts``, and ``decode_ids`` of its ids in the same pass."""
+    df = df.drop("ids", "decoded")
+    return df.mapInArrow(_encoder(model, text_col, True), _with(df, IDS, DECODED))
 
 
 def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

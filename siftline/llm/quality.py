@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.columns import renamed
-from siftline.llm.slices import list_array, text_slices
+from siftline.llm.slices import held, list_array, text_slices
 
 #: Rows of the table of word vectors (words share rows by a hash, so the table doesn't grow), their
 #: dimensions, the entries of a word's index vector, and the neighbours on either side that count.
@@ -24,7 +24,7 @@ SAMPLE = 20_000
 #: Units of the hidden layer, passes over the sample, share of the sample that sets the temperature.
 HIDDEN, PASSES, CALIBRATION = 32, 60, 0.2
 #: Distinct words that a worker remembers the rows of; tokens that are pooled at once.
-KNOWN_WORDS, TOKENS = 500_000, 1 << 18
+KNOWN_WORDS, TOKENS = 200_000, 1 << 18
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -37,14 +37,11 @@ class _Rows(dict):
         return row
 
 
-_ROW_OF = _Rows()
-
-
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all words and marks of the texts in a row, and the number of each text's."""
     words = [_TOKEN.findall(text) for text in texts]
     sizes = np.array([len(x) for x in words], np.int64)
-    get = _ROW_OF.__getitem__
+    get = held("rows of words", _Rows).__getitem__
     return np.fromiter((get(w) for row in words for w in row), np.int64, int(sizes.sum())), sizes
 
 
@@ -206,9 +203,9 @@ def fit(
         texts.join(F.broadcast(chosen), "id")
         .select("label", "text")
         .mapInArrow(_featured(sent), "label int, features array<double>")
-        .orderBy("features", "label")  # the same order, and so the same model, however the rows arrive
         .collect()
     )
+    rows.sort(key=lambda row: (row.features, row.label))  # the same model, however the rows arrive
     answers = np.array([row.label for row in rows], float)
     if len(set(answers)) < 2 or len(rows) < 10:
         width = 2 * DIMS + 3

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.columns import renamed
+from siftline.llm.columns import renamed, sent
 from siftline.llm.components import components, merge
 from siftline.session import stored
 
@@ -210,9 +210,9 @@ def one_of_each(
     rows, (id_at, text_at) = renamed(df, id_col, text_col)
     classes = _classes(rows, id_at, text_at, shingle, max_bits)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
-    kept = classes.groupBy("root").agg(first).select("first.id", "first.text_hash")
+    kept = stored(classes.groupBy("root").agg(first).select("first.id", "first.text_hash"), "first-of-each")
     same = F.col(id_at).eqNullSafe(F.col("id")) & (F.xxhash64(text_at) == F.col("text_hash"))
-    chosen = rows.join(kept, same, "left_semi")
+    chosen = rows.join(sent(kept), same, "left_semi")
     repeated = classes.groupBy("id", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
         chosen = chosen.withColumn("_hash", F.xxhash64(text_at)).dropDuplicates([id_at, "_hash"]).drop("_hash")

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftline.llm import licences, pieces, quality, shards, suffixes, token_files, warc
+from siftline.llm import licences, pieces, quality, shards, slices, suffixes, token_files, warc
 from siftline.session import new_path
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -170,6 +170,8 @@ def test_pieces_equal_the_library(spark, odd, nothing):
     for row in pieces.round_trip(texts_frame(spark, texts), PIECES).collect():
         ids = model.encode(texts[row.doc_id] or "")
         assert list(row.ids) == ids and row.decoded == model.decode(ids)
+    apart = pieces.decode_ids(pieces.encode_texts(texts_frame(spark, texts), PIECES), PIECES)
+    assert apart.exceptAll(pieces.round_trip(texts_frame(spark, texts), PIECES)).count() == 0
     out = pieces.round_trip(odd, PIECES)
     assert out.columns == [*odd.columns, "ids", "decoded"] and out.count() == odd.count()
     assert pieces.digests(nothing, PIECES).count() == 0
@@ -177,11 +179,12 @@ def test_pieces_equal_the_library(spark, odd, nothing):
 
 def test_full_word_table_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "TABLE_WORDS", 3)
-    table = pieces.WordTable(PIECES)
-    monkeypatch.setattr(pieces, "_table", lambda path: table)
+    monkeypatch.setattr(slices, "_HELD", {})
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    for text in ("a b c d e", "c d x y", "a a a"):
-        assert pieces.encode_all([text], PIECES)[0].tolist() == model.encode(text)
+    for text in ("a b c d e", "c d x y", "a a a", "", *map(shuffled_text, range(9))):
+        ids, sizes = pieces.encode_all([text, "b", text], PIECES)
+        alone = model.encode(text)
+        assert ids.tolist() == [*alone, *model.encode("b"), *alone] and sizes[0] == sizes[2] == len(alone)
 
 
 def test_packed_values_come_back():
@@ -195,10 +198,18 @@ def test_packed_values_come_back():
 
 def test_chunks_equal_the_library():
     tokenizer, table = Tokenizer.from_file(WORDS), token_files.ChunkTable(WORDS)
-    assert table.words
+    assert table.words_alone
     texts = [*STRANGE, *map(shuffled_text, range(300))]
-    for text, ids in zip(texts, table.encode_all(texts), strict=True):
-        assert np.frombuffer(ids, table.wide).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    ids, sizes = table.encode_all(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_full_chunk_tables_change_nothing(monkeypatch):
+    monkeypatch.setattr(token_files, "TABLE_WORDS", 3)
+    tokenizer, table = Tokenizer.from_file(WORDS), token_files.ChunkTable(WORDS)
+    for text in map(shuffled_text, range(20)):
+        assert table.encode_all([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, monkeypatch, nothing):
