@@ -18,7 +18,7 @@ from siftline.llm.slices import Table, gathered, held, list_array, text_slices
 #: The whitespace marker of the library.
 MARK = "▁"
 #: Distinct words that the table of one Python worker holds.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 200_000
 #: What a model must leave as it is for marked words to be found before its normalisation.
 PROBE = "aA éé ﬁＡ　 \tb  c ​ \r\nzßİ "
 
