@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from siftline.llm.slices import ready, text_slices
+
 #: Sentences of public licences and licence notices, as their texts have them (fixed values).
 SENTENCES: dict[str, str] = {
     "apache-line": "Licensed under the Apache License, Version 2.0.",
@@ -74,23 +77,117 @@ GAP = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sentence ends at a line end, or at a mark before a blank. What isn't a letter, a digit or one of . + - is blank.
 BREAK, BLANK = r"[\r\n]+|[.!?;:]+[ \t]+", r"[^a-z0-9.+-]+"
+#: What may stand before the words of a line: blanks, and marks of comments, quotes and lists.
+MARKS = r"(?:[ \t]|[#*/;%!>|<'\"]|--+>?|[-+.](?=[ \t]|$)|(?:dnl|rem|REM)(?=[ \t]|$))*"
+#: A sentence doesn't go on in the next line behind one of these.
+END, LINE_END = re.compile(r"[.!?;:][ \t]*$"), re.compile(r"\r\n|\r|\n")
+_BREAKS, _BLANKS, _START, _LOWER = (
+    re.compile(f"({BREAK})"), re.compile(BLANK), re.compile(f"^{MARKS}"), str.maketrans(UPPER, LOWER)
+)
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.translate(sentence, UPPER, LOWER), BLANK, " ")
-    return F.trim(plain, F.lit(" ."))
+def _blanked(text: str) -> str:
+    """In lower case, with marks as blanks."""
+    return _BLANKS.sub(" ", text.translate(_LOWER)).strip(" ")
 
 
 def _plain(sentence: str) -> str:
-    """``normalised`` of a sentence in the driver's memory."""
-    lower = sentence.translate(str.maketrans(UPPER, LOWER))
-    return re.sub(BLANK, " ", lower).strip(" .")
+    """The form in which sentences are compared."""
+    return _blanked(sentence).strip(" .")
+
+
+def _cut(text: str) -> list[tuple[int, str, str, bool]]:
+    """(number, words, words behind the marks of a line's start, goes on) of the pieces that hold words.
+
+    A text is cut by BREAK and all its pieces are numbered. A piece goes on with the sentence of the
+    one before it if just one line end, and no mark that ends a sentence, is between their words.
+    """
+    parts = _BREAKS.split(text)
+    found, at_start, lines, ended = [], True, 0, True
+    for k in range(0, len(parts), 2):
+        part = parts[k]
+        whole = _blanked(part)
+        behind = _blanked(_START.sub("", part)) if at_start else whole
+        if behind.strip("."):
+            found.append((k // 2, whole, behind, lines == 1 and not ended))
+            at_start, lines, ended = False, 0, bool(END.search(part))
+        if k + 1 < len(parts):
+            if parts[k + 1][0] in "\r\n":
+                at_start, lines = True, lines + len(LINE_END.findall(parts[k + 1]))
+            elif not at_start:
+                ended = True
+    return found
+
+
+def _sentences(text: str) -> tuple[str, ...]:
+    """A known sentence as it is looked for."""
+    return (_plain(text),)
+
+
+def _run(pieces: Sequence[tuple[int, str, str, bool]], first: int, known: str) -> int | None:
+    """The last of the pieces from ``first`` on that hold ``known`` together, lines joined by blanks."""
+    _, whole, behind, _ = pieces[first]
+    if whole.strip(" .") == known:
+        return first
+    words, last = behind.lstrip(" ."), first
+    while words.rstrip(" .") != known:
+        last += 1
+        if not known.startswith(words + " ") or last == len(pieces) or not pieces[last][3]:
+            return None
+        words += " " + pieces[last][2]
+    return last
 
 
-def _may_be_known(part: str, known: Iterable[str]) -> Column:
-    """A quick test that every known sentence passes: that it starts with the first word of one."""
-    words = sorted({re.split(r"[ .]", sentence)[0] for sentence in known})
-    return F.col(part).rlike(rf"^[^A-Za-z0-9+-]*(?i:{'|'.join(map(re.escape, words))})")
+def _known_runs(known: Mapping[tuple[str, ...], str]) -> Callable[[str], Iterator[tuple[int, int, int, int, str]]]:
+    """A function that gives (first piece, last, their ranks among the pieces with words, name) of known sentences."""
+    by_first: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for steps, name in known.items():
+        by_first.setdefault(steps[0].split(" ")[0].rstrip("."), []).append((steps, name))
+    # a text without one of these words, as parts of its own words, holds no known sentence
+    longest = sorted({max(" ".join(steps).split(" "), key=len) for steps in known}, key=len)
+    needed = [w for k, w in enumerate(longest) if not any(v in w for v in longest[:k])]
+
+    def run(text: str) -> Iterator[tuple[int, int, int, int, str]]:
+        lower = text.lower()
+        if not any(word in lower for word in needed):
+            return
+        pieces, rank = _cut(text), 0
+        while rank < len(pieces):
+            best, end = None, rank
+            words = {w.lstrip(" .").split(" ")[0].rstrip(".") for w in pieces[rank][1:3]}
+            for steps, name in (x for word in words for x in by_first.get(word, ())):
+                last = rank - 1
+                for step in steps:
+                    last = _run(pieces, last + 1, step) if last + 1 < len(pieces) else None
+                    if last is None:
+                        break
+                if last is not None and (best is None or last > end):
+                    best, end = name, last
+            if best is not None:
+                yield pieces[rank][0], pieces[end][0], rank, end, best
+            rank = end + 1
+
+    return run
+
+
+_HIT = ("text_hash", "at", "last_at", "rank", "last_rank", "name")
+
+
+def _hits(known: Mapping[tuple[str, ...], str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _known_runs(known)
+        for batch, texts in text_slices(batches, "text"):
+            found = [(k, *hit) for k, text in enumerate(texts) for hit in runs(text)]
+            if found:
+                rows, *columns = zip(*found)
+                own = batch.select(["id", "text_hash"]).take(pa.array(rows, pa.int32()))
+                kinds = [pa.int32()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, *(pa.array(c, t) for c, t in zip(columns, kinds))],
+                    ["id", *_HIT],
+                )
+
+    return run
 
 
 def found_licences(
@@ -103,48 +200,49 @@ def found_licences(
 ) -> DataFrame:
     """``(id, licence, rule, first_sentence, last_sentence)`` of every rule that a text matches.
 
-    Sentences are cut at line ends and at . ! ? ; : before a blank, and numbered from 0. They are
-    compared in lower case, with marks other than . + - as blanks. A rule matches where its
-    sentences follow each other among the known sentences of the text, with at most ``gap`` other
-    sentences between two of them. Of rules that match from one sentence on only the longest
-    counts, ties by name; a match inside the stretch of one that began before it doesn't count.
+    Texts are cut at line ends and at . ! ? ; : before a blank, and the pieces are numbered from 0. A
+    known sentence is found as a piece or, where lines are wrapped, as pieces of lines that follow each
+    other without a blank line or a mark that ends a sentence; marks of comments at the starts of lines
+    don't count. Of known sentences that begin with one piece the longest counts, and the next begins
+    behind it. Sentences are compared in lower case, with marks other than . + - as blanks. A rule
+    matches where its sentences follow each other among the known sentences of the text, with at most
+    ``gap`` other pieces that hold words between two of them. Of rules that match from one sentence on
+    only the longest counts, ties by name; a match inside the stretch of one that began before it
+    doesn't count.
 
     Null and empty texts match nothing. Rows that repeat an id and a text are one document; rows
     that share an id only give rows of their own. Null ids stay. Other columns are not read. Both
     tables go to every executor: they are arguments from the driver's memory.
     """
     spark = df.sparkSession
-    plain = {_plain(text): name for name, text in reversed(list(sentences.items())) if _plain(text)}
-    known = F.broadcast(spark.createDataFrame(list(plain.items()), "sentence string, name string"))
+    ready(spark)
+    known = {_sentences(text): name for name, text in reversed(list(sentences.items())) if _plain(text)}
     longest = max((len(steps) for _, steps in rules.values()), default=1)
     wanted = spark.createDataFrame(
         [(name, licence, list(steps), len(steps), steps[0]) for name, (licence, steps) in rules.items()],
         T.StructType.fromDDL("rule string, licence string, steps array<string>, size int, name string"),
     )
-    parts = df.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("text_hash"),
-        F.posexplode(F.split(F.col(text_col), BREAK, -1)).alias("at", "part"),
+    texts = df.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
     )
-    parts = parts.where(_may_be_known("part", plain))
-    hits = parts.withColumn("sentence", normalised(F.col("part"))).join(known, "sentence")
-    hits = hits.select("id", "text_hash", "at", "name").distinct()
+    kinds = [df.schema[id_col].dataType, T.LongType(), *[T.IntegerType()] * 4, T.StringType()]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(("id", *_HIT), kinds)])
+    hits = texts.where("text <> ''").mapInArrow(_hits(known), schema).distinct()
     text = Window.partitionBy("id", "text_hash").orderBy("at")
-    ahead = F.array(*(F.struct(F.lead("name", k).over(text), F.lead("at", k).over(text)) for k in range(longest)))
+    fields = ("name", "rank", "last_rank", "last_at")
+    ahead = F.array(*(F.struct(*(F.lead(f, k).over(text).alias(f) for f in fields)) for k in range(longest)))
     ahead = hits.select("id", "text_hash", "at", "name", ahead.alias("ahead"))
-    steps = F.slice("ahead", F.lit(1), F.col("size"))
-    names, places = F.transform(steps, lambda s: s["col1"]), F.transform(steps, lambda s: s["col2"])
+    found = F.slice("ahead", F.lit(1), F.col("size"))
     near = F.forall(
         F.sequence(F.lit(1), F.col("size")),
-        lambda k: (k == 1) | (F.get("places", k - 1) - F.get("places", k - 2) <= gap + 1),
+        lambda k: (k == 1) | (F.get("found", k - 1)["rank"] - F.get("found", k - 2)["last_rank"] <= gap + 1),
     )
     matches = (
         ahead.join(F.broadcast(wanted), "name")
-        .withColumn("names", names)
-        .withColumn("places", places)
-        .where(F.expr("names <=> steps"))
+        .withColumn("found", found)
+        .where(F.expr("found.name <=> steps"))
         .where(near)
-        .withColumn("last", F.get("places", F.col("size") - 1))
+        .withColumn("last", F.get("found", F.col("size") - 1)["last_at"])
     )
     here = Window.partitionBy("id", "text_hash", "at").orderBy(F.desc("size"), "rule")
     before = text.rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +262,11 @@ def _quoted(text: str) -> str:
 
 
 def licence_sql(table: str = "documents") -> str:
-    """DuckDB SQL for ``found_licences`` with the built-in tables, on ids that are not null and not repeated."""
+    """DuckDB SQL for ``found_licences`` with the built-in tables, on ids that are not null and not repeated.
+
+    It finds known sentences only where they are one piece, and counts pieces without words as gaps:
+    its rows are those of texts whose licence sentences aren't wrapped.
+    """
 
     def plain(value: str) -> str:
         lower = f"translate({value}, '{UPPER}', '{LOWER}')"

@@ -122,6 +122,74 @@ def test_licence_rules_in_order_with_gaps_and_cover(spark, nothing):
     assert licences.found_licences(nothing).count() == 0
 
 
+WRAPPED = {
+    "mit-text": """MIT License
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "isc": """Copyright (c) 2020, Somebody
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+}
+
+
+def test_licences_of_wrapped_and_commented_texts(spark):
+    apache = "\n#\n# http://www.apache.org/licenses/LICENSE-2.0\n#\n# ".join(
+        "\n# ".join(licences.SENTENCES[k] for k in part)
+        for part in (("apache-notice", "apache-comply", "apache-copy"), ("apache-as-is", "apache-see"))
+    )
+    texts, expected = [(f"# {apache}\n",)], ["apache-2.0-header"]
+    for rule, text in WRAPPED.items():
+        for mark in ("", "# ", " * ", "// ", "-- ", ";; ", "dnl "):
+            lines = "".join(f"{mark}{line}".rstrip() + "\n" for line in text.splitlines())
+            texts += [(f"/*\n{lines} */\ncode()\n",), (lines.replace("\n", "\r\n"),)]
+            expected += [rule] * 2
+    grant = licences.SENTENCES["isc-grant"]
+    texts += [(grant.replace("for any purpose", "\n\nfor any purpose"),), (grant.replace("fee", "fee.\n"),), ("x " + grant,)]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(texts)], "doc_id long, text string")
+    found = licences.found_licences(df).collect()
+    assert sorted((r.doc_id, r.rule) for r in found) == list(enumerate(expected))
+    places = {r.doc_id: (r.first_sentence, r.last_sentence) for r in found}
+    assert places[2] == (2, 9)
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 
