@@ -120,8 +120,11 @@ def _cut(text: str) -> list[tuple[int, str, str, bool]]:
 
 
 def _sentences(text: str) -> tuple[str, ...]:
-    """A known sentence as it is looked for."""
-    return (_plain(text),)
+    """A known sentence as it is looked for: cut like a text, its lines joined."""
+    found: list[str] = []
+    for _, whole, behind, goes_on in _cut(text):
+        found[-1:] = [f"{found[-1]} {behind}"] if goes_on else [*found[-1:], whole]
+    return tuple(x.strip(" .") for x in found)
 
 
 def _run(pieces: Sequence[tuple[int, str, str, bool]], first: int, known: str) -> int | None:
@@ -203,7 +206,7 @@ def found_licences(
     Texts are cut at line ends and at . ! ? ; : before a blank, and the pieces are numbered from 0. A
     known sentence is found as a piece or, where lines are wrapped, as pieces of lines that follow each
     other without a blank line or a mark that ends a sentence; marks of comments at the starts of lines
-    don't count. Of known sentences that begin with one piece the longest counts, and the next begins
+    don't count. Known sentences are cut in the same way, and their pieces have to follow each other. Of known sentences that begin with one piece the longest counts, and the next begins
     behind it. Sentences are compared in lower case, with marks other than . + - as blanks. A rule
     matches where its sentences follow each other among the known sentences of the text, with at most
     ``gap`` other pieces that hold words between two of them. Of rules that match from one sentence on
@@ -216,7 +219,7 @@ def found_licences(
     """
     spark = df.sparkSession
     ready(spark)
-    known = {_sentences(text): name for name, text in reversed(list(sentences.items())) if _plain(text)}
+    known = {_sentences(text): name for name, text in reversed(list(sentences.items())) if _sentences(text)}
     longest = max((len(steps) for _, steps in rules.values()), default=1)
     wanted = spark.createDataFrame(
         [(name, licence, list(steps), len(steps), steps[0]) for name, (licence, steps) in rules.items()],
@@ -264,8 +267,9 @@ def _quoted(text: str) -> str:
 def licence_sql(table: str = "documents") -> str:
     """DuckDB SQL for ``found_licences`` with the built-in tables, on ids that are not null and not repeated.
 
-    It finds known sentences only where they are one piece, and counts pieces without words as gaps:
-    its rows are those of texts whose licence sentences aren't wrapped.
+    It finds known sentences only where they are one piece, so neither 'gpl-free' nor 'mpl-line', and
+    counts pieces without words as gaps: its rows are those of texts whose licence sentences aren't
+    wrapped, by the rules without these two.
     """
 
     def plain(value: str) -> str:

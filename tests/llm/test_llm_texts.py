@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 import zlib
 
 import numpy as np
@@ -190,6 +191,20 @@ def test_licences_of_wrapped_and_commented_texts(spark):
     assert places[2] == (2, 9)
 
 
+def test_every_licence_rule_matches_its_own_sentences(spark):
+    expected = dict(enumerate(licences.RULES))
+    whole = {k: [licences.SENTENCES[s] for s in licences.RULES[rule][1]] for k, rule in expected.items()}
+    rows = [(k + 100 * kind, joint.join(parts)) for k, parts in whole.items() for kind, joint in enumerate(("\n", "\n\n"))]
+    for k, parts in whole.items():  # a sentence without a mark at its end needs a paragraph's end
+        one = "".join(part + (" " if part[-1] in ".;:" else "\n#\n") for part in parts)
+        rows += [(k + 200, one), (k + 300, re.sub(r"(.{40,60}) ", r"\1\n# ", one))]
+    rows += [(1000, "This program is free software:\nnot so"), (1001, "2.0\n" + licences.SENTENCES["mit-line"] + " 2.0")]
+    found = licences.found_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.rule) for r in found) == sorted(
+        [(k + 100 * kind, rule) for k, rule in expected.items() for kind in range(4)] + [(1001, "mit-line")]
+    )
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 
