@@ -29,7 +29,8 @@ from siftline.workload.registry import (
 )
 
 # The published settings are in plans.training and are what ``train_boosting`` and the other plans use by default.
-# A query fits with fewer and shallower trees: README.md has the measured times of the full counts.
+# gbt_train_score, gbt_history, rf_train_score and rf_history fit with them. The other queries fit with fewer
+# and shallower trees; README.md says which, and has the times that were measured of full fits.
 SMALL_BOOSTING = {**training.BOOSTING_BASELINE, "n_estimators": 8, "max_depth": 3, "min_child_samples": 5}
 SMALL_FOREST = {**training.FOREST_BASELINE, "n_estimators": 20, "max_depth": 6}
 SPLITS = ("train", "val", "test")
@@ -112,12 +113,12 @@ def _history_sql(split, name, stage):
       true AS metrics_agree, true AS timed FROM members GROUP BY split"""
 
 
-def _fit_boosting(tables, settings=SMALL_BOOSTING):
+def _fit_boosting(tables, settings=training.BOOSTING_BASELINE):
     with tables.kept() as (train, _):
         return training.fit(training.boosted_trees(settings, weight="class_weight"), train)
 
 
-def _fit_forest(tables, settings=SMALL_FOREST):
+def _fit_forest(tables, settings=training.FOREST_BASELINE):
     with tables.kept() as (train, _):
         return training.fit(training.forest(settings), train)
 
@@ -394,7 +395,7 @@ def training_job_document(spark, sf_dir):
 )
 def feature_importance(spark, sf_dir):
     tables = text_tables(spark, sf_dir)
-    rows = importance.gain_importance(spark, _fit_forest(tables).model, tables.state.features).collect()
+    rows = importance.gain_importance(spark, _fit_forest(tables, SMALL_FOREST).model, tables.state.features).collect()
     values = [r["importance"] for r in rows]
     one, ordered = abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True)
     checked = [(r["feature"], 0 <= r["importance"] <= 1, one, ordered) for r in rows]
@@ -408,7 +409,7 @@ def feature_importance(spark, sf_dir):
 def split_count_importance(spark, sf_dir):
     """Splits by feature; together they are the inner nodes, of which a binary tree has one less than leaves."""
     tables = text_tables(spark, sf_dir)
-    model = _fit_boosting(tables).model
+    model = _fit_boosting(tables, SMALL_BOOSTING).model
     rows = importance.split_importance(spark, model, tables.state.features).collect()
     inner = sum((tree.numNodes - 1) // 2 for tree in model.trees)
     whole = sum(r["importance"] for r in rows) == inner

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from comparison import connection, differences
+from siftline.plans import training
 
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
@@ -46,3 +47,24 @@ def test_scans_read_only_the_needed_columns(spark, sf_dir, plan):
     text = plan(QUERIES["binary_metrics"](spark, sf_dir))
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in text
     assert "PushedFilters: [IsNotNull(l_returnflag)]" in text
+
+
+class _Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["gbt_train_score", "gbt_history", "rf_train_score", "rf_history"])
+def test_single_fits_have_the_published_settings(spark, sf_dir, monkeypatch, name):
+    asked = []
+
+    def fit(estimator, train):
+        asked.append(estimator)
+        raise _Stop
+
+    monkeypatch.setattr(training, "fit", fit)
+    with pytest.raises(_Stop):
+        QUERIES[name](spark, sf_dir)
+    if name.startswith("gbt"):
+        assert (asked[0].getMaxIter(), asked[0].getMaxDepth(), asked[0].getMinInstancesPerNode()) == (100, 6, 20)
+    else:
+        assert (asked[0].getNumTrees(), asked[0].getMaxDepth()) == (200, training.MAX_DEPTH)
