@@ -23,8 +23,8 @@ ANCHOR = 8
 ROWS_AT_ONCE = 60_000
 #: Seeds of a text that are sent on together.
 SEEDS_SENT = 20_000
-#: A group is dealt to several tasks if it has more rows than this, or more than a thousandth of all rows.
-HOT_ROWS = 200_000
+#: A group is dealt to several tasks if it has more rows than this, or more than HOT_ROWS_FEW and HOT_SHARE of all.
+HOT_ROWS, HOT_ROWS_FEW, HOT_SHARE = 200_000, 100, 1 / 2000
 #: Documents with seeds, and their anchors, up to which both are sent to every executor.
 SENT_TEXTS, SENT_ANCHORS = 200_000, 2_000_000
 _NO_ID = (1 << 63) - 1
@@ -198,9 +198,9 @@ def _out(batch, rows, is_open, lo, hi, key) -> pa.RecordBatch:
 def _salted(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
     """``rows`` with ``salt``: groups of very many rows are dealt to several tasks, each of which gets their leader.
 
-    At most max(1000, rows / HOT_ROWS) groups are that large, so their leaders can be sent.
+    At most max(1 / HOT_SHARE, rows / HOT_ROWS) groups are that large, so their leaders can be sent.
     """
-    limit = min(HOT_ROWS, max(1000, total // 1000))
+    limit = min(HOT_ROWS, max(HOT_ROWS_FEW, int(total * HOT_SHARE)))
     hot = keys.where(F.col("n") > limit)
     if not hot.count():
         return rows.withColumn("salt", F.lit(0))

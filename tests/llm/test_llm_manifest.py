@@ -260,7 +260,7 @@ def test_kept_words_equal_slow_ones(spark, odd, prose, window):
 
 def test_hot_groups_and_unsent_tables(spark, prose, monkeypatch):
     """One passage in every document, in different surroundings; groups are dealt and tables are shuffled."""
-    monkeypatch.setattr(seeds, "HOT_ROWS", 20)
+    monkeypatch.setattr(seeds, "HOT_ROWS_FEW", 20)
     for name in ("MOST_SENT", "SENT_TEXTS", "SENT_ANCHORS"):
         monkeypatch.setattr(seeds, name, 0)
     passage = prose(77, 70)
