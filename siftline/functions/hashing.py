@@ -17,7 +17,7 @@ POISSON_ONE_CDF = (
 )
 
 
-def key_hash(seed: int, key: Sequence[str]) -> Column:
+def key_hash(seed: int | Column, key: Sequence[str]) -> Column:
     """32 hexadecimal digits from ``seed:key``, or ``seed:length:key1:length:key2...`` for several parts.
 
     The lengths, in characters, keep ("a:", "b") and ("a", ":b") apart. A NULL part counts as empty.
@@ -25,10 +25,11 @@ def key_hash(seed: int, key: Sequence[str]) -> Column:
     parts = [F.coalesce(col(name).cast("string"), F.lit("")) for name in key]
     if len(parts) > 1:
         parts = [piece for part in parts for piece in (F.length(part).cast("string"), part)]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", text, *parts))
 
 
-def key_fraction(seed: int, key: Sequence[str]) -> Column:
+def key_fraction(seed: int | Column, key: Sequence[str]) -> Column:
     """A number in [0, 1) from the first 32 bits of the hash."""
     digits = F.substring(key_hash(seed, key), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)

@@ -26,6 +26,7 @@ from siftline.plans.training import (
     spark_params,
     validation_f1,
 )
+from siftline.plans.trees import leaf_shares, merged, with_terms
 from siftline.plans.tuning import first_best
 
 
@@ -100,20 +101,28 @@ def bag_count(key: Sequence[str], bag: int, seed: int) -> Column:
     return poisson_count(key_fraction(seed * 1000 + bag, key))
 
 
+def bag_counts(key: Sequence[str], bags: int, seed: int) -> Column:
+    """``bag_count`` of all bags as one array of bytes' size; a hash a bag, in one expression however many bags."""
+    seeds = F.sequence(F.lit(seed * 1000), F.lit(seed * 1000 + bags - 1))
+    return F.transform(seeds, lambda number: poisson_count(key_fraction(number, key)).cast("tinyint"))
+
+
 def fit_bags(
     train: DataFrame,
     key: Sequence[str],
     settings: Mapping[str, object] = FOREST_BASELINE,
-    bags: int = 25,
+    bags: int | None = None,
     seed: int = 42,
     label: str = "label",
-    threads: int = 4,
-) -> list[Model]:
-    """One tree per bag with the settings of a forest, rows weighted by their count.
+    threads: int = 8,
+) -> Model:
+    """A forest of one tree per bag with the settings of a forest, rows weighted by their count in the bag.
 
-    The number of trees is that of the bags. The subset of features is the forest's: Spark's own
-    choice for a single tree would be all of them.
+    The trees are fitted one by one in a pool, as Spark's own bags can't be told afterwards, and merged
+    into one forest. There are as many as the settings' ``n_estimators``, unless ``bags`` says otherwise.
+    The subset of features is the forest's: Spark's own choice for a single tree would be all of them.
     """
+    bags = int(settings.get("n_estimators", FOREST_BASELINE["n_estimators"])) if bags is None else bags
     params = spark_params({k: v for k, v in settings.items() if k != "n_estimators"}, FOREST_PARAMS)
 
     def one(bag: int) -> Model:
@@ -124,20 +133,26 @@ def fit_bags(
         return fit(tree, rows.where(F.col("bag_weight") > 0)).model
 
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(bags)))
+        trees = list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(bags)))
+    return merged(train.sparkSession, trees)
+
 
+def out_of_bag_scored(model: Model, train: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """Mean class-1 share over the trees that did not see the row; NULL if every tree did.
 
-def out_of_bag_scored(models: Sequence[Model], train: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Mean probability over the trees that did not see the row; NULL if every tree did."""
-    df, names = with_member_scores(models, train)
-    unseen = [bag_count(key, bag, seed) == 0 for bag in range(len(models))]
-    votes = sum((u.cast("int") for u in unseen), F.lit(0))
-    total = sum((F.when(u, F.col(n)).otherwise(0.0) for u, n in zip(unseen, names)), F.lit(0.0))
-    mean = F.try_divide(total, votes)
+    The forest is applied once: its leaves give all votes, the packed counts say which of them are unseen.
+    """
+    spark = train.sparkSession
+    counted = with_terms(model, train, leaf_shares(spark, model), ["_votes"])
+    counted = counted.withColumn("_counts", bag_counts(key, model.getNumTrees, seed))
+    # A vote of a tree that has seen the row becomes NULL and is left out.
+    unseen = F.filter(F.zip_with("_votes", "_counts", lambda v, n: F.when(n == 0, v)), lambda v: v.isNotNull())
+    total = F.aggregate("_unseen", F.lit(0.0), lambda a, b: a + b)
     return (
-        df.withColumns({"oob_votes": votes, "oob_score": mean})
+        counted.withColumn("_unseen", unseen)
+        .withColumns({"oob_votes": F.size("_unseen"), "oob_score": F.try_divide(total, F.size("_unseen"))})
         .withColumn("oob_prediction", F.when(F.col("oob_score").isNotNull(), (F.col("oob_score") > 0.5).cast("int")))
-        .drop(*names)
+        .drop("_votes", "_counts", "_unseen")
     )
 
 

@@ -13,7 +13,7 @@ from siftline.operators import evaluate
 from siftline.operators.labeling import class_ratio, with_class_weight
 from siftline.operators.split import stratified_folds
 from siftline.operators.tables import stacked
-from siftline.plans import training, tuning
+from siftline.plans import staged, training
 from siftline.plans.prepare import Preparation
 from siftline.plans.scoring import Scorer
 from siftline.sources.documents import HISTORY_METRICS, write_training_document
@@ -47,11 +47,12 @@ def train_boosting(
     patience: int = 20,
     metrics: Sequence[str] = ("logloss", "auc"),
     seed: int = 42,
-    parallelism: int = 2,
+    threads: int = 4,
 ) -> Trained:
     """Run the job on a prepared table (a stored one, as it is read often) and write its results below ``path``.
 
-    The search scores every combination by cross-validated F1 over training and validation rows;
+    The search scores every combination by cross-validated F1 over training and validation rows, with one
+    fit for those that differ in rounds only; a job that is run again at ``path`` goes on with its scores;
     the best is fitted on the training rows and stopped early on validation. It is chosen where
     its validation F1 is higher than the baseline's. Test rows are used for nothing but metrics.
     """
@@ -66,11 +67,11 @@ def train_boosting(
     with training.Kept(parts["train"], parts["val"]) as (train, val):
         first = training.fit(training.boosted_trees(baseline, seed, "class_weight"), train)
         both = stratified_folds(stacked(train, val), "label", key, folds, seed)
-        estimator = training.boosted_trees({}, seed, "class_weight")
         with training.Kept(both) as (folded,):
-            search = tuning.cross_validated(
-                estimator, combinations, training.BOOSTING_PARAMS, folded, folds, parallelism=parallelism
-            )
+            search = staged.staged_search(
+                staged.boosting("class_weight"), combinations, folded, folds, seed=seed, threads=threads,
+                path=f"{path}/search",
+            )
         best = training.boosted_trees(search.best, seed, "class_weight")
         second = training.fit_early_stopped(best, train, val, patience, metrics)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftline.functions.naming import col
 from siftline.operators.evaluate import binary_metrics
 from siftline.operators.ranking import roc_auc
-from siftline.plans.trees import first_trees, staged_scores
+from siftline.plans.trees import first_trees, pruned, staged_scores
 from siftline.session import ensure_checkpointing
 
 # Baseline settings and search spaces, named as the tree libraries of the Python
@@ -34,7 +34,9 @@ BOOSTING_BASELINE = {
     "subsample": 0.8,
     "colsample_bytree": 0.8,
 }
-FOREST_BASELINE = {"n_estimators": 200, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"}
+FOREST_BASELINE = {
+    "n_estimators": 200, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1, "max_features": "sqrt",
+}
 BOOSTING_GRID = {
     "n_estimators": [100, 200],
     "learning_rate": [0.05, 0.1],
@@ -46,6 +48,7 @@ BOOSTING_GRID = {
 FOREST_GRID = {
     "n_estimators": [100, 200, 300],
     "max_depth": [None, 10, 20, 30],
+    "min_samples_split": [2, 5, 10],
     "min_samples_leaf": [1, 2, 4],
     "max_features": ["sqrt", "log2", None],
 }
@@ -76,6 +79,10 @@ ENSEMBLE_DEFAULTS = {
 }
 
 MAX_DEPTH = 30
+#: Memory for the statistics of the nodes that a pass over the rows splits; a level is one pass where they fit.
+GROUP_MB = 1024
+#: Training rows for each task, at least: small tables are fitted by few tasks, as a fit is hundreds of short jobs.
+ROWS_PER_TASK = 20_000
 
 
 def _depth(value: int | None) -> int:
@@ -134,7 +141,23 @@ def boosted_trees(settings: Mapping[str, object] = BOOSTING_BASELINE, seed: int
 
 
 def forest(settings: Mapping[str, object] = FOREST_BASELINE, seed: int = 42, label: str = "label") -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=label, seed=seed, **spark_params(settings, FOREST_PARAMS))
+    """A forest whose rows remember their node, so that growing trees aren't sent out again for every group of nodes."""
+    params = spark_params(settings, FOREST_PARAMS)
+    return RandomForestClassifier(labelCol=label, seed=seed, cacheNodeIds=True, maxMemoryInMB=GROUP_MB, **params)
+
+
+def fit_forest(
+    settings: Mapping[str, object], train: DataFrame, seed: int = 42, label: str = "label"
+) -> Fitted:
+    """A fitted forest; with ``min_samples_split`` no node of fewer rows is split."""
+    settings, least = dict(settings), int(settings.get("min_samples_split", 2))
+    settings.pop("min_samples_split", None)
+    fitted = fit(forest(settings, seed, label), train)
+    if least <= 2:
+        return fitted
+    start = time.perf_counter()
+    model = pruned(train.sparkSession, fitted.model, least)
+    return Fitted(model, fitted.seconds + time.perf_counter() - start)
 
 
 def network(
@@ -199,11 +222,17 @@ class Fitted:
     notes: dict = field(default_factory=dict)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A stored table's rows in no more partitions than their number asks for."""
+    parts = max(1, -(-df.count() // ROWS_PER_TASK))
+    return df.coalesce(parts)
+
+
 class Kept:
     """Hold the rows of a training table on the executors while it is used repeatedly."""
 
     def __init__(self, *tables: DataFrame):
-        self.tables = tables
+        self.tables = tuple(gathered(table) for table in tables)
 
     def __enter__(self) -> tuple[DataFrame, ...]:
         return tuple(t.persist(StorageLevel.MEMORY_AND_DISK) for t in self.tables)
@@ -267,19 +296,68 @@ def fit_early_stopped(
     patience: int = 20,
     metrics: Sequence[str] = ("logloss",),
 ) -> Fitted:
-    """Fit, look up the best round on validation, and keep the trees up to it.
+    """Fit until ``patience`` rounds pass without a gain on validation, and keep the trees up to the best round.
+
+    The fit grows: twice the patience first, then twice as many rounds as before, until the rule
+    has stopped or ``maxIter`` is reached. The first rounds of a longer fit are those of a shorter
+    one, so the kept trees are the ones that a fit of all rounds would keep, while no fit goes
+    beyond twice the round of the stop. With several metrics the one that stops first decides.
+    """
+    spark, most = train.sparkSession, estimator.getMaxIter()
+    rounds, seconds, tried = min(most, 2 * patience), 0.0, []
+    while True:
+        full = fit(estimator.copy({estimator.maxIter: rounds}), train)
+        seconds += full.seconds
+        tried.append(rounds)
+        losses = validation_losses(full.model, val, metrics, estimator.getLabelCol())
+        found = len(next(iter(losses.values())))  # fewer than asked for where a round had nothing left to split
+        stopped = any(_stop(values, patience)[1] < found for values in losses.values())
+        if stopped or rounds == most or found < rounds:
+            break
+        rounds = min(most, 2 * rounds)
+    keep = rounds_by_metrics(losses, patience) if found else 0
+    notes = {"rounds": keep, "losses": next(iter(losses.values())), "all_losses": losses, "tried": tried}
+    if keep in (0, found):
+        return Fitted(full.model, seconds, notes)
+    return Fitted(first_trees(spark, full.model, keep), seconds, notes)
+
+
+def validation_value(model: Model, val: DataFrame, metric: str, label: str = "label") -> float:
+    """Accuracy or AUC on validation rows; larger is better, and an undefined AUC counts as 0.5."""
+    rows = scored(model, val)
+    if metric == "accuracy":
+        return binary_metrics(rows, label, "prediction").first()["accuracy"]
+    if metric == "auc":
+        found = roc_auc(rows, label, "score").first()["roc_auc"]
+        return 0.5 if found is None else found
+    raise ValueError(f"a network stops on accuracy or auc, not {metric!r}")
+
+
+def fit_network_early_stopped(
+    estimator: MultilayerPerceptronClassifier,
+    train: DataFrame,
+    val: DataFrame,
+    patience: int = 15,
+    steps: int = 5,
+    metric: str = "auc",
+) -> Fitted:
+    """Fit ``steps`` at a time, each time from the weights reached, until ``patience`` steps pass without a gain.
 
-    With several metrics the one that stops first decides. The trees behind the best round are
-    cut off the fitted model; nothing is fitted twice.
+    The network with the best value on validation is kept, the first one on a tie. ``maxIter`` bounds all
+    steps together. A restart forgets the solver's curvature, so a fit in pieces isn't the fit in one go.
     """
-    full = fit(estimator, train)
-    losses = validation_losses(full.model, val, metrics, estimator.getLabelCol())
-    rounds = len(next(iter(losses.values())))
-    keep = rounds_by_metrics(losses, patience) if rounds else 0
-    notes = {"rounds": keep, "losses": next(iter(losses.values())), "all_losses": losses}
-    if keep in (0, rounds):
-        return Fitted(full.model, full.seconds, notes)
-    return Fitted(first_trees(train.sparkSession, full.model, keep), full.seconds, notes)
+    most, done, seconds, weights, best, values = estimator.getMaxIter(), 0, 0.0, None, None, []
+    while done < most:
+        now = min(steps, most - done)
+        settings = {estimator.maxIter: now} | ({} if weights is None else {estimator.initialWeights: weights})
+        fitted = fit(estimator.copy(settings), train)
+        done, seconds, weights = done + now, seconds + fitted.seconds, fitted.model.weights
+        values.append(validation_value(fitted.model, val, metric, estimator.getLabelCol()))
+        if best is None or values[-1] > best[0]:
+            best = (values[-1], done, fitted.model)
+        elif done - best[1] >= patience:
+            break
+    return Fitted(best[2], seconds, {"metric": metric, "values": values, "steps": best[1], "tried": done})
 
 
 def history(model_name: str, stage: str, fitted: Fitted, table: DataFrame, label: str = "label", split: str = "split") -> DataFrame:

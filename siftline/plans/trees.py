@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import discard, new_path
+from siftline.session import discard, new_path, ship_package
 
 
 @contextmanager
@@ -25,43 +29,220 @@ def saved(spark: SparkSession, model: Model) -> Iterator[str]:
     discard(spark, path)
 
 
-def first_trees(spark: SparkSession, model: GBTClassificationModel, keep: int) -> GBTClassificationModel:
-    """The boosted model of the first ``keep`` rounds: what a fit of so many rounds gives, without a second fit."""
-    with saved(spark, model) as path, saved(spark, model) as short:
-        for part, tree in (("data", "treeID"), ("treesMetadata", "_1")):
-            rows = spark.read.parquet(f"{path}/{part}").where(F.col(tree) < keep)
-            rows.write.mode("overwrite").parquet(f"{short}/{part}")
+#: Columns of a saved ensemble's node and tree tables, the only layout that is read and written here (fixed value).
+_NODES = (
+    "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>,"
+    " rawCount: bigint, gain: double, leftChild: int, rightChild: int, split: struct<featureIndex: int,"
+    " leftCategoriesOrThreshold: array<double>, numCategories: int>>"
+)
+_TREES = "_1 int, _2 string, _3 double"
+_TREE_OF = {"data": "treeID", "treesMetadata": "_1"}
+
+
+def _read(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """A table of a saved ensemble; another layout than the known one is an error, not a wrong model."""
+    table = spark.read.parquet(f"{path}/{part}")
+    known = spark.createDataFrame([], _NODES if part == "data" else _TREES).schema
+    if table.schema.simpleString() != known.simpleString():
+        raise ValueError(f"unknown layout of saved trees: {table.schema.simpleString()}")
+    return table
+
+
+def _written(spark: SparkSession, model: Model, count: int, nodes: DataFrame, trees: DataFrame, counted: str) -> Model:
+    """A model like ``model`` with other nodes and trees; ``counted`` is the setting that holds their number."""
+    with saved(spark, model) as path:
         about = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-        about["numTrees"] = keep
-        about["paramMap"]["maxIter"] = keep
+        about["numTrees"] = count
+        about["paramMap"][counted] = count
+        nodes.write.mode("overwrite").parquet(f"{path}/data")
+        trees.write.mode("overwrite").parquet(f"{path}/treesMetadata")
         line = spark.createDataFrame([(json.dumps(about),)], "value string")
-        line.coalesce(1).write.mode("overwrite").text(f"{short}/metadata")
-        return GBTClassificationModel.load(short)
+        line.coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        return type(model).load(path)
+
+
+def first_trees(spark: SparkSession, model: Model, keep: int) -> Model:
+    """The model of the first ``keep`` trees: of boosted ones what a fit of so many rounds gives, without a second fit."""
+    counted = "maxIter" if isinstance(model, GBTClassificationModel) else "numTrees"
+    with saved(spark, model) as path:
+        nodes = _read(spark, path, "data").where(F.col("treeID") < keep)
+        trees = _read(spark, path, "treesMetadata").where(F.col("_1") < keep)
+        return _written(spark, model, keep, nodes, trees, counted)
+
+
+def merged(
+    spark: SparkSession, models: Sequence[RandomForestClassificationModel], threads: int = 8
+) -> RandomForestClassificationModel:
+    """One forest of all trees of ``models``, in their order. Their tables are read together, however many there are."""
+    folder = new_path(spark, "models")
+
+    def save(k: int) -> None:
+        models[k].save(f"{folder}/{k}")
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(inheritable_thread_target(spark)(save), range(len(models))))
+    firsts = F.lit(np.cumsum([0, *(model.getNumTrees for model in models)])[:-1].astype(np.int32))
+    owner = F.regexp_extract("_metadata.file_path", r"/([0-9]+)/[^/]+/[^/]+$", 1).cast("int")
+    nodes, trees = (
+        table.withColumn(tree, F.col(tree) + F.get(firsts, owner)).select(*table.columns)
+        for table, tree in ((_read(spark, f"{folder}/*", part), tree) for part, tree in _TREE_OF.items())
+    )
+    out = _written(spark, models[0], sum(m.getNumTrees for m in models), nodes, trees, "numTrees")
+    discard(spark, folder)
+    return out
+
+
+def _stops(left: np.ndarray, right: np.ndarray, rows: np.ndarray, least: int, depth: int) -> np.ndarray:
+    """For each node of a tree, in the order of their ids, where a row that passes it stops, or -1 if not yet there.
+
+    A row stops at the first node that is a leaf, has fewer than ``least`` rows or lies at ``depth``.
+    A node's id is smaller than its children's.
+    """
+    stop, level = np.full(len(left), -1), np.zeros(len(left), int)
+    for node in range(len(left)):
+        if stop[node] < 0 and (left[node] < 0 or rows[node] < least or level[node] >= depth):
+            stop[node] = node
+        for child in (left[node], right[node]):
+            if child >= 0:
+                stop[child], level[child] = stop[node], level[node] + 1
+    return stop
+
+
+def _prune(least: int, depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(tree: pd.DataFrame) -> pd.DataFrame:
+        tree = tree.sort_values("id").reset_index(drop=True)
+        stop = _stops(*(tree[name].to_numpy() for name in ("leftChild", "rightChild", "rawCount")), least, depth)
+        kept = np.nonzero((stop < 0) | (stop == np.arange(len(tree))))[0]
+        place = np.full(len(tree), -1)
+        place[kept] = np.arange(len(kept))
+        leaf = stop[kept] >= 0
+        out = tree.iloc[kept].copy()
+        out["id"] = np.arange(len(kept))
+        for child in ("leftChild", "rightChild"):
+            out[child] = np.where(leaf, -1, place[np.maximum(out[child].to_numpy(), 0)])
+        out["gain"] = np.where(leaf, -1.0, out["gain"])
+        out["featureIndex"] = np.where(leaf, -1, out["featureIndex"])
+        out["leftCategoriesOrThreshold"] = [
+            [] if gone else values for gone, values in zip(leaf, out["leftCategoriesOrThreshold"])
+        ]
+        out["numCategories"] = np.where(leaf, -1, out["numCategories"])
+        return out
+
+    return run
+
+
+def pruned(
+    spark: SparkSession, model: RandomForestClassificationModel, least: int, depth: int = 30
+) -> RandomForestClassificationModel:
+    """The forest without splits of nodes that have fewer than ``least`` rows of their bag, or that lie at ``depth``.
+
+    A node has no more rows than its parent, so what a limit forbids is all below the first such
+    node. Each tree is pruned by itself.
+    """
+    ship_package(spark)
+    with saved(spark, model) as path:
+        nodes = _read(spark, path, "data").select("treeID", "nodeData.*").select("*", "split.*").drop("split")
+        kept = nodes.groupBy("treeID").applyInPandas(_prune(least, depth), nodes.schema)
+        split = F.struct("featureIndex", "leftCategoriesOrThreshold", "numCategories").alias("split")
+        names = [name for name in nodes.columns if name not in ("treeID", "featureIndex", "leftCategoriesOrThreshold", "numCategories")]
+        kept = kept.select("treeID", F.struct(*names, split).alias("nodeData"))
+        return _written(spark, model, model.getNumTrees, kept, _read(spark, path, "treesMetadata"), "numTrees")
+
+
+def fewest_split_rows(spark: SparkSession, model: Model) -> int | None:
+    """The smallest number of rows of a node that is split; none where no tree has a split."""
+    with saved(spark, model) as path:
+        inner = _read(spark, path, "data").where("nodeData.leftChild >= 0")
+        return inner.agg(F.min("nodeData.rawCount")).first()[0]
+
+
+def _leaf_order(spark: SparkSession, model: Model) -> pd.DataFrame:
+    """The nodes of a model, by tree and id; leaves in this order are those that ``leafCol`` counts."""
+    with saved(spark, model) as path:
+        columns = ["treeID", *(f"nodeData.{n}" for n in ("id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild"))]
+        nodes = _read(spark, path, "data").select(*columns).toPandas()  # the driver holds the model as well
+    return nodes.sort_values(["treeID", "id"]).reset_index(drop=True)
 
 
 def leaf_values(spark: SparkSession, model: GBTClassificationModel) -> list[np.ndarray]:
     """Of each tree the weighted values of its leaves, in the order of ``leafCol``."""
-    with saved(spark, model) as path:
-        nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild")
-        rows = sorted(nodes.where("leftChild < 0").collect())  # the leaves of one model
-    values = [[row["prediction"] for row in rows if row["treeID"] == k] for k in range(model.getNumTrees)]
-    return [np.array(v) * w for v, w in zip(values, model.treeWeights, strict=True)]
+    nodes = _leaf_order(spark, model)
+    leaves = nodes[nodes["leftChild"] < 0]
+    values = [leaves["prediction"].to_numpy()[leaves["treeID"] == k] for k in range(model.getNumTrees)]
+    return [v * w for v, w in zip(values, model.treeWeights, strict=True)]
 
 
-def staged_scores(spark: SparkSession, model: GBTClassificationModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``round`` and ``score``: each row's class-1 probability after every round."""
-    values = leaf_values(spark, model)
-    starts = np.cumsum([0, *map(len, values)])[:-1].tolist()
-    flat = F.lit(np.concatenate(values))  # one literal, however many leaves
+def leaf_shares(
+    spark: SparkSession, model: RandomForestClassificationModel, limits: Sequence[tuple[int, int]] = ((2, 30),)
+) -> list[list[np.ndarray]]:
+    """For each ``(least rows, depth)`` and each tree: class 1's share at the node where the rows of each leaf stop.
+
+    So one fitted forest gives the votes of all the forests that it can be pruned to.
+    """
+    nodes = _leaf_order(spark, model)
+    stats = np.array(nodes["impurityStats"].tolist())
+    share = stats[:, 1] / stats.sum(axis=1)
+    tree, left, right, rows = (nodes[name].to_numpy() for name in ("treeID", "leftChild", "rightChild", "rawCount"))
+    edges = np.searchsorted(tree, np.arange(model.getNumTrees + 1))
+    out = []
+    for least, depth in limits:
+        trees = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            stop = _stops(left[a:b], right[a:b], rows[a:b], least, depth)
+            trees.append(share[a:b][stop[left[a:b] < 0]])
+        out.append(trees)
+    return out
+
+
+def with_terms(model: Model, df: DataFrame, values: Sequence[Sequence[np.ndarray]], names: Sequence[str]) -> DataFrame:
+    """``df`` with one array column for each name: what each tree of the model adds to the row, by its leaf's value.
+
+    The model is applied once, however many sets of leaf values there are.
+    """
     leaves = vector_to_array("_leaves").cast("array<int>")
-    staged = model.copy({model.leafCol: "_leaves"}).transform(df).drop("rawPrediction", "probability", "prediction")
-    staged = staged.withColumn("_leaves", leaves)
-    terms = F.zip_with("_leaves", F.lit(np.array(starts, np.int32)), lambda leaf, start: F.get(flat, leaf + start))
-    margins = F.aggregate(
-        terms,
-        F.array().cast("array<double>"),
-        lambda sums, term: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + term)),
-    )
-    rows = staged.select(*df.columns, F.posexplode(margins).alias("_round", "_margin"))
+    staged = model.copy({model.leafCol: "_leaves"}).transform(df.drop("rawPrediction", "probability", "prediction"))
+    staged = staged.drop("rawPrediction", "probability", "prediction").withColumn("_leaves", leaves)
+    starts = F.lit(np.cumsum([0, *map(len, values[0])])[:-1].astype(np.int32))
+    at = staged.withColumn("_leaves", F.zip_with("_leaves", starts, lambda leaf, start: leaf + start))
+    return at.withColumns(
+        {name: _looked_up(np.concatenate(trees)) for name, trees in zip(names, values, strict=True)}
+    ).drop("_leaves")
+
+
+def _looked_up(values: np.ndarray) -> Column:
+    flat = F.lit(values)  # one literal, however many leaves
+    return F.transform("_leaves", lambda leaf: F.get(flat, leaf))
+
+
+def sums_of_first(terms: str, counts: Sequence[int]) -> list[Column]:
+    """The sums of the first n terms for each n of the rising ``counts``; every term is added once."""
+    sums, upto, total = [], 0, F.lit(0.0)
+    for n in counts:
+        part = F.aggregate(F.slice(terms, upto + 1, n - upto), F.lit(0.0), lambda a, b: a + b)
+        total, upto = total + part, n
+        sums.append(total)
+    return sums
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms = batch.column("_terms")
+        sums = np.cumsum(terms.values.to_numpy().reshape(len(terms), -1), axis=1) if len(terms) else np.zeros((0, 0))
+        offsets = pa.array(np.arange(len(terms) + 1) * (sums.shape[1] if len(terms) else 0), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], batch.schema.names
+        )
+
+
+def staged_scores(spark: SparkSession, model: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    """``df``, but for the vector, with ``round`` and ``score``: each row's class-1 probability after every round.
+
+    A row's running sums are made in one go, so the work grows with the rounds and not with their square.
+    """
+    ship_package(spark)
+    kept = [name for name in df.columns if name != model.getFeaturesCol()]
+    flat = with_terms(model, df, [leaf_values(spark, model)], ["_terms"]).select(*kept, "_terms")
+    margins = flat.mapInArrow(_running, flat.schema)
+    rows = margins.select(*kept, F.posexplode("_terms").alias("_round", "_margin"))
     score = 1 / (1 + F.exp(-2 * F.col("_margin")))
-    return rows.select(*df.columns, (F.col("_round") + 1).alias("round"), score.alias("score"))
+    return rows.select(*kept, (F.col("_round") + 1).alias("round"), score.alias("score"))

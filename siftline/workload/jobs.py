@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions.derived import DerivedFeatures
+from siftline.operators import evaluate
 from siftline.operators.labeling import with_label
-from siftline.plans import ensemble, reports, training
+from siftline.plans import ensemble, importance, reports, training
 from siftline.plans.engineer import engineer
 from siftline.plans.scoring import Scorer
 from siftline.session import new_path
@@ -14,9 +15,9 @@ from siftline.sources.csv import read_csv, read_features_csv, write_csv
 from siftline.sources.prepared import preparation_summary, read_summary, write_summary
 from siftline.streaming.scoring import arriving_files, run_available
 from siftline.workload.evaluation import scored_lines
-from siftline.workload.models import SMALL_BOOSTING, order_tables
+from siftline.workload.models import SMALL_BOOSTING, SPLITS, order_tables, text_tables
 from siftline.workload.preparation import prepared_orders
-from siftline.workload.profiling import DESCRIBE, histogram_sql, matrix_sql, per_feature
+from siftline.workload.profiling import DESCRIBE_EXACTLY, histogram_sql, matrix_sql, per_feature
 from siftline.workload.registry import (
     KEPT,
     LINE_MAP,
@@ -25,6 +26,7 @@ from siftline.workload.registry import (
     ORDER_SPEC,
     PREPARED,
     SPLIT,
+    TEXT_SPLIT,
     lines,
     orders,
     query,
@@ -235,11 +237,28 @@ def stream_score_csv(spark, sf_dir):
 WIDTH = 8
 
 
+#: Digits of the parts of a report. Shares of counts and statistics of small numbers have nine, as a sixth digit
+#: may hang on a tie that the order of additions decides.
+DIGITS = {"metrics": 9, "classes": 9, "roc": 9, "statistics": 9, "history": 9}
+_LARGE, _DIGITS_OF_LARGE = 1000, 6
+
+
+def _cell(value, part):
+    digits = DIGITS.get(part, 6)
+    value = F.col(value).cast("double")
+    return F.when(F.abs(value) >= _LARGE, F.round(value, _DIGITS_OF_LARGE)).otherwise(F.round(value, digits))
+
+
+def _cell_sql(value, part):
+    digits = DIGITS.get(part, 6)
+    return f"CASE WHEN abs({value}) >= {_LARGE} THEN round({value}::DOUBLE, {_DIGITS_OF_LARGE}) ELSE round({value}::DOUBLE, {digits}) END"
+
+
 def _long(report, shape):
     """The rows of all tables of a report: part, name, and up to eight numbers."""
     rows = None
     for part, (name, values) in shape.items():
-        cells = [F.round(F.col(v).cast("double"), 6) for v in values]
+        cells = [_cell(v, part) for v in values]
         cells += [F.lit(None).cast("double")] * (WIDTH - len(cells))
         one = report[part].select(
             F.lit(part).alias("part"),
@@ -253,7 +272,7 @@ def _long(report, shape):
 def _long_sql(shape, sources):
     parts = []
     for part, (name, values) in shape.items():
-        cells = [f"round({v}::DOUBLE, 6) AS v{k}" for k, v in enumerate(values)]
+        cells = [f"{_cell_sql(v, part)} AS v{k}" for k, v in enumerate(values)]
         cells += [f"NULL::DOUBLE AS v{k}" for k in range(len(values), WIDTH)]
         named = "concat_ws('|', " + ", ".join(name) + ")" if name else "''"
         parts.append(f"SELECT '{part}' AS part, {named} AS name, {', '.join(cells)} FROM ({sources[part]}) {part}")
@@ -277,7 +296,7 @@ _EXPLORER = {
               count_if(label = 0) AS negatives, count_if(label = 1) * 100.0 / count(*) AS positive_percent FROM lines""",
             "histograms": f"WITH {LINES} {histogram_sql(_EXPLORED, 50, False)}",
             "correlations": f"WITH {LINES} {matrix_sql(_EXPLORED)}",
-            "statistics": f"WITH {LINES} {per_feature(_EXPLORED, DESCRIBE)}",
+            "statistics": f"WITH {LINES} {per_feature(_EXPLORED, DESCRIBE_EXACTLY)}",
         },
     )
 )
@@ -314,6 +333,55 @@ def performance_report(spark, sf_dir):
     return _long(reports.performance_report(scored_lines(spark, sf_dir), class_names=names), _PERFORMANCE)
 
 
+@query(
+    f"""WITH {TEXT_SPLIT}, t AS (SELECT count(*) AS n, count_if(label = 1) AS p FROM members WHERE split = 'test'),
+    e AS (SELECT count(*) AS n FROM members)
+    SELECT part, rows, true AS valid FROM (
+      SELECT 'metrics' AS part, 5 AS rows UNION ALL SELECT 'confusion', n FROM t UNION ALL SELECT 'classes', p FROM t
+      UNION ALL SELECT 'roc', 1 UNION ALL SELECT 'calibration', n FROM t UNION ALL SELECT 'score_histogram', n FROM t
+      UNION ALL SELECT 'importance', 6 UNION ALL SELECT 'history', n FROM e)"""
+)
+def model_report(spark, sf_dir):
+    """The report of a fitted forest, importances and history included: what its tables must agree on.
+
+    The test rows are in the confusion matrix, the calibration bins and the histogram; the positives among
+    them are the support of class 1; the metrics are those of the history's row of the test split;
+    the curve ends at (1, 1); the importances fall and sum up to one.
+    """
+    tables = text_tables(spark, sf_dir)
+    with tables.kept() as (train, _):
+        fitted = training.fit_forest(training.FOREST_BASELINE, train)
+    report = reports.performance_report(
+        training.scored(fitted.model, tables.test),
+        importance.gain_importance(spark, fitted.model, tables.state.features),
+        training.history("forest", "baseline", fitted, tables.all),
+        class_names=("Poor", "Good"),
+    )
+    long = {r["metric"]: r["score"] for r in report["metrics"].collect()}
+    confusion = report["confusion"].first()
+    classes = {r["class"]: r for r in report["classes"].collect()}
+    curve = report["roc"].agg(F.max("fpr"), F.max("tpr"), F.min("fpr"), F.min("tpr")).first()
+    binned = report["calibration"].agg(F.sum("rows"), F.sum(F.col("rows") * F.col("fraction_positive"))).first()
+    histogram = report["score_histogram"].agg(F.sum("rows"), F.max("bin")).first()
+    weights = [r["importance"] for r in report["importance"].collect()]
+    stages = {r["split"]: r for r in report["history"].collect()}
+    rows = sum(confusion[name] for name in ("tn", "fp", "fn", "tp"))
+    positives = confusion["fn"] + confusion["tp"]
+    same = all(abs(long[name] - stages["test"][name]) < 1e-9 for name in evaluate.METRICS)
+    ends = tuple(curve) == (1, 1, 0, 0) if 0 < positives < rows else True
+    checks = [
+        ("metrics", len(long), same),
+        ("confusion", rows, abs(long["accuracy"] - (confusion["tn"] + confusion["tp"]) / rows) < 1e-9),
+        ("classes", classes["Good"]["support"], abs(classes["Good"]["f1_score"] - long["f1_score"]) < 1e-9),
+        ("roc", 1, ends),
+        ("calibration", binned[0], abs(binned[1] - positives) < 1e-6),
+        ("score_histogram", histogram[0], histogram[1] == 29),
+        ("importance", len(weights), abs(sum(weights) - 1) < 1e-9 and weights == sorted(weights, reverse=True)),
+        ("history", tables.all.count(), set(stages) == set(SPLITS) and all(r["seconds"] > 0 for r in stages.values())),
+    ]
+    return spark.createDataFrame(checks, "part string, rows bigint, valid boolean")
+
+
 @query("SELECT count(*) AS rows, 0::BIGINT AS differing, 0::BIGINT AS other_texts FROM orders")
 def standard_scorer_reloaded(spark, sf_dir):
     """A scorer with standard scaling comes back with that scaling and its class texts."""

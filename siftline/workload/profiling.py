@@ -117,6 +117,11 @@ DESCRIBE = """SELECT '{c}' AS feature, count({c}) AS rows, round(avg({c}), 6) AS
   round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lines"""
 
 
+DESCRIBE_EXACTLY = """SELECT '{c}' AS feature, count({c}) AS rows, avg({c}) AS mean, stddev_samp({c}) AS std,
+  min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75,
+  max({c}) AS max FROM lines"""
+
+
 @query(f"WITH {LINES} {per_feature(LINE_GAP_FEATURES, DESCRIBE)}")
 def describe_features(spark, sf_dir):
     df = profile.describe(lines(spark, sf_dir), LINE_GAP_FEATURES)

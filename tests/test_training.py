@@ -74,7 +74,7 @@ def test_patience_rule(losses, patience, kept):
 
 def test_early_stop_keeps_the_first_trees(tables, monkeypatch):
     monkeypatch.setattr(training, "rounds_by_metrics", lambda losses, patience: 3)
-    short = training.fit_early_stopped(training.boosted_trees(SMALL), tables["train"], tables["val"], 2)
+    short = training.fit_early_stopped(training.boosted_trees(SMALL), tables["train"], tables["val"], 3)
     full = training.fit(training.boosted_trees(SMALL), tables["train"])
     assert len(short.notes["losses"]) == 6 and short.model.getNumTrees == 3
     assert [t.toDebugString.split("\n", 1)[1] for t in short.model.trees] == [
@@ -106,7 +106,7 @@ def test_importances(spark, boosted, tables):
 
 def test_grid_and_random_combinations():
     assert len(tuning.combinations_of(training.BOOSTING_GRID)) == 8
-    assert len(tuning.combinations_of(training.FOREST_GRID)) == 108
+    assert len(tuning.combinations_of(training.FOREST_GRID)) == 324
     space = {"a": list(range(50)), "b": list(range(40)), "c": list(range(30))}
     drawn = tuning.drawn_combinations(space, 100, 7)
     assert len({tuple(c.values()) for c in drawn}) == 100
@@ -159,7 +159,7 @@ def test_seed_ensemble(tables):
 
 def test_out_of_bag(tables):
     bags = ensemble.fit_bags(tables["train"], ["record_id"], {"max_depth": 5, "max_features": "sqrt"}, bags=4)
-    assert {b.getOrDefault("featureSubsetStrategy") for b in bags} == {"sqrt"}
+    assert bags.getNumTrees == 4 and bags.getOrDefault("featureSubsetStrategy") == "sqrt"
     scored = ensemble.out_of_bag_scored(bags, tables["train"], ["record_id"]).persist()
     row = ensemble.out_of_bag_accuracy(scored).first()
     assert row["rows"] == tables["train"].count() and 0.7 < row["oob_accuracy"] <= 1
