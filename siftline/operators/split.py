@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.hashing import key_hash
 from siftline.functions.naming import col
+from siftline.operators.ordered import Cuts
 
 DIGITS = 3
 RANKED_ROWS = 200_000
@@ -203,11 +204,32 @@ def stratified_split(
 
 
 def stratified_folds(
-    df: DataFrame, label: str, key: Sequence[str], folds: int, seed: int = 42, name: str = "fold"
+    df: DataFrame,
+    label: str,
+    key: Sequence[str],
+    folds: int,
+    seed: int = 42,
+    name: str = "fold",
+    shuffle: bool = True,
 ) -> DataFrame:
-    """Fold 0 to folds-1; sizes differ by at most one row, overall and per class."""
+    """Fold 0 to folds-1; sizes differ by at most one row, overall and per class.
+
+    Without ``shuffle`` the rows of a class are dealt in the order of the key, so that a fold holds
+    consecutive ones; else in the order of the key's hash.
+    """
+    if not shuffle:
+        counts = {r["label"]: r["rows"] for r in _class_rows(df, label).collect()}
+        if odd := [c for c in counts if c not in (0, 1)]:
+            raise ValueError(f"{sum(counts[c] for c in odd)} rows have another label than 0 and 1 in {label}")
+        ends = {c: list(accumulate(sizes[:-1])) for c, sizes in fold_sizes(counts, folds).items()}
+        cuts = Cuts(df, label, key, counts)
+        return cuts.assigned(df, label, name, cuts.at(ends))
     order = KeyOrder(df, label, key, seed)
     ends = {
         c: list(accumulate(sizes[:-1])) for c, sizes in fold_sizes(order.counts, folds).items()
     }
     return order.assign(df, name, list(range(folds)), order.cut_values(ends))
+
+
+def _class_rows(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("rows"))

@@ -6,6 +6,7 @@ import csv
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ DIALECT = {"escape": '"'}
 _MARK, _END, _CORRUPT = "\u0002", "_end_of_line", "_corrupt_line"
 
 
-def _headers(spark: SparkSession, path: str, trailing_comments: bool) -> dict[tuple[str, ...], list[str]]:
+def _headers(spark: SparkSession, path: str | list[str], trailing_comments: bool) -> dict[tuple[str, ...], list[str]]:
     """The files below each distinct header line, which is a file's first line that is no comment."""
     lines = spark.read.text(path).select(
         "value",
@@ -41,10 +42,20 @@ def _headers(spark: SparkSession, path: str, trailing_comments: bool) -> dict[tu
     found: dict[tuple[str, ...], list[str]] = {}
     for row in sorted(files, key=lambda r: r["files"][0]):
         names = tuple(name.strip() for name in next(csv.reader([row["header"]])))
-        found[names] = found.get(names, []) + row["files"]
+        found[names] = found.get(names, []) + [unquote(file) for file in row["files"]]  # the column has URIs
     return found
 
 
+def header_groups(
+    spark: SparkSession, path: str | list[str], trailing_comments: bool = False
+) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header; files without a header line are in none."""
+    try:
+        return _headers(spark, path, trailing_comments)
+    except ValueError:
+        return {}
+
+
 def header_names(spark: SparkSession, path: str, trailing_comments: bool = False) -> list[str]:
     """Column names of the first line that is not a comment, of the first file."""
     return list(next(iter(_headers(spark, path, trailing_comments))))
@@ -70,7 +81,7 @@ def _parsed(
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     types: Mapping[str, str] | None = None,
     trailing_comments: bool = False,
     corrupt: str | None = None,
@@ -78,7 +89,8 @@ def read_csv(
     """All columns of the files, those in ``types`` cast, unreadable values as NULL.
 
     Lines that start with ``#`` are skipped. With ``trailing_comments`` the rest of a line after a
-    ``#`` outside double quotes is cut as well. Without ``types`` they are inferred.
+    ``#`` outside double quotes is cut as well. Without ``types`` each column, by its name over all files,
+    gets the narrowest type that all its cells have, see ``inferred_types``.
 
     The first line of each file that is no comment is its header; a data row that equals it stays.
     Files may have their columns in different orders, and columns that others lack. A row with
@@ -93,7 +105,7 @@ def read_csv(
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = list(dict.fromkeys(name for header in groups for name in header))
     if types is None:
-        types = {} if trailing_comments else _inferred(spark, path)
+        types = inferred_types(rows, names)
     message = F.concat(F.lit("more cells than the header has: "), F.col(_CORRUPT))
     fine = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.lit(True))
     checked = rows if corrupt else rows.where(fine)
@@ -101,8 +113,36 @@ def read_csv(
     return checked.select(*columns, *([F.col(_CORRUPT).alias(corrupt)] if corrupt else []))
 
 
-def _inferred(spark: SparkSession, path: str) -> dict[str, str]:
-    return dict(spark.read.options(**DIALECT).csv(path, header=True, comment="#", inferSchema=True).dtypes)
+# The types that a text may have, the narrower ones first, and what such a text looks like.
+_TYPES = {
+    "int": r"^[+-]?\d{1,10}$",
+    "bigint": r"^[+-]?\d{1,19}$",
+    "double": r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?(nan|inf|infinity)$",
+    "boolean": r"(?i)^(true|false)$",
+    "date": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "timestamp": r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$",
+}
+
+
+def inferred_types(rows: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """For each column of texts the first of _TYPES that all its cells can be read as, else string; one pass for all.
+
+    Missing and blank cells have any type; a column without others is a string.
+    """
+    counts = []
+    for i, name in enumerate(names):
+        text = F.trim(col(name))
+        filled = F.when(text != "", text)
+        counts.append(F.count(filled).alias(f"cells:{i}"))
+        for kind, pattern in _TYPES.items():
+            fits = filled.rlike(pattern) & filled.try_cast(kind).isNotNull()
+            counts.append(F.count_if(fits).alias(f"{kind}:{i}"))
+    found = rows.agg(*counts).first()
+    types = {}
+    for i, name in enumerate(names):
+        cells = found[f"cells:{i}"]
+        types[name] = next((kind for kind in _TYPES if cells and found[f"{kind}:{i}"] == cells), "string")
+    return types
 
 
 def _typed(name: str, kind: str | None) -> Column:

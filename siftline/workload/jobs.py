@@ -13,7 +13,7 @@ from siftline.plans.scoring import Scorer
 from siftline.session import new_path
 from siftline.sources.csv import read_csv, read_features_csv, write_csv
 from siftline.sources.prepared import preparation_summary, read_summary, write_summary
-from siftline.streaming.scoring import arriving_files, run_available
+from siftline.streaming.scoring import arriving_files, run_available, score_arriving_csv
 from siftline.workload.evaluation import scored_lines
 from siftline.workload.models import SMALL_BOOSTING, SPLITS, order_tables, text_tables
 from siftline.workload.preparation import prepared_orders
@@ -234,6 +234,93 @@ def stream_score_csv(spark, sf_dir):
     return _valid(spark.read.parquet(out))
 
 
+@query(
+    """SELECT count_if(o_orderkey % 10 < 8) AS rows, count(DISTINCT o_orderkey) FILTER (o_orderkey % 10 < 8) AS keys,
+      0::BIGINT AS differing, count_if(o_orderkey % 10 = 8) AS refused_rows, 1 AS refused_files,
+      'Missing columns: customer' AS reason, true AS totals_agree, true AS next_run_adds_nothing FROM orders"""
+)
+def stream_refuses_bad_files(spark, sf_dir):
+    """Files that arrive in two runs, in two column orders, with lines of too many cells, and one without a feature.
+
+    Good rows are scored once, as in a batch; the others are reported.
+    """
+    scorer = order_scorer(spark, sf_dir)
+    raw = orders(spark, sf_dir)
+    inbox, out, progress = (new_path(spark, n) for n in ("inbox", "scored", "progress"))
+    names, last = ["o_orderkey", *KEPT, "sparse"], F.col("o_orderkey") % 10
+    raw.where(last < 4).select(*names).coalesce(2).write.mode("append").csv(inbox, header=True)
+    lacking = [name for name in names if name != "customer"]
+    raw.where(last == 9).select(*lacking).coalesce(1).write.mode("append").csv(inbox, header=True)
+    score_arriving_csv(spark, inbox, scorer, out, progress, files_per_batch=2)
+    raw.where(last.between(4, 7)).select(*reversed(names)).coalesce(2).write.mode("append").csv(inbox, header=True)
+    text = F.concat_ws(",", *(F.coalesce(F.col(name).cast("string"), F.lit("")) for name in names))
+    ragged = raw.where(last == 8).coalesce(1)
+    lines = _written_lines(spark, ragged, F.concat(text, F.lit(",more")), ",".join(names))
+    spark.read.text(lines, wholetext=False).coalesce(1).write.mode("append").text(inbox)
+    done = score_arriving_csv(spark, inbox, scorer, out, progress, files_per_batch=2)
+    before = done.totals(spark).first()
+    again = score_arriving_csv(spark, inbox, scorer, out, progress).totals(spark).first()
+    expected = scorer.transform(raw).select("o_orderkey", F.col("probability").alias("expected"))
+    scored = done.scored(spark).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "probability", "prediction")
+    found = scored.join(expected, "o_orderkey").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("o_orderkey").alias("keys"),
+        F.count_if(F.abs(F.col("probability") - F.col("expected")) > 1e-9).alias("differing"),
+        F.sum("prediction").alias("positives"),
+    ).first()
+    files = done.refused_files(spark).collect()
+    same = (before["rows"], before["positives"]) == (found["rows"], found["positives"])
+    row = (found["rows"], found["keys"], found["differing"], done.refused_rows(spark).count(), len(files),
+           files[0]["reason"], same, before == again)
+    return spark.createDataFrame(
+        [row],
+        "rows bigint, keys bigint, differing bigint, refused_rows bigint, refused_files int, reason string,"
+        " totals_agree boolean, next_run_adds_nothing boolean",
+    )
+
+
+_TYPED_EVENTS = """SELECT event_id::INT AS event_id, CASE WHEN event_id % 10 <> 9 THEN value END AS value, event_type,
+  user_id % 2 = 0 AS even_user, CAST(ts AS DATE) AS day FROM events"""
+_TYPED_COLUMNS = "event_id int, value double, event_type string, even_user boolean, day date"
+
+
+def _typed_events(spark, sf_dir):
+    value = F.when(F.col("event_id") % 10 != 9, F.col("value"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", value.alias("value"), "event_type", (F.col("user_id") % 2 == 0).alias("even_user"),
+        F.to_date("ts").alias("day"),
+    )
+
+
+def _with_types(df, wanted):
+    """The rows, if the columns have these types: another inferred type is an error here."""
+    found = ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+    if found != wanted:
+        raise ValueError(f"inferred {found}, not {wanted}")
+    return df
+
+
+@query(_TYPED_EVENTS)
+def csv_types_with_trailing_comments(spark, sf_dir):
+    """No types are given; every line ends in a comment, which is no part of the last cell."""
+    df = _typed_events(spark, sf_dir)
+    cells = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in df.columns]
+    line = F.concat(F.concat_ws(",", *cells), F.lit(" # 1, "), F.col("event_type"))
+    path = _written_lines(spark, df, line, ",".join(df.columns) + " # header")
+    return _with_types(read_csv(spark, path, trailing_comments=True), _TYPED_COLUMNS)
+
+
+@query(_TYPED_EVENTS)
+def csv_types_of_different_headers(spark, sf_dir):
+    """No types are given; files have their columns in other orders, and types go by name."""
+    df, path = _typed_events(spark, sf_dir), new_path(spark, "events-csv")
+    for part in (0, 1, 2):
+        order = df.columns[part:] + df.columns[:part]
+        df.where(F.col("event_id") % 3 == part).select(*order).write.mode("append").csv(path, header=True)
+    names = df.columns
+    return _with_types(read_csv(spark, path).select(*names), _TYPED_COLUMNS)
+
+
 WIDTH = 8
 
 

@@ -134,9 +134,10 @@ _FOLD_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship_day"]
 _KEY_TEXT = " || ':' || ".join(f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" for c in _FOLD_KEY)
 
 
-@query(
-    f"""WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
-        md5('7:' || {_KEY_TEXT})) AS place
+def _folds_sql(order):
+    """Folds of lines in an order: classes one behind the other are dealt in turn, each fold a run of its class."""
+    return f"""WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
+        {order}) AS place
         FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS ship_day FROM lines)),
     c AS (SELECT label, count(*) AS rows FROM lines GROUP BY label),
     w AS (SELECT label, coalesce(sum(rows) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -146,13 +147,23 @@ _KEY_TEXT = " || ':' || ".join(f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" fo
     e AS (SELECT label, fold, sum(size) OVER (PARTITION BY label ORDER BY fold) AS stop, size FROM f)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ship_day, k.label, e.fold::INT AS fold
     FROM k JOIN e ON k.label = e.label AND k.place <= e.stop AND k.place > e.stop - e.size"""
-)
+
+
+@query(_folds_sql(f"md5('7:' || {_KEY_TEXT})"))
 def fold_assignment(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.date_format("l_shipdate", "yyyy-MM-dd"))
     df = with_label(df, "l_returnflag", {"N": 0, "A": 1, "R": 1})
     return stratified_folds(df, "label", _FOLD_KEY, 5, seed=7).select(*_FOLD_KEY, "label", "fold")
 
 
+@query(_folds_sql(", ".join(_FOLD_KEY)))
+def fold_assignment_in_order(spark, sf_dir):
+    """Unshuffled folds: consecutive lines of each class, in the order of their key."""
+    df = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    df = with_label(df, "l_returnflag", {"N": 0, "A": 1, "R": 1})
+    return stratified_folds(df, "label", _FOLD_KEY, 5, shuffle=False).select(*_FOLD_KEY, "label", "fold")
+
+
 _LINE_DERIVED = derived.DerivedFeatures(
     ratios={"price_per_quantity": ("l_extendedprice", "l_quantity"), "tax_per_discount": ("l_tax", "l_discount")},
     products={"discounted": ("l_extendedprice", "l_discount"), "taxed": ("l_extendedprice", "l_tax")},
