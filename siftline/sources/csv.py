@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,9 @@ from siftline.operators.tables import require_columns
 
 #: A line up to the first ``#`` outside double quotes.
 _BEFORE_COMMENT = r'^((?:[^"#]++|"(?:[^"]++|"")*+")*+)#.*$'
+_COMMENT = re.compile(_BEFORE_COMMENT)
+#: Bytes of a file that are read for its header at first, and files that are read together.
+HEAD_BYTES, HEADS_AT_ONCE = 16_384, 16
 #: Splits no line and quotes nothing, so that the reader gives whole lines.
 _WHOLE_LINES = {"sep": "\u0001", "quote": "", "comment": "#", "header": True}
 #: A quote in a quoted cell is written twice.
@@ -25,24 +31,46 @@ DIALECT = {"escape": '"'}
 _MARK, _END, _CORRUPT = "\u0002", "_end_of_line", "_corrupt_line"
 
 
-def _headers(spark: SparkSession, path: str | list[str], trailing_comments: bool) -> dict[tuple[str, ...], list[str]]:
-    """The files below each distinct header line, which is a file's first line that is no comment."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
-    )
-    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    firsts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    if trailing_comments:
-        firsts = firsts.withColumn("header", F.rtrim(F.regexp_replace("header", _BEFORE_COMMENT, "$1")))
-    files = firsts.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
-    if not files:
-        raise ValueError(f"no header line in {path}")
+def _head_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is neither blank nor a comment, from as much of its head as that takes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    size = HEAD_BYTES
+    while True:
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            head = bytes((codec.createInputStream(stream) if codec else stream).readNBytes(size))
+        finally:
+            stream.close()
+        ended = len(head) < size
+        lines = re.split(r"\r\n|\n|\r", head.decode("utf-8", "replace"))
+        for line in lines if ended else lines[:-1]:
+            if not line.startswith("#") and line.strip(" "):
+                return line
+        if ended:
+            return None
+        size *= 2
+
+
+def _headers(
+    spark: SparkSession, path: str | list[str], trailing_comments: bool
+) -> dict[tuple[str, ...], list[str]]:
+    """The files below each distinct header line, which is a file's first line that is no comment.
+
+    Only the heads of files are read, some at a time; Spark's list of the files is on the driver anyway.
+    """
+    files = sorted(unquote(file) for file in spark.read.text(path).inputFiles())  # the list has URIs
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(lambda file: _head_line(spark, file)), files))
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(files, key=lambda r: r["files"][0]):
-        names = tuple(name.strip() for name in next(csv.reader([row["header"]])))
-        found[names] = found.get(names, []) + [unquote(file) for file in row["files"]]  # the column has URIs
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            if trailing_comments:
+                line = _COMMENT.sub(r"\1", line).rstrip(" ")
+            found.setdefault(tuple(name.strip() for name in next(csv.reader([line]))), []).append(file)
+    if not found:
+        raise ValueError(f"no header line in {path}")
     return found
 
 

@@ -1,5 +1,6 @@
 """Cuts in key order, folds that aren't shuffled, inferred types, arriving files that can't be read."""
 
+import gzip
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from siftline.operators.split import fold_sizes, stratified_folds
 from siftline.plans import training
 from siftline.plans.prepare import prepare
 from siftline.plans.scoring import Scorer
+from siftline.sources import csv as csv_source
 from siftline.sources.csv import inferred_types, read_csv
 from siftline.spec import TableSpec
 from siftline.streaming import scoring
@@ -73,6 +75,23 @@ def test_types_go_by_name_over_all_files(spark, tmp_path):
     assert rows == {1: (2.5, True, None), 2: (None, False, None), 3: (None, True, "text")}
 
 
+def test_headers_are_read_from_heads_alone(spark, tmp_path, monkeypatch):
+    """A header behind more comments than one read holds, in packed files too, and no job over the lines."""
+    monkeypatch.setattr(csv_source, "HEAD_BYTES", 16)
+    comments = "".join(f"# comment {k}\n" for k in range(40))
+    (tmp_path / "a.csv").write_text(comments + '\n"x, y",b # head\n1,2\n')
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as packed:
+        packed.write(comments + "b,c\r\n3,4\r\n")
+    (tmp_path / "c.csv").write_text(comments)
+    (tmp_path / "d.csv").write_text("b,c")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    groups = csv_source.header_groups(spark, str(tmp_path), trailing_comments=True)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    names = {header: [file.rsplit("/", 1)[1] for file in files] for header, files in groups.items()}
+    assert names == {("x, y", "b"): ["a.csv"], ("b", "c"): ["b.csv.gz", "d.csv"]}
+    assert csv_source.header_groups(spark, str(tmp_path / "c.csv")) == {}
+
+
 @pytest.fixture(scope="module")
 def scorer(spark):
     spec = TableSpec(key=("id",), features=("a", "b"), category="kind", label_map={"n": 0, "y": 1})
