@@ -8,7 +8,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.plans.trees import saved
+from siftline.plans.trees import inner_gains, saved
 
 
 def gain_importance(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
@@ -30,3 +30,16 @@ def split_importance(spark: SparkSession, model: Model, features: Sequence[str])
         .select("feature", F.coalesce("splits", F.lit(0)).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
     )
+
+
+def gains_of_nodes(spark: SparkSession, model: Model, features: Sequence[str]) -> dict[str, float]:
+    """The importances of a forest from its nodes: each tree's gains as shares, added over the trees, as shares again."""
+    by_tree: dict[int, dict[int, float]] = {}
+    for r in inner_gains(spark, model):
+        by_tree.setdefault(r["treeID"], {})[r["featureIndex"]] = r["gain"]
+    total = [0.0] * len(features)
+    for gains in by_tree.values():
+        whole = sum(gains.values())
+        for place, gain in gains.items():
+            total[place] += gain / whole if whole else 0.0
+    return {name: value / (sum(total) or 1.0) for name, value in zip(features, total, strict=True)}

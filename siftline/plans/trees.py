@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.session import discard, new_path, ship_package
@@ -156,6 +156,21 @@ def fewest_split_rows(spark: SparkSession, model: Model) -> int | None:
         return inner.agg(F.min("nodeData.rawCount")).first()[0]
 
 
+def root_rows(spark: SparkSession, model: Model) -> int:
+    """The smallest number of rows at the root of a tree."""
+    with saved(spark, model) as path:
+        return _read(spark, path, "data").where("nodeData.id = 0").agg(F.min("nodeData.rawCount")).first()[0]
+
+
+def inner_gains(spark: SparkSession, model: Model) -> list[Row]:
+    """``(treeID, featureIndex, gain)``: the gains of each tree's splits by a feature, times the weight of their rows."""
+    with saved(spark, model) as path:
+        nodes = _read(spark, path, "data").select("treeID", "nodeData.*").where("leftChild >= 0")
+        weight = F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b)
+        gains = nodes.groupBy("treeID", F.col("split.featureIndex").alias("featureIndex"))
+        return gains.agg(F.sum(F.col("gain") * weight).alias("gain")).collect()  # a row for each tree and feature
+
+
 def _leaf_order(spark: SparkSession, model: Model) -> pd.DataFrame:
     """The nodes of a model, by tree and id; leaves in this order are those that ``leafCol`` counts."""
     with saved(spark, model) as path:

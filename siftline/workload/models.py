@@ -20,7 +20,7 @@ from siftline.plans import ensemble, importance, staged, training, tuning
 from siftline.plans.job import train_boosting
 from siftline.plans.prepare import prepare
 from siftline.plans.scoring import Scorer
-from siftline.plans.trees import fewest_split_rows, first_trees
+from siftline.plans.trees import fewest_split_rows, first_trees, root_rows
 from siftline.session import new_path
 from siftline.sources.documents import history_rows, importance_table, read_document
 from siftline.sources.models import load_pipelines
@@ -413,11 +413,12 @@ def tuned_or_baseline(spark, sf_dir):
 
 
 @query(
-    """SELECT part, rows, true AS valid FROM (VALUES ('history', 6), ('importances', 6), ('evaluation_metrics', 1),
-    ('best_params', 1), ('model_parameters', 1)) t(part, rows) WHERE EXISTS (SELECT 1 FROM labels)"""
+    f"""WITH {TEXT_SPLIT} SELECT part, rows, true AS valid FROM (VALUES ('history', 6), ('importances', 6),
+    ('best_params', 1), ('model_parameters', 1)) t(part, rows)
+    UNION ALL SELECT 'evaluation_metrics', count(*), true FROM members WHERE split = 'test'"""
 )
 def training_job_document(spark, sf_dir):
-    """The document that a training job writes has all its fields and reads back as tables."""
+    """The document that a training job writes has all its fields and reads back as tables; it counts the test rows."""
     tables, path, done = _job(spark, sf_dir)
     document = read_document(spark, f"{path}/document")
     history, weights = history_rows("boosting", document), importance_table(document)
@@ -427,7 +428,10 @@ def training_job_document(spark, sf_dir):
     checks = {
         "history": history.agg(F.count("*"), F.count_if(F.col("seconds") > 0) == 6),
         "importances": weights.agg(F.count("*"), F.abs(F.sum("importance") - 1) < 1e-6),
-        "evaluation_metrics": metrics.agg(F.count("*"), F.max(F.abs(F.col("f1_score") - again["f1_score"])) < 1e-9),
+        "evaluation_metrics": metrics.agg(
+            F.sum(F.aggregate(F.flatten("confusion_matrix"), F.lit(0).cast("bigint"), lambda a, n: a + n)),
+            F.max(F.abs(F.col("f1_score") - again["f1_score"])) < 1e-9,
+        ),
         "best_params": document.select("best_params.*").agg(
             F.count("*"), F.max(F.col("max_depth")) == done.document["best_params"]["max_depth"]
         ),
@@ -437,32 +441,49 @@ def training_job_document(spark, sf_dir):
     return spark.createDataFrame(rows, "part string, rows bigint, valid boolean")
 
 
+_TEXT_NAMES = "(VALUES ('n_chars'), ('n_words'), ('digit_share'), ('upper_share'), ('n_lines'), ('word_length')) t(feature)"
+
+
 @query(
-    """SELECT feature, true AS valid, true AS total_is_one, true AS ordered FROM (VALUES ('n_chars'), ('n_words'),
-    ('digit_share'), ('upper_share'), ('n_lines'), ('word_length')) t(feature) WHERE EXISTS (SELECT 1 FROM labels)"""
+    f"""SELECT feature, true AS valid, true AS total_is_one, true AS ordered, true AS gains_agree FROM {_TEXT_NAMES}
+    WHERE EXISTS (SELECT 1 FROM labels)"""
 )
 def feature_importance(spark, sf_dir):
+    """Importances of a forest, and the same from the gains of its nodes: shares by tree, then their mean."""
     tables = text_tables(spark, sf_dir)
-    rows = importance.gain_importance(spark, _fit_forest(tables, SMALL_FOREST).model, tables.state.features).collect()
+    model = _fit_forest(tables, SMALL_FOREST).model
+    rows = importance.gain_importance(spark, model, tables.state.features).collect()
+    again = importance.gains_of_nodes(spark, model, tables.state.features)
     values = [r["importance"] for r in rows]
     one, ordered = abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True)
-    checked = [(r["feature"], 0 <= r["importance"] <= 1, one, ordered) for r in rows]
-    return spark.createDataFrame(checked, "feature string, valid boolean, total_is_one boolean, ordered boolean")
+    checked = [
+        (r["feature"], 0 <= r["importance"] <= 1, one, ordered, abs(again[r["feature"]] - r["importance"]) < 1e-9)
+        for r in rows
+    ]
+    return spark.createDataFrame(
+        checked, "feature string, valid boolean, total_is_one boolean, ordered boolean, gains_agree boolean"
+    )
 
 
 @query(
-    """SELECT feature, true AS valid, true AS total_is_inner_nodes FROM (VALUES ('n_chars'), ('n_words'),
-    ('digit_share'), ('upper_share'), ('n_lines'), ('word_length')) t(feature) WHERE EXISTS (SELECT 1 FROM labels)"""
+    f"""WITH {TEXT_SPLIT} SELECT feature, true AS valid, true AS total_is_inner_nodes, count(*) AS root_rows
+    FROM members, {_TEXT_NAMES} WHERE split = 'train' GROUP BY feature"""
 )
 def split_count_importance(spark, sf_dir):
-    """Splits by feature; together they are the inner nodes, of which a binary tree has one less than leaves."""
+    """Splits by feature; together they are the inner nodes, of which a binary tree has one less than leaves.
+
+    Without subsampling the root of each tree has seen all training rows.
+    """
     tables = text_tables(spark, sf_dir)
-    model = _fit_boosting(tables, SMALL_BOOSTING).model
+    model = _fit_boosting(tables, {**SMALL_BOOSTING, "subsample": 1.0}).model
     rows = importance.split_importance(spark, model, tables.state.features).collect()
     inner = sum((tree.numNodes - 1) // 2 for tree in model.trees)
     whole = sum(r["importance"] for r in rows) == inner
-    checked = [(r["feature"], r["importance"] >= 0, whole) for r in rows]
-    return spark.createDataFrame(checked, "feature string, valid boolean, total_is_inner_nodes boolean")
+    seen = root_rows(spark, model)
+    checked = [(r["feature"], r["importance"] >= 0, whole, seen) for r in rows]
+    return spark.createDataFrame(
+        checked, "feature string, valid boolean, total_is_inner_nodes boolean, root_rows bigint"
+    )
 
 
 _OOB_BAGS = training.FOREST_BASELINE["n_estimators"]
