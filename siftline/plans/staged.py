@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from siftline.plans import training
-from siftline.plans.trees import leaf_shares, leaf_values, sums_of_first, with_terms
+from siftline.plans.trees import leaf_shares, leaf_values, summed
 from siftline.plans.tuning import Search
 from siftline.session import new_path
 
 Settings = Mapping[str, object]
 #: Where a vote of a forest or the margin of boosted trees becomes class 1.
 _CUT = 0.0
+_VOTES = "_votes"
 
 
 @dataclass(frozen=True)
@@ -30,24 +31,21 @@ class Learner:
     """How an ensemble is fitted, and which of its settings one fit can answer for several values of.
 
     ``fit`` takes settings, rows and a seed. ``widest`` gives, of the values of the staged settings that a
-    search asks for, those to fit with. ``votes`` gives, for a fitted model, rows and settings, the rows
-    with one number a setting that is above zero where class 1 is predicted.
+    search asks for, those to fit with. ``votes`` gives, for a fitted model, rows and settings, each row's
+    label and an array with one number a setting, above zero where class 1 is predicted.
     """
 
     name: str
     staged: tuple[str, ...]
     fit: Callable[[Settings, DataFrame, int], training.Fitted]
     widest: Callable[[Sequence[Settings]], dict]
-    votes: Callable[[SparkSession, Model, DataFrame, Sequence[Settings]], tuple[DataFrame, list[Column]]]
+    votes: Callable[[SparkSession, Model, DataFrame, Sequence[Settings], str], DataFrame]
 
 
-def _boosted_votes(spark, model, rows, settings) -> tuple[DataFrame, list[Column]]:
+def _boosted_votes(spark, model, rows, settings, label) -> DataFrame:
     """The margin after each wanted number of rounds; a fit that ended earlier has no more to add."""
-    counts = [min(int(s["n_estimators"]), model.getNumTrees) for s in settings]
-    rising = sorted(set(counts))
-    rows = with_terms(model, rows, [leaf_values(spark, model)], ["_terms"])
-    sums = dict(zip(rising, sums_of_first("_terms", rising), strict=True))
-    return rows, [sums[n] for n in counts]
+    wanted = [(0, min(int(s["n_estimators"]), model.getNumTrees)) for s in settings]
+    return summed(model, rows, [label], [leaf_values(spark, model)], wanted, _VOTES)
 
 
 def _forest_limits(settings: Settings) -> tuple[int, int]:
@@ -55,19 +53,12 @@ def _forest_limits(settings: Settings) -> tuple[int, int]:
     return int(settings.get("min_samples_split", 2)), training.MAX_DEPTH if depth is None else int(depth)
 
 
-def _forest_votes(spark, model, rows, settings) -> tuple[DataFrame, list[Column]]:
+def _forest_votes(spark, model, rows, settings, label) -> DataFrame:
     """Class 1's share less a half, added over the wanted number of trees, each pruned as wanted."""
     limits = sorted({_forest_limits(s) for s in settings})
-    names = [f"_terms_{k}" for k in range(len(limits))]
     shares = [[share - 0.5 for share in trees] for trees in leaf_shares(spark, model, limits)]
-    rows = with_terms(model, rows, shares, names)
-    rising = sorted({min(int(s["n_estimators"]), model.getNumTrees) for s in settings})
-    sums = {
-        (limit, n): total
-        for limit, name in zip(limits, names, strict=True)
-        for n, total in zip(rising, sums_of_first(name, rising), strict=True)
-    }
-    return rows, [sums[_forest_limits(s), min(int(s["n_estimators"]), model.getNumTrees)] for s in settings]
+    wanted = [(limits.index(_forest_limits(s)), min(int(s["n_estimators"]), model.getNumTrees)) for s in settings]
+    return summed(model, rows, [label], shares, wanted, _VOTES)
 
 
 def _widest_forest(settings: Sequence[Settings]) -> dict:
@@ -177,20 +168,21 @@ def staged_search(
     combinations = [dict(c) for c in combinations]
     groups = stages(combinations, learner.staged)
     scores = Scores(spark, path or new_path(spark, "search"))
-    print_ = _fingerprint(table)
+    fingerprint = _fingerprint(table)
     results = [[0.0] * folds for _ in combinations]
     fits = 0
 
     def one(job: tuple[dict, list[int], int]) -> bool:
         common, places, k = job
         wanted = [combinations[place] for place in places]
-        asked = {"learner": learner.name, "settings": wanted, "fold": k, "folds": folds, "seed": seed, "rows": print_}
+        asked = {"learner": learner.name, "settings": wanted, "fold": k, "folds": folds, "seed": seed, "rows": fingerprint}
         key = json.dumps(asked, sort_keys=True)
         found = scores.get(key)
         if not found:
             train, held = table.where(F.col(fold) != k), table.where(F.col(fold) == k)
             fitted = learner.fit({**common, **learner.widest(wanted)}, train, seed)
-            rows, votes = learner.votes(spark, fitted.model, held, wanted)
+            rows = learner.votes(spark, fitted.model, held, wanted, label)
+            votes = [F.col(_VOTES)[i] for i in range(len(wanted))]
             values = rows.agg(*(f1.alias(f"f{i}") for i, f1 in enumerate(f1_of(votes, label)))).first()
             scores.put(key, list(values), fitted.seconds)
             for place, value in zip(places, values, strict=True):

@@ -98,14 +98,14 @@ def _stops(left: np.ndarray, right: np.ndarray, rows: np.ndarray, least: int, de
     A row stops at the first node that is a leaf, has fewer than ``least`` rows or lies at ``depth``.
     A node's id is smaller than its children's.
     """
-    stop, level = np.full(len(left), -1), np.zeros(len(left), int)
-    for node in range(len(left)):
-        if stop[node] < 0 and (left[node] < 0 or rows[node] < least or level[node] >= depth):
+    stop, level = [-1] * len(left), [0] * len(left)
+    for node, (a, b, held) in enumerate(zip(left.tolist(), right.tolist(), rows.tolist(), strict=True)):
+        if stop[node] < 0 and (a < 0 or held < least or level[node] >= depth):
             stop[node] = node
-        for child in (left[node], right[node]):
-            if child >= 0:
-                stop[child], level[child] = stop[node], level[node] + 1
-    return stop
+        if a >= 0:
+            stop[a] = stop[b] = stop[node]
+            level[a] = level[b] = level[node] + 1
+    return np.array(stop)
 
 
 def _prune(least: int, depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -202,7 +202,7 @@ def leaf_shares(
     out = []
     for least, depth in limits:
         trees = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             stop = _stops(left[a:b], right[a:b], rows[a:b], least, depth)
             trees.append(share[a:b][stop[left[a:b] < 0]])
         out.append(trees)
@@ -229,14 +229,41 @@ def _looked_up(values: np.ndarray) -> Column:
     return F.transform("_leaves", lambda leaf: F.get(flat, leaf))
 
 
-def sums_of_first(terms: str, counts: Sequence[int]) -> list[Column]:
-    """The sums of the first n terms for each n of the rising ``counts``; every term is added once."""
-    sums, upto, total = [], 0, F.lit(0.0)
-    for n in counts:
-        part = F.aggregate(F.slice(terms, upto + 1, n - upto), F.lit(0.0), lambda a, b: a + b)
-        total, upto = total + part, n
-        sums.append(total)
-    return sums
+def summed(
+    model: Model,
+    df: DataFrame,
+    keep: Sequence[str],
+    values: Sequence[Sequence[np.ndarray]],
+    wanted: Sequence[tuple[int, int]],
+    name: str,
+) -> DataFrame:
+    """The columns ``keep`` and an array ``name``: for each ``(k, n)`` of ``wanted`` what the first n trees add by ``values[k]``.
+
+    The model is applied once; the sums of a batch of rows are made together, in the task that has the rows.
+    """
+    ship_package(df.sparkSession)
+    starts = np.cumsum([0, *map(len, values[0])])[:-1]
+    flat = [np.concatenate(trees) for trees in values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = len(batch)
+            leaves = batch.column("_leaves").values.to_numpy().reshape(rows, len(starts)).astype(np.int64) + starts
+            out = np.zeros((rows, len(wanted)))
+            for k, own in enumerate(flat):
+                sums = np.cumsum(own[leaves], axis=1)
+                for place, (which, n) in enumerate(wanted):
+                    if which == k:
+                        out[:, place] = sums[:, n - 1]
+            offsets = pa.array(np.arange(rows + 1) * len(wanted), pa.int32())
+            found = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, name])
+
+    leaves = vector_to_array("_leaves").cast("array<int>").alias("_leaves")
+    staged = model.copy({model.leafCol: "_leaves"}).transform(df.select(*keep, model.getFeaturesCol()))
+    rows = staged.select(*keep, leaves)
+    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, `{name}` array<double>")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
