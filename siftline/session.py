@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import suppress
@@ -84,6 +85,7 @@ def drop_stored(df: DataFrame) -> None:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()  # fits of a search run in threads of one driver
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -92,12 +94,13 @@ def ship_package(spark: SparkSession) -> None:
     They import it by name, but only the driver is known to have it on its path.
     """
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline.zip"
-    with zipfile.ZipFile(archive, "w") as packed:
-        for file in sorted(package.rglob("*.py")):
-            packed.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))  # Spark hands it out from the driver
-    _SHIPPED.add(context.applicationId)
+    with _SHIPPING:
+        if context.applicationId in _SHIPPED:
+            return
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for file in sorted(package.rglob("*.py")):
+                packed.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))  # Spark hands it out from the driver
+        _SHIPPED.add(context.applicationId)
