@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -323,9 +325,30 @@ def test_longest_first_takes_the_least_loaded_shard():
     assert shards.longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
-@pytest.mark.parametrize("bundles", [1024, 1])
-def test_shards_are_whole_and_even(spark, monkeypatch, bundles):
-    monkeypatch.setattr(shards, "BUNDLES_PER_SHARD", bundles)
+@given(
+    st.lists(st.integers(0, 300), min_size=1, max_size=7),
+    st.lists(st.tuples(st.integers(0, 90), st.integers(1, 60)), max_size=6),
+)
+def test_loads_after_a_run_of_equal_sizes_are_those_of_the_heap(loads, runs):
+    placed, slow, fast = shards._least_loaded(loads, *zip(*runs)) if runs else [], list(loads), np.array(loads)
+    for shard, size in zip(placed, [size for size, count in runs for _ in range(count)], strict=True):
+        slow[shard] += size
+    for size, count in runs:
+        fast = shards.loads_after(fast, size, count)
+    assert fast.tolist() == slow
+
+
+def test_blocks_of_groups_go_where_one_heap_puts_them(spark, monkeypatch):
+    monkeypatch.setattr(shards, "GROUPS_AT_ONCE", 7)
+    sizes = [(f"g{k:03}", 10 if k % 3 else 11 + k % 5) for k in range(200)] + [("huge", 5000)]  # most of one size
+    frame = spark.createDataFrame(sizes, "group string, size long")
+    found = {r.group: r.shard for r in shards.shards_of_groups(frame, 6).collect()}
+    assert found == shards.longest_first(sizes, 6)
+
+
+@pytest.mark.parametrize("at_once", [1 << 17, 50])
+def test_shards_are_whole_and_even(spark, monkeypatch, at_once):
+    monkeypatch.setattr(shards, "GROUPS_AT_ONCE", at_once)
     monkeypatch.setattr(shards, "ROWS_AT_ONCE", 300)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = shards.shard_texts(docs, shards=5).join(docs, "doc_id").collect()
@@ -337,7 +360,7 @@ def test_shards_are_whole_and_even(spark, monkeypatch, bundles):
         load[r.shard] += r["size"]
     for k in range(5):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
-    assert max(load) - min(load) < (0.01 if bundles > 1 else 0.5) * sum(load) / 5
+    assert max(load) - min(load) < 0.01 * sum(load) / 5
 
 
 def test_shards_of_odd_rows(spark, odd, nothing):
