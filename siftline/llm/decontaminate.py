@@ -8,6 +8,8 @@ the wanted share of the item's shingles must hold one of them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +22,25 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _windows(array: str, size: int, combine) -> Column:
+def _windows(array: str, size: int, combine, shorter: Sequence[int] = ()) -> Column:
     """``combine`` of each window of ``size`` elements; of all of them if there are fewer; none of none.
 
-    ``array`` is read once for each element of a window, so it has to be a column that is there,
-    see ``_computed``.
+    Windows of each of the sizes ``shorter`` follow. ``array`` is read once for each element of a
+    window, so it has to be a column that is there, see ``_computed``.
     """
-    full = F.transform(
-        F.sequence(F.lit(0), F.size(array) - size),
-        lambda i: combine([F.get(F.col(array), i + k) for k in range(size)]),
-    )
-    return (
-        F.when(F.size(array) >= size, full)
-        .when(F.size(array) > 0, F.array(combine([F.get(F.col(array), F.lit(k)) for k in range(size - 1)])))
-        .otherwise(F.array().cast(f"array<{'string' if combine is _joined else 'bigint'}>"))
-    )
+
+    def full(size: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(array) - size),
+            lambda i: combine([F.get(F.col(array), i + k) for k in range(size)]),
+        )
+
+    none = F.array().cast(f"array<{'string' if combine is _joined else 'bigint'}>")
+    windows = F.when(F.size(array) >= size, full(size)).otherwise(none)
+    if size > 1:
+        whole = F.array(combine([F.get(F.col(array), F.lit(k)) for k in range(size - 1)]))
+        windows = F.when(F.size(array).between(1, size - 1), whole).otherwise(windows)
+    return F.concat(windows, *(F.when(F.size(array) >= k, full(k)).otherwise(none) for k in shorter)) if shorter else windows
 
 
 def _computed(df: DataFrame, name: str, column: Column) -> DataFrame:
@@ -50,20 +56,20 @@ def _hashed(words: list[Column]) -> Column:
     return F.xxhash64(*words)
 
 
-def shingle_hashes(df: DataFrame, text: str, size: int) -> DataFrame:
-    """Add ``hashes``: the distinct hashes of a text's word shingles."""
+def shingle_hashes(df: DataFrame, text: str, size: int, shorter: Sequence[int] = ()) -> DataFrame:
+    """Add ``hashes``: the distinct hashes of a text's word shingles, of the sizes ``shorter`` as well."""
     return (
         _computed(df, "_words", F.transform(_words(text), lambda w: F.xxhash64(w)))
-        .withColumn("hashes", F.array_distinct(_windows("_words", size, _hashed)))
+        .withColumn("hashes", F.array_distinct(_windows("_words", size, _hashed, shorter)))
         .drop("_words")
     )
 
 
-def shingles(df: DataFrame, text: str, size: int) -> DataFrame:
-    """Add ``shingles``: the distinct shingles of a text, words joined by spaces."""
+def shingles(df: DataFrame, text: str, size: int, shorter: Sequence[int] = ()) -> DataFrame:
+    """Add ``shingles``: the distinct shingles of a text, of the sizes ``shorter`` as well, words joined by spaces."""
     return (
         _computed(df, "_words", _words(text))
-        .withColumn("shingles", F.array_distinct(_windows("_words", size, _joined)))
+        .withColumn("shingles", F.array_distinct(_windows("_words", size, _joined, shorter)))
         .drop("_words")
     )
 
@@ -113,8 +119,10 @@ def contained_items(
     texts = documents.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")
     )
+    lengths = questions.select(F.size(_words("text")).alias("n")).where(F.col("n").between(1, size - 1)).distinct()
+    shorter = sorted(row.n for row in lengths.collect())
     small = stored(sketches(questions, size, threshold), "sketches")
-    probes = shingle_hashes(texts, "text", size).select("id", "text_hash", F.explode("hashes").alias("hash"))
+    probes = shingle_hashes(texts, "text", size, shorter).select("id", "text_hash", F.explode("hashes").alias("hash"))
     candidates = stored(
         probes.join(sent(small), "hash").select("id", "text_hash", "item").distinct(), "candidates"
     )
@@ -127,13 +135,13 @@ def contained_items(
     wanted = stored(wanted.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), "wanted")
     chosen = (
         texts.join(
-            sent(wanted),
+            sent(wanted, "wanted"),
             F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")),
         )
         .drop("_id", "_hash")
         .dropDuplicates(["id", "text_hash"])
     )
-    held = shingles(chosen, "text", size).select("id", "text_hash", "wanted", F.explode("shingles").alias("shingle"))
+    held = shingles(chosen, "text", size, shorter).select("id", "text_hash", "wanted", F.explode("shingles").alias("shingle"))
     shared = (
         held.join(sent(parts), "shingle")
         .where(F.array_contains("wanted", F.col("item")))

@@ -114,9 +114,12 @@ WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text
                                        lambda w: w <> '') AS w FROM documents),
 iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'),
                                    lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)),
-                                                     lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
-       FROM dw WHERE len(w) > 0),
+short AS (SELECT DISTINCT len(w) AS k FROM iw WHERE len(w) BETWEEN 1 AND 4),
+ds AS (SELECT doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)),
+                                            lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
+       FROM dw WHERE len(w) > 0
+       UNION SELECT doc_id, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' ')))
+       FROM dw, short WHERE len(w) >= k),
 it AS (SELECT DISTINCT item_id, unnest(list_transform(range(greatest(len(w) - 4, 1)),
                                                       lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
        FROM iw WHERE len(w) > 0),

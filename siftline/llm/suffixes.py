@@ -312,7 +312,7 @@ def without_repeats(
     spans = _stretches_by_text(rows, id_at, text_at, passage)
     spans = spans.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     here = F.col(id_at).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text_at) == F.col("text_hash"))
-    joined = rows.join(sent(stored(spans, "spans")), here, "left")
+    joined = rows.join(sent(stored(spans, "spans"), "spans"), here, "left")
     cut = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("upto")),

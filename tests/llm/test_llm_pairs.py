@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, near_vectors, simhash
+from siftline.llm.columns import sent
 from siftline.llm.components import components, merge
 
 
@@ -159,10 +160,14 @@ def test_prefix_units_find_the_same_links(spark, monkeypatch):
 def slow_containment(text, item, size=5):
     import regex
 
+    def words(t):
+        return regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+
     def parts(t):
-        words = regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
-        return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+        found = words(t)
+        return {tuple(found[k : k + size]) for k in range(max(1, len(found) - size + 1))} if found else set()
 
+    size = min(size, max(1, len(words(item))))  # a shorter item is one shingle
     wanted = parts(item)
     return len(wanted & parts(text)) / len(wanted) if wanted else 0
 
@@ -193,6 +198,25 @@ def test_contained_items_of_partial_and_odd_texts(spark, odd, prose, nothing):
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_fewer_words_than_a_shingle_are_found_inside_texts(spark):
+    rows = [
+        (1, "one two alpha Beta, gamma delta nine ten"), (2, "alpha beta gamma"), (3, "alpha beta x gamma delta"),
+        (4, "so delta"), (5, "gamma"), (6, None), (7, "alpha beta gamma delta"), (8, "nine ten one two three four"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "alpha beta gamma delta"), (2, "Delta"), (3, "nine ten"), (4, ""), (5, "one two three four five")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench).collect())
+    assert found == [(1, 1), (1, 2), (1, 3), (3, 2), (4, 2), (7, 1), (7, 2), (8, 3)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == [2, 5, 6]
+
+
+def test_elements_of_arrays_count_as_rows_of_what_is_sent(spark):
+    arrays = spark.range(4).select("id", F.array_repeat(F.lit(1), 5).alias("a"))
+    plans = [sent(arrays, "a", most)._jdf.queryExecution().logical().toString() for most in (23, 24)]
+    assert ["Hint" in text for text in plans] == [False, True]
+
+
 def test_decontamination_runs_no_python(spark, sf_dir, plan):
     from siftline.llm.queries import QUERIES
 
