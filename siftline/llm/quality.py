@@ -177,7 +177,8 @@ def _featured(vectors) -> Callable:
         for batch, texts in text_slices(batches, "text"):
             features = pooled(texts, vectors.value)
             column = list_array(features.ravel(), [features.shape[1]] * len(texts), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), column], ["label", "features"])
+            kept = [batch.column("label"), batch.column("place"), column]
+            yield pa.RecordBatch.from_arrays(kept, ["label", "place", "features"])
 
     return run
 
@@ -188,8 +189,9 @@ def fit(
 ) -> Model:
     """Word vectors from all ``documents``; the network from at most ``sample`` labelled ones.
 
-    ``labels`` has one label 0 or 1 for some ids; other labels and null ids are ignored, and an id
-    that is labelled twice counts twice. Where both labels don't occur, the model gives every text
+    ``labels`` has one label 0 or 1 for some ids; other labels and null ids are ignored. An id that is
+    labelled both ways counts for both; rows that repeat an id, a text and a label count once. Of
+    ids that many rows share, those texts count whose hashes are smallest. Where both labels don't occur, the model gives every text
     the share of label 1, with one more of each: 1/2 without any label.
     """
     spark = documents.sparkSession
@@ -199,10 +201,13 @@ def fit(
     known = known.where("label IN (0, 1) AND id IS NOT NULL")
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)  # at most ``sample`` rows are broadcast
     sent = spark.sparkContext.broadcast(vectors)
+    # ids that many rows share: a row counts once, and the driver gets no more than ``sample`` of them
+    joined = texts.join(F.broadcast(chosen), "id").select("label", "text", F.xxhash64("id", "text").alias("place"))
     rows = (
-        texts.join(F.broadcast(chosen), "id")
-        .select("label", "text")
-        .mapInArrow(_featured(sent), "label int, features array<double>")
+        joined.mapInArrow(_featured(sent), "label int, place long, features array<double>")
+        .dropDuplicates(["place", "label"])
+        .orderBy("place", "label")
+        .limit(sample)
         .collect()
     )
     rows.sort(key=lambda row: (row.features, row.label))  # the same model, however the rows arrive

@@ -235,6 +235,17 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_rows_that_share_a_labelled_id_stay_within_the_sample(spark, prose, monkeypatch):
+    rows = [(k, prose(k, 30)) for k in range(30)] + [(7, prose(0, 30))] * 20 + [(7, prose(100 + k, 9)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] * 2, "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality, "fit_network", lambda features, labels, vectors: fitted.append((features, labels)))
+    for sample in (1000, 25):
+        quality.fit(docs, labels, sample=sample)
+    assert [len(found) for _, found in fitted] == [71, 25]
+
+
 def test_temperature_suits_the_rows_it_was_set_on():
     chosen = np.random.default_rng(0)
     features = chosen.normal(size=(600, 5))
