@@ -155,7 +155,7 @@ def shard_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     often = F.col("n") >= rows.count() * OFTEN
     frequent = F.broadcast(placed.where(often).select("group", "shard"))
     others = rows.join(frequent, "group", "left_anti").join(placed.where(~often).select("group", "shard"), "group")
-    placed_rows = rows.join(frequent, "group").unionByName(others)
+    placed_rows = stored(rows.join(frequent, "group").unionByName(others), "placed-rows")
     slots = numbered(placed_rows.select("id", "group", "size", "text_crc32", "shard"), "shard", ["id", "group"])
     return slots.select(
         F.col("id").alias(id_col),
