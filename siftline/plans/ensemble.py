@@ -26,7 +26,8 @@ from siftline.plans.training import (
     spark_params,
     validation_f1,
 )
-from siftline.plans.trees import leaf_shares, merged, with_terms
+from siftline.plans.bagging import fit_known_bags
+from siftline.plans.trees import leaf_shares, unseen_votes
 from siftline.plans.tuning import first_best
 
 
@@ -117,27 +118,17 @@ def fit_bags(
     bags: int | None = None,
     seed: int = 42,
     label: str = "label",
-    threads: int = 8,
 ) -> Model:
     """A forest of one tree per bag with the settings of a forest, rows weighted by their count in the bag.
 
-    The trees are fitted one by one in a pool, as Spark's own bags can't be told afterwards, and merged
-    into one forest. There are as many as the settings' ``n_estimators``, unless ``bags`` says otherwise.
+    Spark's own bags can't be told afterwards, so the bags are made from the keys, and the trees of all bags
+    grow together. There are as many as the settings' ``n_estimators``, unless ``bags`` says otherwise.
     The subset of features is the forest's: Spark's own choice for a single tree would be all of them.
     """
     bags = int(settings.get("n_estimators", FOREST_BASELINE["n_estimators"])) if bags is None else bags
     params = spark_params({k: v for k, v in settings.items() if k != "n_estimators"}, FOREST_PARAMS)
-
-    def one(bag: int) -> Model:
-        rows = train.withColumn("bag_weight", bag_count(key, bag, seed).cast("double"))
-        tree = RandomForestClassifier(
-            labelCol=label, weightCol="bag_weight", numTrees=1, bootstrap=False, seed=seed + bag, **params
-        )
-        return fit(tree, rows.where(F.col("bag_weight") > 0)).model
-
-    with ThreadPoolExecutor(threads) as pool:
-        trees = list(pool.map(inheritable_thread_target(train.sparkSession)(one), range(bags)))
-    return merged(train.sparkSession, trees)
+    estimator = RandomForestClassifier(labelCol=label, numTrees=bags, seed=seed, **params)
+    return fit_known_bags(estimator, train, bag_counts(key, bags, seed), bags)
 
 
 def out_of_bag_scored(model: Model, train: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -146,17 +137,11 @@ def out_of_bag_scored(model: Model, train: DataFrame, key: Sequence[str], seed:
     The forest is applied once: its leaves give all votes, the packed counts say which of them are unseen.
     """
     spark = train.sparkSession
-    counted = with_terms(model, train, leaf_shares(spark, model), ["_votes"])
-    counted = counted.withColumn("_counts", bag_counts(key, model.getNumTrees, seed))
-    # A vote of a tree that has seen the row becomes NULL and is left out.
-    unseen = F.filter(F.zip_with("_votes", "_counts", lambda v, n: F.when(n == 0, v)), lambda v: v.isNotNull())
-    total = F.aggregate("_unseen", F.lit(0.0), lambda a, b: a + b)
-    return (
-        counted.withColumn("_unseen", unseen)
-        .withColumns({"oob_votes": F.size("_unseen"), "oob_score": F.try_divide(total, F.size("_unseen"))})
-        .withColumn("oob_prediction", F.when(F.col("oob_score").isNotNull(), (F.col("oob_score") > 0.5).cast("int")))
-        .drop("_votes", "_counts", "_unseen")
-    )
+    counted = train.withColumn("_counts", bag_counts(key, model.getNumTrees, seed))
+    scored = unseen_votes(model, counted, "_counts", leaf_shares(spark, model)[0])
+    return scored.withColumn(
+        "oob_prediction", F.when(F.col("oob_score").isNotNull(), (F.col("oob_score") > 0.5).cast("int"))
+    ).drop("_counts")
 
 
 def out_of_bag_accuracy(oob: DataFrame, label: str = "label") -> DataFrame:

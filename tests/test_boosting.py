@@ -3,11 +3,11 @@
 import uuid
 
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from siftline.operators.split import stratified_folds
-from siftline.plans import boosting, staged, training, tuning
+from siftline.plans import bagging, boosting, ensemble, staged, training, tuning
 
 SETTINGS = {"n_estimators": 4, "learning_rate": 0.3, "max_depth": 4, "min_child_samples": 3}
 
@@ -75,3 +75,31 @@ def test_no_rows_and_other_labels_are_errors(rows):
         training.fit(estimator, rows.where("key < 0"))
     with pytest.raises(ValueError, match="1 of 500 rows"):
         training.fit(estimator, rows.withColumn("label", F.when(F.col("key") == 3, 2).otherwise(F.col("label"))))
+
+
+def test_known_bags_are_trees_of_the_library(spark, rows, monkeypatch):
+    """Weights of one row a row: the tree is that of a forest without bags, whether nodes meet in a task or not."""
+    estimator = RandomForestClassifier(numTrees=1, bootstrap=False, maxDepth=30, minInstancesPerNode=2, featureSubsetStrategy="all")
+    other = estimator.fit(rows)
+    ones = F.array_repeat(F.lit(1).cast("tinyint"), 3)
+    for block, meet in ((25_000, 20_000), (100, 0), (100, 60)):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", block)
+        monkeypatch.setattr(bagging, "MEET_ROWS", meet)
+        own = bagging.fit_known_bags(estimator, rows, ones, 3)
+        assert own.getNumTrees == 3 and {t.depth for t in own.trees} == {other.trees[0].depth}
+        score = lambda model, name: training.scored(model, rows, name).select("key", name)
+        far = score(own, "a").join(score(other, "b"), "key").where(F.abs(F.col("a") - F.col("b")) > 1e-9)
+        assert far.count() == 0
+        assert own.featureImportances.toArray() == pytest.approx(other.featureImportances.toArray())
+
+
+def test_more_bags_need_no_more_jobs(spark, rows):
+    def jobs(bags):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "bags")
+        model = ensemble.fit_bags(rows, ["key"], {"max_depth": 6, "max_features": "sqrt"}, bags=bags)
+        assert model.getNumTrees == bags
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(12) <= jobs(2) + 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
