@@ -1,4 +1,4 @@
-"""Trees over bags of rows that are known row by row, grown together: a pass over the rows a level, for all bags.
+"""Trees over bags of rows, known row by row or drawn, grown together: a pass over the rows a level, for all bags.
 
 Nodes of many rows are split by sums over the whole table, as in ``boosting``. The rows of a node that has become
 small meet in one task, which splits them to the end: such a group has no more than ``MEET_ROWS`` rows.
@@ -7,7 +7,7 @@ small meet in one task, which splits them to the end: such a group has no more t
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +21,30 @@ from siftline.plans.trees import NODES, ensemble_of
 
 #: Rows of a node that meet in one task.
 MEET_ROWS = 20_000
+#: Rows of a block with a forest's drawn bags, a byte a row and bag.
+BAG_ROWS = 10_000
 #: Nodes whose sums a task holds at a time.
 HELD_NODES = 256
 
 
-def _finish(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, member: Member, depth: int, seed: Sequence[int]) -> Tree:
+def _finish(
+    bins: np.ndarray, label: np.ndarray, weight: np.ndarray, member: Member, depth: int, seed: Sequence[int], repeats: bool
+) -> Tree:
     """The subtree below a node at ``depth`` from all of its rows."""
     tree, draw, wanted = Tree(), np.random.default_rng(seed), member.features(len(bins))
     node, label = np.zeros(len(label), np.int64), label.astype(np.float64)
     while tree.open and depth < member.depth:
         is_open = np.zeros(len(tree.feature), bool)
         is_open[tree.open] = True
-        place = np.where(is_open[node], node, -1)
-        order = np.argsort(place, kind="stable")
-        order, deeper = order[np.searchsorted(place[order], 0) :], []
+        order, deeper = np.nonzero(is_open[node])[0], []
+        order = order[np.argsort(node[order], kind="stable")]
         at = np.searchsorted(np.array(tree.open), node[order])
         for start in range(0, len(tree.open), HELD_NODES):
             nodes = tree.open[start : start + HELD_NODES]
             a, b = np.searchsorted(at, [start, start + len(nodes)])
             rows = order[a:b]
             allowed = draw.random((len(nodes), len(bins))).argsort(axis=1) < wanted
-            sums = node_sums(at[a:b] - start, bins[:, rows], weight[rows], label[rows], len(nodes))
+            sums = node_sums(at[a:b] - start, bins[:, rows], weight[rows], label[rows], len(nodes), repeats)
             for own, (feature, cut, gain, whole, left) in zip(nodes, zip(*best_splits(sums, member, allowed)), strict=True):
                 if own == 0:
                     tree.stats[0] = whole
@@ -120,12 +123,50 @@ def fit_known_bags(
     estimator: RandomForestClassifier, train: DataFrame, counts: Column, bags: int
 ) -> RandomForestClassificationModel:
     """A forest of one tree a bag; ``counts`` is an array of how often the row is in each bag."""
-    spark, seed = train.sparkSession, estimator.getSeed()
+    return _grown(estimator, train, [estimator.getSeed() + bag for bag in range(bags)], estimator.getFeatureSubsetStrategy(), counts)
+
+
+def can_fit(estimator: RandomForestClassifier, train: DataFrame) -> bool:
+    """Whether all labels are 0 and 1 and no feature is marked as a category: else the fit is the library's own."""
+    attributes = train.schema[estimator.getFeaturesCol()].metadata.get("ml_attr", {}).get("attrs", {})
+    label = F.col(f"`{estimator.getLabelCol()}`").cast("double")
+    return not attributes.keys() & {"nominal", "binary"} and train.where(~F.coalesce(label.isin(0.0, 1.0), F.lit(False))).isEmpty()
+
+
+def fit_drawn_bags(estimator: RandomForestClassifier, train: DataFrame) -> RandomForestClassificationModel:
+    """The estimator's forest, trees grown together: a row is in a bag as often as a Poisson draw with mean 1 says.
+
+    The first trees of a larger forest are the smaller forest. Without bootstrap every bag is the table.
+    """
+    trees, subset, bootstrap = estimator.getNumTrees(), estimator.getFeatureSubsetStrategy(), estimator.getBootstrap()
+    seed = estimator.getSeed() & 0xFFFFFFFF
+    seeds = [int(np.random.default_rng([seed, tree]).integers(1 << 32)) for tree in range(trees)]
+    if subset == "auto":
+        subset = "all" if trees == 1 else "sqrt"
+
+    def counts(number: int, rows: int) -> np.ndarray:
+        if not bootstrap:
+            return np.ones((trees, rows), np.int8)
+        return np.stack([np.random.default_rng([own, number]).poisson(1.0, rows).astype(np.int8) for own in seeds])
+
+    return _grown(estimator, train, seeds, subset, counts, BAG_ROWS)
+
+
+def _grown(
+    estimator: RandomForestClassifier,
+    train: DataFrame,
+    seeds: Sequence[int],
+    subset: str,
+    counts: Column | Callable[[int, int], np.ndarray],
+    block_rows: int | None = None,
+) -> RandomForestClassificationModel:
+    spark, bags, repeats = train.sparkSession, len(seeds), not isinstance(counts, Column)
     members = [
-        Member(estimator.getMaxDepth(), 0.0, estimator.getMinInstancesPerNode(), estimator.getMinInfoGain() / 2, 1.0,
-               estimator.getFeatureSubsetStrategy(), seed + bag) for bag in range(bags)
-    ]
-    with Growing(train, members, estimator.getLabelCol(), features=estimator.getFeaturesCol(), counts=counts) as grown:
+        Member(estimator.getMaxDepth(), 0.0, estimator.getMinInstancesPerNode(), estimator.getMinInfoGain() / 2, 1.0, subset, seed)
+        for seed in seeds
+    ]
+    features = estimator.getFeaturesCol()
+    with Growing(train, members, estimator.getLabelCol(), features=features, counts=counts, block_rows=block_rows) as grown:
         tops, late = [Tree() for _ in range(bags)], {bag: {} for bag in range(bags)}
         depth, most = 0, MEET_ROWS
         if grown.count <= most:  # a bag has no more rows than the table
@@ -159,10 +200,11 @@ def fit_known_bags(
             (bag, node), parts = group
             parts = sorted(parts, key=lambda part: part[0])
             bins, label, weight = (np.concatenate([part[k] for part in parts], axis=-1) for k in (1, 2, 3))
-            sub = _finish(bins, label, weight.astype(np.float64), members[bag], late[bag][node], [members[bag].seed & 0xFFFFFFFF, node])
+            seed = [members[bag].seed & 0xFFFFFFFF, node]
+            sub = _finish(bins, label, weight.astype(np.float64), members[bag], late[bag][node], seed, repeats)
             return bag, (node, sub)
 
-        tasks = 4 * spark.sparkContext.defaultParallelism
+        tasks = (4 if grown.count > most else 1) * spark.sparkContext.defaultParallelism
         below = grown.state.flatMap(pieces).groupByKey(tasks).map(grown_below)
         all_bags = spark.sparkContext.parallelize([(bag, None) for bag in range(bags)], 1)
         trees = all_bags.union(below).groupByKey(min(bags, tasks)).map(
