@@ -23,6 +23,8 @@ from siftline.plans.trees import NODES, ensemble_of
 MEET_ROWS = 20_000
 #: Rows of a block with a forest's drawn bags, a byte a row and bag.
 BAG_ROWS = 10_000
+#: Rows of all bags for each task that ends subtrees, where there are fewer than four tasks a core.
+TASK_ROWS = 50_000
 #: Nodes whose sums a task holds at a time.
 HELD_NODES = 256
 
@@ -204,7 +206,7 @@ def _grown(
             sub = _finish(bins, label, weight.astype(np.float64), members[bag], late[bag][node], seed, repeats)
             return bag, (node, sub)
 
-        tasks = (4 if grown.count > most else 1) * spark.sparkContext.defaultParallelism
+        tasks = min(4 * spark.sparkContext.defaultParallelism, 1 + grown.count * bags // TASK_ROWS)
         below = grown.state.flatMap(pieces).groupByKey(tasks).map(grown_below)
         all_bags = spark.sparkContext.parallelize([(bag, None) for bag in range(bags)], 1)
         trees = all_bags.union(below).groupByKey(min(bags, tasks)).map(
