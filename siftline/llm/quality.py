@@ -23,8 +23,10 @@ ROWS, DIMS, ENTRIES, REACH = 1 << 14, 32, 2, 2
 SAMPLE = 20_000
 #: Units of the hidden layer, passes over the sample, share of the sample that sets the temperature.
 HIDDEN, PASSES, CALIBRATION = 32, 60, 0.2
-#: Distinct words that a worker remembers the rows of; tokens that are pooled at once.
-KNOWN_WORDS, TOKENS = 200_000, 1 << 18
+#: Distinct words that a worker remembers the rows of.
+KNOWN_WORDS = 1 << 16
+#: Tokens that are summed up at once; of these, dimensions and pairs of neighbours that are looked up at once.
+TOKENS, TOGETHER, PAIRS = 1 << 18, 8, 1 << 14
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -39,10 +41,9 @@ class _Rows(dict):
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all words and marks of the texts in a row, and the number of each text's."""
-    words = [_TOKEN.findall(text) for text in texts]
-    sizes = np.array([len(x) for x in words], np.int64)
     get = held("rows of words", _Rows).__getitem__
-    return np.fromiter((get(w) for row in words for w in row), np.int64, int(sizes.sum())), sizes
+    rows = [np.fromiter(map(get, _TOKEN.findall(text)), np.int64) for text in texts]  # one text's words at a time
+    return np.concatenate([*rows, np.zeros(0, np.int64)]), np.array([len(x) for x in rows], np.int64)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -91,19 +92,28 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Features of each text, from its word vectors: mean and spread, the length of the mean, the mean
-    likeness of neighbours (1 where one word is repeated), and the number of words."""
+    likeness of neighbours (1 where one word is repeated), and the number of words.
+
+    A few dimensions of the words' vectors, or the vectors of a few words, are held at a time.
+    """
     rows, sizes = _tokens(texts)
     sums, squares = np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS))
     near, owner = np.zeros(len(texts)), np.repeat(np.arange(len(sizes)), sizes)
     for first in range(0, len(rows), TOKENS):
-        some, of = vectors[rows[first : first + TOKENS]], owner[first : first + TOKENS]
+        at, of = rows[first : first + TOKENS], owner[first : first + TOKENS]
         begins = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
-        sums[of[begins]] += np.add.reduceat(some, begins, axis=0)
-        squares[of[begins]] += np.add.reduceat(some * some, begins, axis=0)
-        after = vectors[rows[first + 1 : first + TOKENS + 1]]
+        for k in range(0, DIMS, TOGETHER):
+            some = vectors[:, k : k + TOGETHER].take(at, axis=0)
+            sums[of[begins], k : k + TOGETHER] += np.add.reduceat(some, begins, axis=0)
+            some *= some
+            squares[of[begins], k : k + TOGETHER] += np.add.reduceat(some, begins, axis=0)
+        after = rows[first + 1 : first + TOKENS + 1]
         together = of[: len(after)] == owner[first + 1 : first + TOKENS + 1]
-        like = np.einsum("ij,ij->i", some[: len(after)], after)[together]
-        near += np.bincount(of[: len(after)][together], like, len(texts))
+        like = np.zeros(len(after), vectors.dtype)
+        for k in range(0, len(after), PAIRS):
+            both = slice(k, k + PAIRS)
+            like[both] = np.einsum("ij,ij->i", vectors[at[: len(after)][both]], vectors[after[both]])
+        near += np.bincount(of[: len(after)][together], like[together], len(texts))
     count = np.maximum(sizes, 1)[:, None]
     mean = sums / count
     spread = np.sqrt(np.maximum(squares / count - mean * mean, 0))

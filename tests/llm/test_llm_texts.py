@@ -256,6 +256,46 @@ def test_temperature_suits_the_rows_it_was_set_on():
     assert quality._loss(logits / model.temperature, answers[held]) <= quality._loss(logits, answers[held])
 
 
+def test_pooling_holds_few_vectors_and_words_at_a_time(prose):
+    import tracemalloc
+
+    texts, vectors = [prose(k, 1500) for k in range(170)], np.ones((quality.ROWS, quality.DIMS), np.float32)
+    tracemalloc.start()
+    features = quality.pooled(texts, vectors)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # the vectors of all words alone take 33 MB
+    assert np.allclose(features[:, : quality.DIMS], 1) and np.allclose(features[:, -1], np.log1p(1500))
+
+
+def test_pooling_in_pieces_gives_what_one_piece_gives(prose, monkeypatch):
+    texts = ["", prose(1, 900), "one", prose(2, 700), " ", prose(3, 5)]
+    vectors = np.random.default_rng(3).normal(size=(quality.ROWS, quality.DIMS)).astype(np.float32)
+    found = []
+    for together, pairs in ((quality.DIMS, 1 << 20), (8, 7), (5, 1)):
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        monkeypatch.setattr(quality, "PAIRS", pairs)
+        found.append(quality.pooled(texts, vectors))
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
+
+
+def test_workers_get_long_texts_in_batches_of_few_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"bytes": pa.array([batch.nbytes], pa.int64()), "n": pa.array([batch.num_rows], pa.int64())})
+
+    for asked, most in ((None, 2.5e6), ("1m", 1.5e6)):  # what a session asks for holds
+        session = spark.newSession()
+        if asked:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", asked)
+        slices.ready(session)
+        texts = session.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+        rows = texts.mapInArrow(sizes, "bytes long, n long").collect()
+        assert sum(r.n for r in rows) == 300 and max(r.bytes for r in rows) < most
+
+
 # --- pieces and token files ----------------------------------------------------------------------
 
 
