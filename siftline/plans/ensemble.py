@@ -27,7 +27,7 @@ from siftline.plans.training import (
     validation_f1,
 )
 from siftline.plans.bagging import fit_known_bags
-from siftline.plans.trees import leaf_shares, unseen_votes
+from siftline.plans.trees import StoredForest, stored_forest, unseen_votes
 from siftline.plans.tuning import first_best
 
 
@@ -118,7 +118,7 @@ def fit_bags(
     bags: int | None = None,
     seed: int = 42,
     label: str = "label",
-) -> Model:
+) -> StoredForest:
     """A forest of one tree per bag with the settings of a forest, rows weighted by their count in the bag.
 
     Spark's own bags can't be told afterwards, so the bags are made from the keys, and the trees of all bags
@@ -131,14 +131,14 @@ def fit_bags(
     return fit_known_bags(estimator, train, bag_counts(key, bags, seed), bags)
 
 
-def out_of_bag_scored(model: Model, train: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
+def out_of_bag_scored(model: Model | StoredForest, train: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Mean class-1 share over the trees that did not see the row; NULL if every tree did.
 
-    The forest is applied once: its leaves give all votes, the packed counts say which of them are unseen.
+    The forest is applied once, each tree to the rows whose packed counts say that it hasn't seen them.
     """
-    spark = train.sparkSession
+    forest = model if isinstance(model, StoredForest) else stored_forest(train.sparkSession, model)
     counted = train.withColumn("_counts", bag_counts(key, model.getNumTrees, seed))
-    scored = unseen_votes(model, counted, "_counts", leaf_shares(spark, model)[0])
+    scored = unseen_votes(forest, counted, "_counts")
     return scored.withColumn(
         "oob_prediction", F.when(F.col("oob_score").isNotNull(), (F.col("oob_score") > 0.5).cast("int"))
     ).drop("_counts")

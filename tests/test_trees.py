@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.hashing import POISSON_ONE_CDF
 from siftline.operators.split import stratified_folds
-from siftline.plans import ensemble, staged, training, trees, tuning
+from siftline.plans import bagging, ensemble, staged, training, trees, tuning
 
 FOREST = {"n_estimators": 7, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1, "max_features": "sqrt"}
 
@@ -194,3 +194,56 @@ def test_packed_bag_counts_are_the_single_ones(spark):
         differ = F.col("all")[k] != ensemble.bag_count(["id"], k, 42)
         assert df.where(differ).count() == 0
     assert len(POISSON_ONE_CDF) < 127
+
+
+@pytest.fixture
+def together(monkeypatch):
+    """Forests of few rows grow together as well."""
+    monkeypatch.setattr(training, "LIBRARY_ROWS", 0)
+
+
+def test_a_stored_forest_scores_as_spark_does_and_is_not_loaded(spark, rows, together):
+    stored = training.fit_forest({**FOREST, "min_samples_split": 20}, rows["train"], loaded=False).model
+    mine = training.scored(stored, rows["val"]).select("key", "score", "prediction")
+    assert isinstance(stored, trees.StoredForest) and stored.getNumTrees == 7 and trees.fewest_split_rows(spark, stored) >= 20
+    assert stored._loaded is None
+    theirs = training.scored(stored.load(), rows["val"]).select("key", F.col("score").alias("s"), F.col("prediction").alias("p"))
+    both = mine.join(theirs, "key")
+    assert both.count() == rows["val"].count()
+    assert both.where((F.abs(F.col("score") - F.col("s")) > 1e-12) | (F.col("prediction") != F.col("p"))).count() == 0
+
+
+def test_groups_of_trees_and_blocks_of_rows_add_up(spark, rows, together, monkeypatch):
+    stored = training.fit_forest(FOREST, rows["train"], loaded=False).model
+    one = training.scored(stored, rows["all"]).select("key", "score")
+    monkeypatch.setattr(trees, "APPLIED_BYTES", 3_000)
+    monkeypatch.setattr(trees, "APPLIED_ROWS", 100)
+    many = training.scored(stored, rows["all"].repartition(3)).select("key", F.col("score").alias("s"))
+    assert one.join(many, "key").where(F.abs(F.col("score") - F.col("s")) < 1e-12).count() == 600
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_search_of_forests_in_one_job_equals_fits(spark, folded, together, monkeypatch, apart):
+    """Or, where no task may hold all rows, of fits by themselves."""
+    grid = tuning.combinations_of(
+        {"n_estimators": [5, 3], "max_depth": [None, 3], "min_samples_split": [2, 40], "max_features": ["sqrt", None]}
+    )
+    if apart:
+        monkeypatch.setattr(bagging, "TOGETHER_BYTES", 10)
+    search = staged.staged_search(staged.forest(), grid, folded, folds=3)
+    assert search.fits == 2 * 3
+    train, held = folded.where("fold <> 1"), folded.where("fold = 1")
+    whole = training.fit_forest({"n_estimators": 5, "max_depth": None, "max_features": "sqrt"}, train).model
+    for settings, f1 in zip(search.combinations, search.folds, strict=True):
+        if settings["max_features"] == "sqrt":
+            model = trees.first_trees(spark, whole, settings["n_estimators"])
+            model = trees.pruned(spark, model, settings["min_samples_split"], settings["max_depth"] or 30)
+            assert f1[1] == pytest.approx(_f1(model, held))
+
+
+def test_subsets_of_as_many_features_are_one_fit(folded):
+    points = [{"n_estimators": 2, "max_features": name} for name in ("sqrt", "log2", "auto", None)]
+    search = staged.staged_search(staged.forest(), points, folded)
+    assert search.fits == 3 * 3 and search.folds[0] == search.folds[1]  # two of three features, by either name
+    alone = staged.staged_search(staged.forest(), points[1:2], folded)
+    assert alone.folds[0] == search.folds[1]
