@@ -84,3 +84,19 @@ def test_single_fits_have_the_published_settings(spark, sf_dir, monkeypatch, nam
         assert (asked[0].getMaxIter(), asked[0].getMaxDepth(), asked[0].getMinInstancesPerNode()) == (100, 6, 20)
     else:
         assert (asked[0].getNumTrees(), asked[0].getMaxDepth()) == (200, training.MAX_DEPTH)
+
+
+def test_the_search_of_forests_is_the_whole_grid(spark, sf_dir, monkeypatch):
+    from siftline.plans import staged, tuning
+
+    asked = []
+
+    def search(learner, combinations, *args, **kwargs):
+        asked.extend(combinations)
+        raise _Stop
+
+    monkeypatch.setattr(staged, "staged_search", search)
+    with pytest.raises(_Stop):
+        QUERIES["forest_grid_search_cv"](spark, sf_dir)
+    assert asked == tuning.combinations_of(training.FOREST_GRID) and len(asked) == 324
+    assert [ORACLES["forest_grid_search_cv"].count(f"'{name}')") for name in ("sqrt", "log2", "None")] == [108] * 3
