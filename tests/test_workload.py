@@ -100,3 +100,19 @@ def test_the_search_of_forests_is_the_whole_grid(spark, sf_dir, monkeypatch):
         QUERIES["forest_grid_search_cv"](spark, sf_dir)
     assert asked == tuning.combinations_of(training.FOREST_GRID) and len(asked) == 324
     assert [ORACLES["forest_grid_search_cv"].count(f"'{name}')") for name in ("sqrt", "log2", "None")] == [108] * 3
+
+
+def test_the_training_job_searches_the_whole_grid(spark, sf_dir, monkeypatch):
+    from siftline.plans import tuning
+    from siftline.workload import models
+
+    asked = []
+
+    def job(table, state, key, path, combinations, **kwargs):
+        asked.extend(combinations)
+        raise _Stop
+
+    monkeypatch.setattr(models, "train_boosting", job)
+    with pytest.raises(_Stop):
+        QUERIES["tuned_or_baseline"](spark, sf_dir)
+    assert asked == tuning.combinations_of(training.BOOSTING_GRID) and len(asked) == 8
