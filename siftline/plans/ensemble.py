@@ -108,7 +108,8 @@ def bag_count(key: Sequence[str], bag: int, seed: int) -> Column:
 def bag_counts(key: Sequence[str], bags: int, seed: int) -> Column:
     """``bag_count`` of all bags as one array of bytes' size; a hash a bag, in one expression however many bags."""
     seeds = F.sequence(F.lit(seed * 1000), F.lit(seed * 1000 + bags - 1))
-    return F.transform(seeds, lambda number: poisson_count(key_fraction(number, key)).cast("tinyint"))
+    fractions = F.transform(seeds, lambda number: key_fraction(number, key))  # apart, so that a count hashes once
+    return F.transform(fractions, lambda fraction: poisson_count(fraction).cast("tinyint"))
 
 
 def fit_bags(

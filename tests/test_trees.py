@@ -247,3 +247,15 @@ def test_subsets_of_as_many_features_are_one_fit(folded):
     assert search.fits == 3 * 3 and search.folds[0] == search.folds[1]  # two of three features, by either name
     alone = staged.staged_search(staged.forest(), points[1:2], folded)
     assert alone.folds[0] == search.folds[1]
+
+
+def test_out_of_bag_votes_load_no_forest(rows):
+    bags = ensemble.fit_bags(rows["train"], ["key"], FOREST, bags=3)
+    found = ensemble.out_of_bag_scored(bags, rows["train"], ["key"])
+    assert found.count() == rows["train"].count() and found.columns[-3:] == ["oob_votes", "oob_score", "oob_prediction"]
+    assert isinstance(bags, trees.StoredForest) and bags._loaded is None
+
+
+def test_a_packed_count_hashes_once(spark):
+    df = spark.range(1).select(ensemble.bag_counts(["id"], 3, 42).alias("all"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
