@@ -146,3 +146,35 @@ def test_a_forest_of_three_classes_is_the_librarys(rows, monkeypatch):
     monkeypatch.setattr(training, "LIBRARY_ROWS", 0)
     three = rows.withColumn("label", F.when(F.col("key") < 50, 2).otherwise(F.col("label")))
     assert training.fit_forest({"n_estimators": 2, "max_depth": 3}, three).model.numClasses == 3
+
+
+def test_a_task_with_all_rows_grows_the_fit_of_a_job_a_level(spark, rows, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    estimators = [training.boosted_trees({**SETTINGS, "subsample": 0.7, "colsample_bytree": 0.5}, seed) for seed in (1, 2)]
+    table = rows.withColumn("fold", (F.col("key") % 3).cast("int"))
+    members = [boosting.Member.of(e, k) for e, k in zip(estimators, (0, 2), strict=True)]
+    found = []
+    for most in (boosting.ALONE_ROWS, 0):
+        monkeypatch.setattr(boosting, "ALONE_ROWS", most)
+        with boosting.Growing(table, members, fold="fold") as grown:
+            assert grown.alone == bool(most) and grown.parts == 5
+            grown.grow(1)
+            grown.grow(2)
+            found.append((grown.trees, grown.held_f1([0, 1], [0, 2])))
+    (one, f1), (other, other_f1) = found
+    assert f1 == pytest.approx(other_f1) and [len(fit) for fit in one] == [3, 3]
+    for a, b in zip([t for fit in one for t in fit], [t for fit in other for t in fit], strict=True):
+        assert (a.feature, a.cut, a.left) == (b.feature, b.cut, b.left)
+        assert [list(s) for s in a.stats] == [pytest.approx(list(s)) for s in b.stats]
+
+
+def test_more_rounds_need_no_more_jobs(spark, rows):
+    def jobs(rounds):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "rounds")
+        with boosting.growing(rows, [training.boosted_trees(SETTINGS)]) as grown:
+            grown.grow(rounds)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(8) == jobs(2)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
